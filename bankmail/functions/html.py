@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,3 +156,7 @@ def usable_image(content_type: Column, content_length: Column, width: Column, he
         & (width >= dims.IMAGE_MIN_SIDE)
         & (height >= dims.IMAGE_MIN_SIDE)
     )
+
+
+# The executors need not have this package: what `html_text` runs travels with it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
