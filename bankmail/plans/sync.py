@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bankmail import dims
 from bankmail.functions import html as H
 from bankmail.functions.once import once
 from bankmail.functions.text import ntz, stable_id
@@ -53,7 +55,7 @@ def merge_ocr(emails: DataFrame, texts: DataFrame) -> OcrResult:
             "body_text",
             F.when(
                 F.col("__t").isNotNull(),
-                F.concat(F.coalesce("body_text", F.lit("")), F.lit(f"\n{M.dims.OCR_MARKER}\n"), F.col("__t")),
+                F.concat(F.coalesce("body_text", F.lit("")), F.lit(f"\n{dims.OCR_MARKER}\n"), F.col("__t")),
             ).otherwise(F.col("body_text")),
         )
         .withColumn("vision_needed", F.lit(False))
@@ -75,7 +77,7 @@ class SyncResult:
     def emails(self) -> DataFrame:
         """The new mails as they are stored: labelled, image text merged."""
         return self.processed.classified.withColumn("email_type", F.col("label")).withColumn(
-            "received_day", F.col("received_date").cast("date")
+            "received_month", F.substr(F.col("received_date").cast("string"), F.lit(1), F.lit(7))
         )
 
     def summary(self, by: list[str] | None = None) -> DataFrame:
@@ -98,13 +100,14 @@ def sync(
     stored: DataFrame,
     as_of,
     marks: DataFrame | None = None,
-    ocr_texts: DataFrame | None = None,
+    read_images: Callable[[DataFrame], DataFrame] | None = None,
     stage: bool = False,
     key: list[str] | None = None,
     **replies: DataFrame,
 ) -> SyncResult:
     """One run over the mail of any number of accounts.
 
+    `read_images` turns (email_id, pos, url) of the flagged mails into (email_id, pos, text).
     With `marks` (account, folder, latest) only mail from the mark's day on is read. `stage`
     writes the new mails once to the shared folder before they are labelled and read,
     so the several outputs do not repeat the scan and the duplicate check.
@@ -116,7 +119,7 @@ def sync(
     inserted = I.insert_new(I.email_records(scanned, as_of, key=key), stored, key)
     if stage:
         inserted = materialize(inserted, "new-mails")
-    ocr = merge_ocr(inserted, ocr_texts) if ocr_texts is not None else None
+    ocr = merge_ocr(inserted, read_images(image_list(inserted.filter("vision_needed")))) if read_images else None
     return SyncResult(scanned, inserted, ocr, process(ocr.emails if ocr else inserted, as_of=as_of, **replies))
 
 

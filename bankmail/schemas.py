@@ -24,6 +24,7 @@ class Table:
     unique: tuple[str, ...] = ()
     defaults: dict[str, object] = field(default_factory=dict)
     partition_by: tuple[str, ...] = ()
+    sort_by: tuple[str, ...] = ()
 
 
 EMAILS = Table(
@@ -44,11 +45,12 @@ EMAILS = Table(
         ("email_type", T.StringType(), True),
         ("vision_needed", T.BooleanType(), True),
         ("synced_at", T.TimestampType(), True),
-        ("received_day", T.DateType(), True),
+        ("received_month", T.StringType(), True),
     ),
     unique=("account", "folder", "message_id"),
     defaults={"has_attachments": False, "vision_needed": False},
-    partition_by=("received_day",),
+    partition_by=("received_month",),
+    sort_by=("received_date",),
 )
 
 TRANSACTIONS = Table(

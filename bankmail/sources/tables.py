@@ -54,6 +54,7 @@ def append(df: DataFrame, root: str, table: Table, batch: str) -> None:
     if table.partition_by:
         # a folder per value gets a few well-sized files instead of one from every task
         rows = rows.hint("rebalance", *[F.col(c) for c in table.partition_by])
+        rows = rows.sortWithinPartitions(*table.partition_by, *table.sort_by)
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -12,7 +12,7 @@ from bankmail.sources import tables
 from bankmail.streaming.mail import per_batch
 
 
-def into_tables(mail: DataFrame, root: str, checkpoint: str, as_of, **replies: DataFrame) -> StreamingQuery:
+def into_tables(mail: DataFrame, root: str, checkpoint: str, as_of, **options) -> StreamingQuery:
     """Landed mail into the tables under `root`, each file once, each mail once.
 
     The stored mails are the memory of what was seen, for any length of history; the file
@@ -23,7 +23,7 @@ def into_tables(mail: DataFrame, root: str, checkpoint: str, as_of, **replies: D
 
     def handle(rows: DataFrame, batch: str) -> None:
         stored = tables.read_others(spark, root, EMAILS, batch)
-        store(spark, sync(rows, stored, as_of, stage=True, **replies), root, batch, as_of)
+        store(spark, sync(rows, stored, as_of, stage=True, **options), root, batch, as_of)
 
     return per_batch(mail, handle, checkpoint)
 
