@@ -1,4 +1,4 @@
-"""Evaluate costly columns once."""
+"""Evaluate costly columns once, and whole constant tables in one expression."""
 
 from __future__ import annotations
 
@@ -20,3 +20,23 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once, for use inside array functions."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _literal(value: object) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def array_of(values) -> Column:
+    """Constant array."""
+    return F.expr(f"array({', '.join(_literal(v) for v in values)})")
+
+
+def map_of(table: dict) -> Column:
+    """Constant map; a list as value becomes an array."""
+
+    def value(v) -> str:
+        return f"array({', '.join(map(_literal, v))})" if isinstance(v, list) else _literal(v)
+
+    return F.expr(f"map({', '.join(f'{_literal(k)}, {value(v)}' for k, v in table.items())})")

@@ -12,12 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bankmail import dims
+from bankmail.functions.once import array_of, map_of
 
 
 def _hit(text: Column, word: str, whole_words: bool = False) -> Column:
     if whole_words:
         return F.rlike(text, F.lit(rf"(?<!\w){re.escape(word)}(?!\w)"))
-    return F.contains(text, F.lit(word))
+    return text.contains(word)
 
 
 def _any(text: Column, words: list[str], whole_words: bool = False) -> Column:
@@ -31,8 +32,8 @@ def _first_of(text: Column, table: dict[str, list[str]], default: str, whole_wor
     chain = None
     for name, words in table.items():
         hit = _any(text, words, whole_words)
-        chain = F.when(hit, F.lit(name)) if chain is None else chain.when(hit, F.lit(name))
-    return chain.otherwise(F.lit(default))
+        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
+    return chain.otherwise(default)
 
 
 def label(low: Column, whole_words: bool = False) -> Column:
@@ -49,7 +50,7 @@ def label(low: Column, whole_words: bool = False) -> Column:
     # score and place in one number: the highest score wins, then the earliest place
     most = max(len(w) for w in dims.LABEL_KEYWORDS.values())
     by_code = [dims.OTHER_LABEL] * n + [names[n - 1 - c % n] for c in range(n, n * (most + 1))]
-    return F.get(F.array(*map(F.lit, by_code)), F.greatest(*codes))
+    return F.get(array_of(by_code), F.greatest(*codes))
 
 
 def direction(low: Column, whole_words: bool = False) -> Column:
@@ -146,7 +147,7 @@ def normalize_date(token: Column, strict: bool = False) -> Column:
     named = r"^(\d{1,2})(-|\s+)([a-z]+)(-|\s+)(\d{4}|\d{2})$"
     name, gap1, gap2 = part(named, 3), F.regexp_extract(low, named, 2), F.regexp_extract(low, named, 4)
     months = {m[:3]: i for i, m in enumerate(dims.MONTHS, 1)} | {m: i for i, m in enumerate(dims.MONTHS, 1)}
-    table = F.create_map(*[F.lit(x) for pair in months.items() for x in pair])
+    table = map_of(months)
     # dashes go with short names only, and not with blanks
     well_formed = ((gap1 == "-") == (gap2 == "-")) & ((gap1 != "-") | (F.length(name) == 3))
     month = F.coalesce(

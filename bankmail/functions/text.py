@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bankmail import dims
+from bankmail.functions.once import map_of
 
 
 def strip(text: Column) -> Column:
@@ -37,8 +38,8 @@ def bank_of_domain(
     `aliases` renames results, e.g. {"Hdfc Bank": "HDFC"}.
     """
     banks = dims.BANK_DOMAINS if banks is None else banks
-    exact = F.create_map(*[F.lit(x) for pair in banks.items() for x in pair])
-    suffix = F.coalesce(*[F.when(F.endswith(domain, F.lit("." + d)), F.lit(b)) for d, b in banks.items()])
+    exact = map_of(banks)
+    suffix = F.coalesce(*[F.when(domain.endswith("." + d), b) for d, b in banks.items()])
     own_name = F.element_at(F.split(F.split(domain, r"\.bank\.in", 2)[0], r"\."), -1)
     bank = F.coalesce(
         F.try_element_at(exact, domain),
@@ -46,8 +47,7 @@ def bank_of_domain(
         suffix,
     )
     if aliases:
-        renames = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-        bank = F.coalesce(F.try_element_at(renames, bank), bank)
+        bank = F.coalesce(F.try_element_at(map_of(aliases), bank), bank)
     return bank
 
 
@@ -99,8 +99,7 @@ def body_preview(body: Column) -> Column:
 
 
 def label_icon(label: Column) -> Column:
-    icons = F.create_map(*[F.lit(x) for pair in dims.LABEL_ICONS.items() for x in pair])
-    return F.coalesce(F.try_element_at(icons, label), F.lit(dims.DEFAULT_ICON))
+    return F.coalesce(F.try_element_at(map_of(dims.LABEL_ICONS), label), F.lit(dims.DEFAULT_ICON))
 
 
 def direction_icon(transaction_type: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bankmail import dims
+from bankmail.functions.once import array_of, map_of
 from bankmail.functions.text import naive_timestamp, ntz
 from bankmail.schemas import RAW_MAIL_SCHEMA
 
@@ -30,10 +31,8 @@ def stream_mail(
 
 def folders_of(provider: Column) -> Column:
     """Folders read for a provider, as an array; INBOX alone for an unknown one."""
-    table = F.create_map(
-        *[x for p, names in dims.PROVIDER_FOLDERS.items() for x in (F.lit(p), F.array(*map(F.lit, names)))]
-    )
-    return F.coalesce(F.try_element_at(table, provider), F.array(*map(F.lit, dims.DEFAULT_FOLDERS)))
+    table = map_of(dims.PROVIDER_FOLDERS)
+    return F.coalesce(F.try_element_at(table, provider), array_of(dims.DEFAULT_FOLDERS))
 
 
 def in_provider_folders(mail: DataFrame) -> DataFrame:
