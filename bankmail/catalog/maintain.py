@@ -141,7 +141,7 @@ def _(spark, sf):
     def read_images(urls):
         return urls.select("email_id", "pos", F.concat(F.lit("BANNER "), "url").alias("text"))
 
-    out = Y.sync(view(spark, sf, "raw_mail"), G.stored(spark, sf), G.AS_OF, read_images=read_images, stage=True)
+    out = Y.sync(view(spark, sf, "raw_mail", costly=True), G.stored(spark, sf), G.AS_OF, read_images=read_images, stage=True)
     summary = out.summary(by=["account"])
     one = F.count(F.lit(1)).alias("value")
 

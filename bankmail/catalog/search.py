@@ -11,7 +11,7 @@ from bankmail.sources.derived import base
 
 def docs(spark, sf):
     """Documents as mails: language as subject, text as body, source as bank."""
-    return base(spark, sf, "documents").select(
+    return base(spark, sf, "documents", costly=True).select(
         F.col("doc_id").alias("id"), F.col("lang").alias("subject"), F.col("text").alias("body_text"), F.col("source").alias("bank_name")
     )
 

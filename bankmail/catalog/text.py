@@ -16,11 +16,11 @@ from bankmail.sources.derived import base, ctes, view
 
 def mails(spark, sf):
     """Mails with the lower-cased body at hand."""
-    return view(spark, sf, "emails").withColumn("low", F.lower("body_text"))
+    return view(spark, sf, "emails", costly=True).withColumn("low", F.lower("body_text"))
 
 
 def process(spark, sf, **kw):
-    return E.process(view(spark, sf, "emails"), **kw)
+    return E.process(view(spark, sf, "emails", costly=True), **kw)
 
 
 _E = ctes("emails")
@@ -73,17 +73,17 @@ _CLEAN = r"""regexp_replace(trim(regexp_replace(text, '[\s\x{0085}\x{00A0}\x{168
 
 @check("f3_clean_text", f"select doc_id, substr({_CLEAN}, 1, 10000) as body from documents")
 def _(spark, sf):
-    return base(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text")).alias("body"))
+    return base(spark, sf, "documents", costly=True).select("doc_id", X.clean_text(F.col("text")).alias("body"))
 
 
 @check("f3_clean_text_uncapped", f"select doc_id, {_CLEAN} as body from documents")
 def _(spark, sf):
-    return base(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text"), max_chars=None).alias("body"))
+    return base(spark, sf, "documents", costly=True).select("doc_id", X.clean_text(F.col("text"), max_chars=None).alias("body"))
 
 
 @check("f4_html_text")
 def _(spark, sf):
-    return view(spark, sf, "html_pages").select("page_id", H.html_text(F.col("html")).alias("body"))
+    return view(spark, sf, "html_pages", costly=True).select("page_id", H.html_text(F.col("html")).alias("body"))
 
 
 _PAGES = ctes("html_pages")
@@ -93,7 +93,7 @@ _PAGES = ctes("html_pages")
   lambda t: regexp_matches(t, 'src="http') and not regexp_matches(t, '(width|height)="[01]"')),
   lambda t: regexp_extract(t, 'src="([^"]*)"', 1)), ' ') as images from html_pages""")
 def _(spark, sf):
-    return view(spark, sf, "html_pages").select("page_id", F.array_join(H.image_urls(F.col("html")), " ").alias("images"))
+    return view(spark, sf, "html_pages", costly=True).select("page_id", F.array_join(H.image_urls(F.col("html")), " ").alias("images"))
 
 
 _ALL_LINKS = r"""list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: starts_with(h, 'http') and not contains(lower(h), 'unsubscribe') and length(h) < 150)"""
@@ -102,13 +102,13 @@ _ALL_LINKS = r"""list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), l
 @check("f6_first_links", f"""{_PAGES}, l as (select page_id, {_ALL_LINKS} as l from html_pages)
   select page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:3], ' ') as links from l""")
 def _(spark, sf):
-    return view(spark, sf, "html_pages").select("page_id", F.array_join(H.links(F.col("html")), " ").alias("links"))
+    return view(spark, sf, "html_pages", costly=True).select("page_id", F.array_join(H.links(F.col("html")), " ").alias("links"))
 
 
 @check("u3_distinct_links_in_order", f"""{_PAGES}, l as (select page_id, {_ALL_LINKS} as l from html_pages)
   select page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') as links from l""")
 def _(spark, sf):
-    return view(spark, sf, "html_pages").select("page_id", F.array_join(H.links(F.col("html"), first=None), " ").alias("links"))
+    return view(spark, sf, "html_pages", costly=True).select("page_id", F.array_join(H.links(F.col("html"), first=None), " ").alias("links"))
 
 
 @check("w3_first_images", rf"""{_PAGES} select page_id, array_to_string(list_transform(list_filter(regexp_extract_all(html, '<img [^>]*>'),
@@ -116,7 +116,7 @@ def _(spark, sf):
   lambda t: regexp_extract(t, 'src="([^"]*)"', 1)), ' ') as images from html_pages""")
 def _(spark, sf):
     images = F.slice(H.image_urls(F.col("html")), 1, dims.MAX_IMAGES)
-    return view(spark, sf, "html_pages").select("page_id", F.array_join(images, " ").alias("images"))
+    return view(spark, sf, "html_pages", costly=True).select("page_id", F.array_join(images, " ").alias("images"))
 
 
 @check("f7_wall_clock", f"{ctes('raw_mail')} select seq, replace(substr(date, 1, 19), 'T', ' ') as received from raw_mail")
@@ -126,12 +126,12 @@ def _(spark, sf):
 
 @check("f8_rule_label", f"{_STEPS} select id, rule_label as label from labels")
 def _(spark, sf):
-    return E.classify(view(spark, sf, "emails")).select("id", "label")
+    return E.classify(view(spark, sf, "emails", costly=True)).select("id", "label")
 
 
 @check("f8_rule_label_of_documents", f"select doc_id, {sql_label('low')} as label from (select doc_id, lower(text) as low from documents)")
 def _(spark, sf):
-    rows = base(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    rows = base(spark, sf, "documents", costly=True).select("doc_id", F.lower("text").alias("low"))
     return rows.select("doc_id", R.label(F.col("low")).alias("label"))
 
 
@@ -162,7 +162,7 @@ def _(spark, sf):
 
 @check("f13_merchant_of_documents", f"select doc_id, {_MERCHANT} as merchant from (select doc_id, {_CLEAN} as body_text from documents)")
 def _(spark, sf):
-    rows = base(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text"), None).alias("body_text"))
+    rows = base(spark, sf, "documents", costly=True).select("doc_id", X.clean_text(F.col("text"), None).alias("body_text"))
     return rows.select("doc_id", R.merchant(F.col("body_text")).alias("merchant"))
 
 
@@ -186,20 +186,20 @@ def _(spark, sf):
 @check("f16_spending_category_of_documents", f"""select doc_id, {sql_first("(low || ' none')", dims.SPENDING_KEYWORDS, 'Other')} as category
   from (select doc_id, lower(text) as low from documents)""")
 def _(spark, sf):
-    rows = base(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    rows = base(spark, sf, "documents", costly=True).select("doc_id", F.lower("text").alias("low"))
     return rows.select("doc_id", R.spending_category(F.col("low"), F.lit(None).cast("string")).alias("category"))
 
 
 @check("f17_offer_category", f"select doc_id, {sql_first('low', dims.OFFER_KEYWORDS, 'General')} as category from (select doc_id, lower(text) as low from documents)")
 def _(spark, sf):
-    rows = base(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    rows = base(spark, sf, "documents", costly=True).select("doc_id", F.lower("text").alias("low"))
     return rows.select("doc_id", R.offer_category(F.col("low")).alias("category"))
 
 
 @check("f18_rule_record", f"""{_STEPS} select id as email_id, bank_name, amount::double as amount, direction as transaction_type, merchant, card_last4,
   category, rule_date as transaction_date, payment_mode, substr(body_text, 1, 500) as raw_text from labels where by_rule""")
 def _(spark, sf):
-    return E.rule_transactions(view(spark, sf, "emails")).withColumn("amount", num("amount"))
+    return E.rule_transactions(view(spark, sf, "emails", costly=True)).withColumn("amount", num("amount"))
 
 
 _RULES_ONLY = """final as (select *, rule_label as label from labels),
@@ -232,7 +232,7 @@ def _(spark, sf):
 def _(spark, sf):
     label = F.col("label")
     route = F.when(label.isin(dims.CREDIT_LABEL, dims.DEBIT_LABEL), "transaction").when(label == dims.PROMOTION_LABEL, "offer")
-    return E.classify(view(spark, sf, "emails")).select("id", route.alias("route"))
+    return E.classify(view(spark, sf, "emails", costly=True)).select("id", route.alias("route"))
 
 
 @check("p11_loaded_rows", f"{_STEPS}, {_RULES_ONLY}, {_OFFERS} select email_id, 'transaction' as kind from txns where amount <> 0 union all select email_id, 'offer' from offer_rows where offer_text <> ''")
@@ -326,7 +326,7 @@ def _shouting_model(texts: list[str]) -> list[str]:
 
 @check("g4_batch_model_with_retries", f"""{_STEPS} select id, case when contains(low, 'otp') or contains(lower(subject), 'otp') then 'OTP_SECURITY_ALERT' else rule_label end as label from labels""")
 def _(spark, sf):
-    em = view(spark, sf, "emails")
+    em = view(spark, sf, "emails", costly=True)
     request = X.request_text("Subject: {subject}\nBody: {body}", subject=(F.col("subject"), 200), body=(F.col("body_text"), 600))
     replies = E.ask(em.select(F.col("id").alias("email_id"), request.alias("request")), _shouting_model)
     return E.classify(em, replies).select("id", "label")
@@ -335,7 +335,7 @@ def _(spark, sf):
 @check("f29_request_texts", f"{_E} select id, 'Subject: ' || substr(subject, 1, 200) || chr(10) || 'Body: ' || substr(body_text, 1, 600) as request from emails")
 def _(spark, sf):
     request = X.request_text("Subject: {subject}\nBody: {body}", subject=(F.col("subject"), 200), body=(F.col("body_text"), 600))
-    return view(spark, sf, "emails").select("id", request.alias("request"))
+    return view(spark, sf, "emails", costly=True).select("id", request.alias("request"))
 
 
 @check("a11_batch_summary", f"{_STEPS}, {_RULES_ONLY}, {_OFFERS} select (select count(*) from labels) as classified, (select count(*) from txns) as transactions_extracted, (select count(*) from offer_rows) as offers_extracted")
@@ -365,6 +365,6 @@ def _(spark, sf):
 
 @check("p9_new_mails_processed", f"{_STEPS} select id, rule_label as label from labels where received_date >= timestamp '1999-01-01'")
 def _(spark, sf):
-    em = view(spark, sf, "emails")
+    em = view(spark, sf, "emails", costly=True)
     new = em.filter(F.col("received_date") >= X.ntz("1999-01-01 00:00:00")).select("id")
     return process(spark, sf, new_ids=new).classified.select("id", "label")

@@ -90,8 +90,10 @@ def _tags(html: Column, tag: str) -> Column:
     """Inside of every `<tag ...>`, comments and script or style bodies left out."""
     seen = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
     seen = F.regexp_replace(seen, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    # most bodies have no such tag at all: a plain search settles that
+    present = F.when(F.lower(html).contains(f"<{tag}"), seen).otherwise(F.lit(""))
     pattern = rf"""(?is)<{tag}(?=[\s/>])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-    return F.regexp_extract_all(seen, F.lit(pattern), 1)
+    return F.regexp_extract_all(present, F.lit(pattern), 1)
 
 
 def _attribute(inside: Column, name: str) -> Column:

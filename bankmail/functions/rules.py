@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bankmail import dims
-from bankmail.functions.once import array_of, map_of
+from bankmail.functions.once import array_of, let, map_of
 
 
 def _hit(text: Column, word: str, whole_words: bool = False) -> Column:
@@ -138,37 +138,30 @@ def normalize_date(token: Column, strict: bool = False) -> Column:
     from bankmail.functions.text import strip
 
     token = strip(token)
-    low = F.lower(token)
-
-    def part(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(low, pattern, group), F.lit(""))
-
-    numeric = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4}|\d{2})$"
-    named = r"^(\d{1,2})(-|\s+)([a-z]+)(-|\s+)(\d{4}|\d{2})$"
-    name, gap1, gap2 = part(named, 3), F.regexp_extract(low, named, 2), F.regexp_extract(low, named, 4)
+    year = r"(?:\d{4}|\d{2})"
+    # one separator throughout; dashes go with short month names only
+    forms = [
+        rf"\d{{1,2}}/\d{{1,2}}/{year}",
+        rf"\d{{1,2}}-\d{{1,2}}-{year}",
+        rf"\d{{1,2}}\s+[a-z]+\s+{year}",
+        rf"\d{{1,2}}-[a-z]{{3}}-{year}",
+    ]
     months = {m[:3]: i for i, m in enumerate(dims.MONTHS, 1)} | {m: i for i, m in enumerate(dims.MONTHS, 1)}
-    table = map_of(months)
-    # dashes go with short names only, and not with blanks
-    well_formed = ((gap1 == "-") == (gap2 == "-")) & ((gap1 != "-") | (F.length(name) == 3))
-    month = F.coalesce(
-        part(numeric, 3).cast("int"),
-        F.when(well_formed, F.try_element_at(table, name)),
-    )
-    day = F.coalesce(part(numeric, 1), part(named, 1)).cast("int")
-    year_text = F.coalesce(part(numeric, 4), part(named, 5))
-    year = year_text.cast("int") + F.when(F.length(year_text) == 4, 0).when(
-        year_text.cast("int") >= 69, 1900
-    ).otherwise(2000)
-    built = F.concat_ws(
-        "-",
-        F.lpad(year.cast("string"), 4, "0"),
-        F.lpad(month.cast("string"), 2, "0"),
-        F.lpad(day.cast("string"), 2, "0"),
-    )
-    complete = year.isNotNull() & (year > 0) & month.isNotNull() & day.isNotNull()
-    iso = F.when(complete, built).try_cast("date").cast("string")
+    table = map_of({name: str(i) for name, i in months.items()})
+
+    def built(p: Column) -> Column:
+        short = F.length(p[2]) == 2
+        century = F.when(short & (p[2] >= "69"), "19").when(short, "20").otherwise("")
+        month = F.coalesce(F.try_element_at(table, p[1]), p[1])
+        return F.concat(century, p[2], F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(p[0], 2, "0"))
+
+    parts = F.split(F.lower(token), r"[-/\s]+")
+    fits = F.rlike(F.lower(token), F.lit("^(?:" + "|".join(forms) + r")\z"))
+    text = F.when(fits, let(parts, built))
+    iso = F.when(~text.startswith("0000"), text).try_cast("date").cast("string")
     if strict:
-        iso = F.coalesce(F.when(F.rlike(token, F.lit(r"^\d{4}-\d{2}-\d{2}$")), token).try_cast("date").cast("string"), iso)
+        own = F.when(F.rlike(token, F.lit(r"^\d{4}-\d{2}-\d{2}\z")), token)
+        iso = F.coalesce(own.try_cast("date").cast("string"), iso)
     return F.coalesce(iso, token)
 
 

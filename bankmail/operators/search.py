@@ -35,9 +35,8 @@ _MARKED, _PLAIN = _accents()
 
 def fold(text: Column) -> Column:
     """Lower case, accents off. Pure ASCII text skips the accent table."""
-    low = F.lower(text)
-    bare = F.translate(F.regexp_replace(low, "[̀-̱]", ""), _MARKED, _PLAIN)
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(bare)
+    bare = F.translate(F.regexp_replace(text, "[̀-̱]", ""), _MARKED, _PLAIN)
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(bare))
 
 
 def words(text: Column) -> Column:

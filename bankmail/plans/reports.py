@@ -18,30 +18,43 @@ def spending_report(transactions: DataFrame, emails: DataFrame) -> DataFrame:
     Sections: 1 totals, 2 categories by spend, 3 banks by spend, 4 months. `sort` puts the
     lines of a section in order. An empty table gives the zero totals only.
     """
-    t = S.totals(transactions)
+    summary = S.spending_summary(transactions, emails)
     money = "decimal(28,2)"
+    net = F.col("total_debits") - F.col("total_credits")
+    count = F.col("total_count").cast("string")
 
-    def figure(sort: float, label: str, value) -> DataFrame:
-        return t.select(
-            F.lit(1).alias("section"),
+    def figure(sort: float, label: str, value, shown):
+        return F.struct(
             F.lit(sort).alias("sort"),
             F.lit(label).alias("label"),
             value.cast(money).alias("total"),
-            F.col("total_count").alias("count"),
-            F.lit(None).cast("double").alias("share"),
-            (
-                F.concat(F.lit(f"{label}: "), F.col("total_count").cast("string"))
-                if label == "Total Transactions"
-                else F.concat(F.lit(f"{label}: "), format_inr(value))
-            ).alias("line"),
+            F.concat(F.lit(f"{label}: "), shown).alias("line"),
         )
 
-    head = figure(1.0, "Total Debits", F.col("total_debits"))
-    head = head.unionByName(figure(2.0, "Total Credits", F.col("total_credits")))
-    head = head.unionByName(figure(3.0, "Total Transactions", F.lit(None)))
-    head = head.unionByName(figure(4.0, "Net Outflow", F.col("total_debits") - F.col("total_credits")))
+    debits, credits = F.col("total_debits"), F.col("total_credits")
+    head = summary.totals.select(
+        "total_count",
+        F.inline(
+            F.array(
+                figure(1.0, "Total Debits", debits, format_inr(debits)),
+                figure(2.0, "Total Credits", credits, format_inr(credits)),
+                figure(3.0, "Total Transactions", F.lit(None), count),
+                figure(4.0, "Net Outflow", net, format_inr(net)),
+            )
+        ),
+    ).select(
+        F.lit(1).alias("section"),
+        "sort",
+        "label",
+        "total",
+        F.col("total_count").alias("count"),
+        F.lit(None).cast("double").alias("share"),
+        "line",
+    )
 
-    categories = S.category_share(transactions).select(
+    all_debits = summary.totals.select(F.col("total_debits").cast("double")).scalar()
+    share = F.round(F.when(all_debits != 0, F.col("total").cast("double") / all_debits * 100).otherwise(0.0), 1)
+    categories = summary.by_category.withColumn("share", share).select(
         F.lit(2).alias("section"),
         (-F.col("total").cast("double")).alias("sort"),
         F.col("category").alias("label"),
@@ -53,7 +66,7 @@ def spending_report(transactions: DataFrame, emails: DataFrame) -> DataFrame:
             F.col("count").cast("string"), F.lit(" txns, "), F.format_number("share", 1), F.lit("%)"),
         ).alias("line"),
     )
-    banks = S.by_bank(transactions).select(
+    banks = summary.by_bank.select(
         F.lit(3).alias("section"),
         (-F.col("total").cast("double")).alias("sort"),
         F.col("bank_name").alias("label"),
@@ -65,7 +78,7 @@ def spending_report(transactions: DataFrame, emails: DataFrame) -> DataFrame:
             F.col("count").cast("string"), F.lit(" txns)"),
         ).alias("line"),
     )
-    months = S.monthly(S.daily(transactions, emails)).select(
+    months = S.monthly(summary.daywise).select(
         F.lit(4).alias("section"),
         F.replace("month", F.lit("-"), F.lit("")).cast("double").alias("sort"),
         F.col("month").alias("label"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bankmail.sources.mail import spread
+
 # view -> (base table, SQL with {base}, {ts}, {minutes})
 _MESSAGE_ID = "concat('M', cast(o_orderkey - (case when o_orderkey % 50 = 7 then 1 else 0 end) as string))"
 _SENDER = """case o_custkey % 7 when 0 then 'alerts@hdfcbank.net' when 1 then 'info@mail.sbicard.com'
@@ -163,15 +165,17 @@ def _fill(sql: str, **parts: str) -> str:
     return sql
 
 
-def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def base(spark: SparkSession, sf_dir: str, table: str, costly: bool = False) -> DataFrame:
+    """A test table; `costly` deals it out to all cores for work that is heavy per row."""
+    scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(scan) if costly else scan
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
     """The named view as a DataFrame."""
     table, sql = VIEWS[name]
     alias = f"bankmail_{table}"
-    base(spark, sf_dir, table).createOrReplaceTempView(alias)
+    base(spark, sf_dir, table, costly).createOrReplaceTempView(alias)
     return spark.sql(_fill(sql, base=alias, **_SPARK))
 
 
