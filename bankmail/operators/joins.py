@@ -16,8 +16,8 @@ def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     AQE's skew join (the right side is unique per key, so the splits stay small).
     """
     l_salt = F.when(F.col(left_key).isNull(), F.pmod(F.hash(spread_by), F.lit(SPREAD)) + 1).otherwise(0)
-    # never NULL for a row that can match, yet no literal, so it stays part of the hash key
-    r_salt = F.when(F.col("__k").isNull(), 1).otherwise(0)
+    # always 0, but no constant to the optimizer, so it stays part of the hash key
+    r_salt = F.pmod(F.hash("__k"), F.lit(1))
     keyed = right.withColumnRenamed(right_key, "__k").withColumn("__rs", r_salt)
     return (
         left.withColumn("__ls", l_salt)

@@ -52,7 +52,8 @@ def spending_report(transactions: DataFrame, emails: DataFrame) -> DataFrame:
         "line",
     )
 
-    all_debits = summary.totals.select(F.col("total_debits").cast("double")).scalar()
+    # all columns of the totals, so that the subquery reads the same rollup as the lines above
+    all_debits = summary.totals.select(F.struct("*")).scalar()["total_debits"].cast("double")
     share = F.round(F.when(all_debits != 0, F.col("total").cast("double") / all_debits * 100).otherwise(0.0), 1)
     categories = summary.by_category.withColumn("share", share).select(
         F.lit(2).alias("section"),

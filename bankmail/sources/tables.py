@@ -76,19 +76,24 @@ def rewrite(
     rows = spark.read.schema(_stored_schema(table)).parquet(path)
     if touched is not None:
         rows = rows.filter(touched)
+    keys = _partitions(table)
+
+    def folders(df: DataFrame) -> set[str]:
+        # names of folders only, as many as the table has of them
+        return {"/".join(f"{k}={r[k]}" for k in keys) for r in df.select(*keys).distinct().toLocalIterator()}
+
+    before = folders(rows)
     aside = materialize(change(rows).select(*rows.columns), f"rewrite-{table.name}")
     (
         aside.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*_partitions(table))
+        .partitionBy(*keys)
         .parquet(path)
     )
     # a folder that lost all its rows is not overwritten by the job above
-    keys = _partitions(table)
-    emptied = rows.select(*keys).distinct().join(aside.select(*keys).distinct(), keys, "left_anti")
     hadoop = spark._jvm.org.apache.hadoop.fs
-    for row in emptied.toLocalIterator():
-        folder = hadoop.Path("/".join([path, *[f"{k}={row[k]}" for k in keys]]))
+    for name in before - folders(aside):
+        folder = hadoop.Path(f"{path}/{name}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

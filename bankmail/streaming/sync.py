@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from bankmail.operators.maintain import run_status
@@ -12,17 +12,25 @@ from bankmail.sources import tables
 from bankmail.streaming.mail import per_batch
 
 
-def into_tables(mail: DataFrame, root: str, checkpoint: str, as_of, **options) -> StreamingQuery:
+def into_tables(
+    mail: DataFrame, root: str, checkpoint: str, as_of, history: Column | None = None, **options
+) -> StreamingQuery:
     """Landed mail into the tables under `root`, each file once, each mail once.
 
     The stored mails are the memory of what was seen, for any length of history; the file
     source's checkpoint is the high-water mark. A repeated micro-batch first removes what
     its earlier attempt stored from the duplicate check, then replaces it.
+
+    Each batch reads the key columns of the stored mails. Where repeats are known to come
+    within a time, `history`, e.g. `F.col("received_month") >= "2025-05"`, prunes that scan to
+    the folders it names; without it the check covers everything ever stored.
     """
     spark = mail.sparkSession
 
     def handle(rows: DataFrame, batch: str) -> None:
         stored = tables.read_others(spark, root, EMAILS, batch)
+        if history is not None:
+            stored = stored.filter(history)
         store(spark, sync(rows, stored, as_of, stage=True, **options), root, batch, as_of)
 
     return per_batch(mail, handle, checkpoint)
