@@ -90,8 +90,9 @@ def insert_new(
         complete = complete & F.col(c).isNotNull()
     # rows equal in `order` are told apart by their content, so a rerun keeps the same one
     ties = F.xxhash64(*batch.columns)
-    fresh = first_per_key(batch.filter(complete), key, [*[F.col(c) for c in order], ties])
-    seen = stored.select(*key).join(fresh.select(*key), key, "left_semi")
+    valid = batch.filter(complete)
+    fresh = first_per_key(valid, key, [*[F.col(c) for c in order], ties])
+    seen = stored.select(*key).join(valid.select(*key).distinct(), key, "left_semi")
     return fresh.join(seen, key, "left_anti")
 
 

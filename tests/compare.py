@@ -43,9 +43,9 @@ def duck_rows(con, sql):
     return cols, sorted((tuple(_cell(r[i]) for i in order) for r in cur.fetchall()), key=repr)
 
 
-def difference(spark, name, query, sql, sf_dir):
+def difference(df, sql, sf_dir):
     """None when equal, else a short account of the first difference."""
-    c1, r1 = spark_rows(query(spark, sf_dir))
+    c1, r1 = spark_rows(df)
     c2, r2 = duck_rows(connect(sf_dir), sql)
     if c1 != c2:
         return f"columns {c1} != {c2}"
