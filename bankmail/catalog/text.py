@@ -81,7 +81,21 @@ def _(spark, sf):
     return base(spark, sf, "documents", costly=True).select("doc_id", X.clean_text(F.col("text"), max_chars=None).alias("body"))
 
 
-@check("f4_html_text")
+_UNESCAPED = "p"
+for _escape, _char in {
+    "&middot;": "·", "&copy;": "©", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&",
+}.items():
+    _UNESCAPED = f"replace({_UNESCAPED}, {quoted(_escape)}, {quoted(_char)})"
+# an ampersand may lack its semicolon
+_UNESCAPED = f"regexp_replace({_UNESCAPED}, '&amp;?', '&', 'g')"
+_HTML_TEXT = rf"""{ctes('html_pages')}, t as (select page_id, string_split_regex(regexp_replace(regexp_replace(html,
+    '(?is)<(script|style)\b.*?</(script|style)>', chr(1), 'g'), '<[^>]*>', chr(1), 'g'), chr(1)) as parts from html_pages),
+  u as (select page_id, list_transform(parts, lambda p: {_UNESCAPED}) as parts from t)
+  select page_id, array_to_string(list_filter(list_transform(parts,
+    lambda p: regexp_replace(p, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g')), lambda p: p <> ''), ' ') as body from u"""
+
+
+@check("f4_html_text", _HTML_TEXT)
 def _(spark, sf):
     return view(spark, sf, "html_pages", costly=True).select("page_id", H.html_text(F.col("html")).alias("body"))
 
