@@ -334,15 +334,15 @@ def _(spark, sf):
     return E.unread(with_models(spark, sf).classified).select("id")
 
 
-def _shouting_model(texts: list[str]) -> list[str]:
-    return ['{"category": "OTP_SECURITY_ALERT"}' if "otp" in t.lower() else "none" for t in texts]
-
-
 @check("g4_batch_model_with_retries", f"""{_STEPS} select id, case when contains(low, 'otp') or contains(lower(subject), 'otp') then 'OTP_SECURITY_ALERT' else rule_label end as label from labels""")
 def _(spark, sf):
+    # a local function travels to the executors with its code, wherever this package is installed
+    def model(texts: list[str]) -> list[str]:
+        return ['{"category": "OTP_SECURITY_ALERT"}' if "otp" in t.lower() else "none" for t in texts]
+
     em = view(spark, sf, "emails", costly=True)
     request = X.request_text("Subject: {subject}\nBody: {body}", subject=(F.col("subject"), 200), body=(F.col("body_text"), 600))
-    replies = E.ask(em.select(F.col("id").alias("email_id"), request.alias("request")), _shouting_model)
+    replies = E.ask(em.select(F.col("id").alias("email_id"), request.alias("request")), model)
     return E.classify(em, replies).select("id", "label")
 
 
