@@ -16,6 +16,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII bytes that are no letter and no digit, for words without punctuation.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
 _LOWER_BYTE = _BYTE.copy()
 _LOWER_BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
@@ -56,9 +58,9 @@ def spans_hash(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.nda
 class Words:
     """The words of several texts in one row: hash of each, and where each text's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        self.data, self.offsets = data, offsets
-        solid = ~_SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE):
+        self.data, self.offsets, self.table = data, offsets, _LOWER_BYTE if lower else _BYTE
+        solid = ~between[data]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
         ends = solid.copy()
@@ -69,15 +71,17 @@ class Words:
         ends[last] |= solid[last]
         self.first, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.starts = np.searchsorted(self.first, offsets)
-        self.hashes = self._hashes(_LOWER_BYTE if lower else _BYTE)
+        self.hashes = self.heads(None)
 
-    def _hashes(self, table: np.ndarray) -> np.ndarray:
+    def heads(self, most: int | None) -> np.ndarray:
+        """Hash of each word's first `most` bytes, or of all."""
         out, done, n = np.empty(len(self.first), U64), 0, len(self.first)
         while done < n:
             base = self.first[done]
             upto = max(done + 1, int(np.searchsorted(self.end, base + BLOCK)))
             f, e = self.first[done:upto] - base, self.end[done:upto] - base
-            out[done:upto] = spans_hash(table[self.data[base : base + e[-1]]], f, e)
+            values = self.table[self.data[base : base + e[-1]]]
+            out[done:upto] = spans_hash(values, f, e if most is None else np.minimum(e, f + most))
             done = upto
         return out
 
@@ -112,8 +116,8 @@ def portions(batches: Iterator[pa.RecordBatch], text: str = "text", size: int =
             at = upto
 
 
-def words_of(batch: pa.RecordBatch, text: str = "text", lower: bool = False) -> Words:
-    return Words(*text_buffers(batch.column(text)), lower=lower)
+def words_of(batch: pa.RecordBatch, text: str = "text", **how) -> Words:
+    return Words(*text_buffers(batch.column(text)), **how)
 
 
 def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

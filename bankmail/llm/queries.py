@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from bankmail.llm.base import documents
 from bankmail.llm.exact_dedup import exact_duplicates
+from bankmail.llm.fingerprints import neighbours
+from bankmail.llm.learn import fold
 from bankmail.llm.mixing import mix
 from bankmail.llm.packing import pack
+from bankmail.llm.pii import KINDS, personal_data
+from bankmail.llm.quality import quality
 from bankmail.llm.token_counts import length_histogram
+from bankmail.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +81,31 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(documents(spark, sf_dir))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(documents(spark, sf_dir))
+    named = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["end"])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    spans = F.array_join(F.transform(F.sort_array(F.concat("base", "added")), named), ",")
+    return found.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], "base_sha256", spans.alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(documents(spark, sf_dir))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 5) == 0
+    scored = quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), learn=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 4) == 2
+    scored = toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), learn=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
