@@ -12,6 +12,7 @@ from bankmail.llm.exact_dedup import exact_duplicates
 from bankmail.llm.fingerprints import neighbours
 from bankmail.llm.learn import fold
 from bankmail.llm.mixing import mix
+from bankmail.llm.ngram_join import jaccard_components
 from bankmail.llm.packing import pack
 from bankmail.llm.pii import KINDS, personal_data
 from bankmail.llm.quality import quality
@@ -109,3 +110,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 4) == 2
     scored = toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), learn=~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
