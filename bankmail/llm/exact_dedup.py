@@ -78,12 +78,14 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", ma
 def without_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     decided = materialize(exact_duplicates(docs, id, text).select(F.col(id).alias("_id"), "kept", F.col("text_sha256").alias("_sha")), "decided")
-    # an id with one text needs no look at the text; ids of several rows do
     several = decided.groupBy("_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("stay"))
-    several = small(materialize(several.where("n > stay").select("_id", "stay", "n"), "several"))
+    several = small(materialize(several.where("n > stay").select("_id", "stay"), "several"))
     same = F.col(id).eqNullSafe(F.col("_id"))
     clear = docs.join(several, same, "left_anti")
-    mixed = docs.join(several.where("stay > 0"), same, "left_semi").withColumn("_sha2", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    if several.where("stay > 0").isEmpty():
+        return clear
+    # ids of several rows, some of which stay: their texts tell which
+    mixed = docs.join(several.where("stay > 0"), same, "left_semi").withColumn("_text", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     stay = decided.where("kept").select("_id", "_sha").distinct()
-    mixed = mixed.dropDuplicates([id, "_sha2"]).join(stay, same & (F.col("_sha2") == F.col("_sha")), "left_semi").drop("_sha2")
+    mixed = mixed.dropDuplicates([id, "_text"]).join(stay, same & (F.col("_text") == F.col("_sha")), "left_semi").drop("_text")
     return clear.unionByName(mixed)

@@ -289,3 +289,10 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     least = materialize(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     out = rooted.join(least, "root").select("id", "n", "component_id")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` whose id is the least of their component, with all their columns."""
+    found = jaccard_components(docs, id, text)
+    others = found.where(~F.col("component_id").eqNullSafe(F.col(id))).select(F.col(id).alias("_id")).distinct()
+    return docs.join(small(materialize(others, "others")), F.col(id).eqNullSafe(F.col("_id")), "left_anti")

@@ -16,6 +16,7 @@ from bankmail.llm.ngram_join import jaccard_components
 from bankmail.llm.packing import pack
 from bankmail.llm.pii import KINDS, personal_data
 from bankmail.llm.quality import quality
+from bankmail.llm.substring_dedup import without_repeats
 from bankmail.llm.token_counts import length_histogram
 from bankmail.llm.toxicity import toxicity
 
@@ -115,3 +116,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

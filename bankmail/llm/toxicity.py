@@ -227,3 +227,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn=None, label: str = "toxic
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = rows.mapInArrow(scored, f"id {docs.schema[id].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that are not predicted toxic, with all their columns; a filter as they are read."""
+    model = fit(labelled_sample(docs, labels, label, F.lit(True), id, text))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, text):
+            score = shared.value.score(words_of(batch, text, lower=True, between=NOT_ALNUM))
+            yield batch.filter(pa.array(score < THRESHOLD))
+
+    return docs.mapInArrow(clean, docs.schema)
