@@ -12,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a few numbers that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-__all__ = ["BROADCAST_ROWS", "WORD", "documents", "materialize", "n_words", "small"]
+__all__ = ["BROADCAST_ROWS", "WORD", "documents", "fresh", "materialize", "n_words", "small"]
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -27,6 +27,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

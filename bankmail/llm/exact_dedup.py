@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bankmail.llm.base import materialize, small
+from bankmail.llm.base import fresh, materialize, small
 
 MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 28
 CELLS_A_ROW = 16
@@ -77,15 +77,17 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", ma
 
 def without_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    decided = materialize(exact_duplicates(docs, id, text).select(F.col(id).alias("_id"), "kept", F.col("text_sha256").alias("_sha")), "decided")
-    several = decided.groupBy("_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("stay"))
-    several = small(materialize(several.where("n > stay").select("_id", "stay"), "several"))
-    same = F.col(id).eqNullSafe(F.col("_id"))
-    clear = docs.join(several, same, "left_anti")
+    own, sha, whole = fresh(docs, "_id", "_sha", "_whole")
+    decided = exact_duplicates(docs, id, text).select(F.col(id).alias(own), "kept", F.col("text_sha256").alias(sha))
+    decided = materialize(decided, "decided")
+    several = decided.groupBy(own).agg(F.count("*").alias("n"), F.count_if("kept").alias("stay"))
+    several = materialize(several.where("n > stay").select(own, "stay"), "several")
+    same = F.col(id).eqNullSafe(F.col(own))
+    clear = docs.join(small(several), same, "left_anti")
     if several.where("stay > 0").isEmpty():
         return clear
     # ids of several rows, some of which stay: their texts tell which
-    mixed = docs.join(several.where("stay > 0"), same, "left_semi").withColumn("_text", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    stay = decided.where("kept").select("_id", "_sha").distinct()
-    mixed = mixed.dropDuplicates([id, "_text"]).join(stay, same & (F.col("_text") == F.col("_sha")), "left_semi").drop("_text")
+    mixed = docs.join(small(several.where("stay > 0")), same, "left_semi").withColumn(whole, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    stay = decided.where("kept").select(own, sha).distinct()
+    mixed = mixed.dropDuplicates([id, whole]).join(stay, same & (F.col(whole) == F.col(sha)), "left_semi").drop(whole)
     return clear.unionByName(mixed)

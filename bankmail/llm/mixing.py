@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bankmail.llm.base import materialize, n_words, small
+from bankmail.llm.base import fresh, materialize, n_words, small
 
 WEIGHTS = (5, 2, 1)
 BITS, STEP = 60, 12
@@ -83,17 +83,17 @@ def _planned(docs: DataFrame, id: str, text: str, source: str, weights: tuple[in
     cuts = materialize(thresholds(sizes, goals.where("need < source_size")), "cuts").withColumnRenamed("source", "s")
     plan = goals.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left")
     cut = F.coalesce("cut", F.lit(1 << BITS))  # all of it fits
-    return sizes, small(materialize(plan.select(F.col("source").alias("_source"), "source_size", "target", F.col("base").alias("_base"), cut.alias("_cut")), "plan"))
+    return sizes, small(materialize(plan.select(F.col("source").alias("of"), "source_size", "target", "base", cut.alias("cut")), "plan"))
 
 
-def _copies(h: Column) -> Column:
-    return F.col("_base") + F.when(h < F.col("_cut"), 1).otherwise(0)
+def _copies(h: Column, base: str = "base", cut: str = "cut") -> Column:
+    return F.col(base) + F.when(h < F.col(cut), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """For each row: id, size, source_size, target, copies (0, 1 or 2 times the document is taken) and taken (words)."""
     sizes, plan = _planned(docs, id, text, source, weights)
-    out = sizes.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", _copies(F.col("h")))
+    out = sizes.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", _copies(F.col("h")))
     return out.select(F.col("id").alias(id), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -103,6 +103,8 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     A filter by the thresholds of each row's source; documents are not shuffled.
     """
     _, plan = _planned(docs, id, text, source, weights)
-    rows = docs.join(plan.select("_source", "_base", "_cut"), F.col(source).eqNullSafe(F.col("_source")))
-    times = F.explode(F.array_repeat(F.lit(0), _copies(document_hash(F.col(id)))))
-    return rows.select(*[docs[c] for c in docs.columns], times.alias("_time")).drop("_time")
+    of, base, cut, time = fresh(docs, "_of", "_base", "_cut", "_time")
+    plan = plan.select(F.col("of").alias(of), F.col("base").alias(base), F.col("cut").alias(cut))
+    rows = docs.join(plan, F.col(source).eqNullSafe(F.col(of)))
+    times = F.explode(F.array_repeat(F.lit(0), _copies(document_hash(F.col(id)), base, cut)))
+    return rows.withColumn(time, times).drop(of, base, cut, time)

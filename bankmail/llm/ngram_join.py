@@ -35,12 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from bankmail.llm.base import materialize, small
+from bankmail.llm.base import fresh, materialize, small
 from bankmail.llm.components import components
+from bankmail.llm.fragments import dealt, fragment_bits, gathered, packed
 from bankmail.llm.hashing import U64, distinct, mix, portions, shingles, words_of
 
 SHINGLE = 5
@@ -61,54 +61,31 @@ def _front(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - -(-3 * n // 4) + 1, 0)
 
 
-def _bits(spark: SparkSession) -> int:
-    """Fragments are 2 ** bits equal ranges of the hash: four for every shuffle partition, so that none outgrows a task."""
-    return max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-
-
-def _dealt(fragment: np.ndarray, *columns: np.ndarray) -> Iterator[list]:
-    """[fragment, bytes of each column] for every fragment."""
-    order = np.argsort(fragment, kind="stable")
-    fragment, columns = fragment[order], [c[order] for c in columns]
-    cuts = np.flatnonzero(np.diff(fragment)) + 1
-    for lo, hi in zip([0, *cuts], [*cuts, len(fragment)], strict=True):
-        if hi > lo:
-            yield [int(fragment[lo]), *(c[lo:hi].tobytes() for c in columns)]
-
-
-def _bytes(rows: list[list], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k in range(len(names))], names)
-
-
-def _gathered(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
 def frequent(rows: DataFrame, bits: int) -> np.ndarray:
     """The leading bits + 32 bits of shingle hashes that more than FREQUENT documents have, ascending."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, size = [], 0
+        held, size = [], 0
 
         def out():
-            keys, counts = np.unique(np.concatenate(gathered), return_counts=True)
-            found = _dealt((keys >> U64(32)).astype(np.int32), keys.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8))
-            return _bytes(list(found), ["fragment", "keys", "counts"])
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            found = dealt((keys >> U64(32)).astype(np.int32), keys.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8))
+            return packed(list(found), ["fragment", "keys", "counts"])
 
         for batch in portions(batches):
             h, bounds = _sets(batch)
             n = np.diff(bounds)
             keep = (h < U64(int(REGION * (1 << 64)))) | np.repeat(n <= SMALL_SET, n)
-            gathered.append(h[keep] >> U64(32 - bits))
-            size += len(gathered[-1])
+            held.append(h[keep] >> U64(32 - bits))
+            size += len(held[-1])
             if size > GATHER:
                 yield out()
-                gathered, size = [], 0
+                held, size = [], 0
         if size:
             yield out()
 
     def summed(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        keys, counts = _gathered(group["keys"], "u4"), _gathered(group["counts"], "u1")
+        keys, counts = gathered(group["keys"], "u4"), gathered(group["counts"], "u1")
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order].astype(np.int64)
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -160,16 +137,16 @@ def _meeting(fronts: DataFrame, bits: int) -> DataFrame:
     A size is n * 2^32 + the number of frequent shingles in the front part.
     """
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("rare")
             h = np.asarray(lists.flatten()).view(U64)
             each = np.diff(np.asarray(lists.offsets))
-            rows = list(_dealt((h >> U64(64 - bits)).astype(np.int32), h, np.repeat(np.asarray(batch.column("row")), each), np.repeat(np.asarray(batch.column("size")), each)))
-            yield _bytes(rows, ["fragment", "h", "node", "size"])
+            rows = list(dealt((h >> U64(64 - bits)).astype(np.int32), h, np.repeat(np.asarray(batch.column("row")), each), np.repeat(np.asarray(batch.column("size")), each)))
+            yield packed(rows, ["fragment", "h", "node", "size"])
 
     def met(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        h, node, size = _gathered(group["h"], "i8"), _gathered(group["node"], "i8"), _gathered(group["size"], "i8")
+        h, node, size = gathered(group["h"], "i8"), gathered(group["node"], "i8"), gathered(group["size"], "i8")
         order = np.lexsort((node, h))
         h, node, size = h[order], node[order], size[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -198,7 +175,7 @@ def _meeting(fronts: DataFrame, bits: int) -> DataFrame:
             names=["x", "y", "size_x", "size_y", "c", "h"],
         )
 
-    parts = fronts.select("row", "size", "rare").mapInArrow(dealt, "fragment int, h binary, node binary, size binary")
+    parts = fronts.select("row", "size", "rare").mapInArrow(parted, "fragment int, h binary, node binary, size binary")
     pairs = parts.groupBy("fragment").applyInArrow(met, "x long, y long, size_x long, size_y long, c long, h long")
     return materialize(pairs, "met")
 
@@ -237,7 +214,7 @@ def _links(docs: DataFrame, id: str, text: str, nodes: DataFrame, pairs: DataFra
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: id, n_shingles and component_id, the least id that links reach."""
-    bits = _bits(docs.sparkSession)
+    bits = fragment_bits(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     fronts = _fronts(rows, frequent(rows, bits), bits, docs.schema[id].dataType.simpleString())
 
@@ -293,6 +270,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the least of their component, with all their columns."""
+    (own,) = fresh(docs, "_id")
     found = jaccard_components(docs, id, text)
-    others = found.where(~F.col("component_id").eqNullSafe(F.col(id))).select(F.col(id).alias("_id")).distinct()
-    return docs.join(small(materialize(others, "others")), F.col(id).eqNullSafe(F.col("_id")), "left_anti")
+    others = found.where(~F.col("component_id").eqNullSafe(F.col(id))).select(F.col(id).alias(own)).distinct()
+    return docs.join(small(materialize(others, "others")), F.col(id).eqNullSafe(F.col(own)), "left_anti")
