@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bankmail.llm.base import fresh, materialize, small
@@ -124,10 +124,10 @@ def _fronts(rows: DataFrame, often: np.ndarray, bits: int, id_type: str) -> Data
             lists = []
             for part in (front & ~hot, front & hot):
                 lists.append((np.append(0, np.cumsum(part))[bounds].astype(np.int32), h[part].view(np.int64)))
-            columns = [batch.column("row"), batch.column("id"), pa.array(n), *map(pa.array, signs), pa.array(np.diff(lists[1][0]).astype(np.int64)), *(pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in lists)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n", "sign1", "sign2", "n_hot", "rare", "hot"])
+            columns = [batch.column("row"), batch.column("id"), batch.column("mark"), pa.array(n), *map(pa.array, signs), pa.array(np.diff(lists[1][0]).astype(np.int64)), *(pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in lists)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "mark", "n", "sign1", "sign2", "n_hot", "rare", "hot"])
 
-    schema = f"row long, id {id_type}, n long, sign1 long, sign2 long, n_hot long, rare array<long>, hot array<long>"
+    schema = f"row long, id {id_type}, mark long, n long, sign1 long, sign2 long, n_hot long, rare array<long>, hot array<long>"
     return materialize(rows.mapInArrow(fronts, schema), "fronts")
 
 
@@ -214,13 +214,18 @@ def _links(docs: DataFrame, id: str, text: str, nodes: DataFrame, pairs: DataFra
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: id, n_shingles and component_id, the least id that links reach."""
+    return _components(docs, id, text).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """For each row: id, a hash of the text as mark, n and component_id."""
     bits = fragment_bits(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), _mark(text).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     fronts = _fronts(rows, frequent(rows, bits), bits, docs.schema[id].dataType.simpleString())
 
     classes = fronts.where("n > 0").groupBy("sign1", "sign2", "n").agg(F.min("row").alias("node"))
     classes = materialize(classes, "classes")
-    members = materialize(fronts.select("row", "id", "n", "sign1", "sign2").join(classes, ["sign1", "sign2", "n"], "left").select("row", "id", "n", F.coalesce("node", "row").alias("node")), "members")
+    members = materialize(fronts.select("row", "id", "mark", "n", "sign1", "sign2").join(classes, ["sign1", "sign2", "n"], "left").select("row", "id", "mark", "n", F.coalesce("node", "row").alias("node")), "members")
     copies = small(materialize(members.where("row <> node").select("row"), "copies"))
     size = (F.shiftleft("n", 32) + F.col("n_hot")).alias("size")
     nodes = fronts.where("n > 0").join(copies, "row", "left_anti").select("row", "id", "n", "sign1", "sign2", size, "rare", "hot")
@@ -261,16 +266,20 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
         more = _links(docs, id, text, nodes, crossing)
         roots = materialize(components(links.union(more)), "roots")
 
-    rooted = members.join(roots, "node", "left").select("row", "id", "n", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(roots, "node", "left").select("id", "mark", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
-    out = rooted.join(least, "root").select("id", "n", "component_id")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
+    return rooted.join(least, "root").select("id", "mark", "n", "component_id")
+
+
+def _mark(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the least of their component, with all their columns."""
-    (own,) = fresh(docs, "_id")
-    found = jaccard_components(docs, id, text)
-    others = found.where(~F.col("component_id").eqNullSafe(F.col(id))).select(F.col(id).alias(own)).distinct()
-    return docs.join(small(materialize(others, "others")), F.col(id).eqNullSafe(F.col(own)), "left_anti")
+    own, mark = fresh(docs, "_id", "_mark")
+    others = _components(docs, id, text).where(~F.col("component_id").eqNullSafe(F.col("id")))
+    others = others.select(F.col("id").alias(own), F.col("mark").alias(mark)).distinct()
+    same = F.col(id).eqNullSafe(F.col(own)) & (_mark(text) == F.col(mark))
+    return docs.join(small(materialize(others, "others")), same, "left_anti")
