@@ -1,0 +1,130 @@
+"""Personal data, fingerprints, classifiers: against plain versions and held-out labels."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from bankmail.llm import quality as q
+from bankmail.llm import toxicity as t
+from bankmail.llm.fingerprints import containment, fingerprint, likeness, merged, neighbours, sketch_of, sketches
+from bankmail.llm.hashing import NOT_ALNUM, Words, shingles, text_buffers
+from bankmail.llm.pii import KINDS, base_spans, luhn, personal_data
+
+from compare import TESTDATA
+
+PATTERNS = [
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]",
+]
+
+
+def plain_spans(text):
+    ok = [
+        lambda m: True, lambda m: all(int(p) <= 255 for p in m.split(".")),
+        lambda m: 12 <= len(re.sub("[ -]", "", m)) <= 19 and luhn(re.sub("[ -]", "", m)), lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    ]
+    return sorted((m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in re.finditer(p, text) if ok[k](m[0]))
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(5)
+    assert luhn("4539578763621486") and not luhn("4539578763621487")
+    pieces = ["a@b.co", "@", ".", "-", "+", " ", "1", "12", "255.", "256", "0", "4539 5787 6362 1486", "4539578763621486", "+49 (30) 1234-5678", "x", "é", "10.0.0.1", "00010.1.2.3", "\n", "a.b@c-d.e.f", "²"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        assert base_spans(text) == plain_spans(text), text
+
+
+def test_contexts_discover_what_the_patterns_miss(spark):
+    cards = ["4539578763621486", "4556737586899855", "4916338506082832", "4024007198964305"]
+    rows = [(k, f"pay with Card number: {c} today") for k, c in enumerate(cards)]
+    rows += [(10, "wrong Card number: 4539578763621487 here"), (11, "in the year 4539578763621487 of long numbers"), (12, None), (13, "")]
+    rows += [(20 + k, f"mail is at the door of the house at a{k}@b.org and at the time") for k in range(4)] + [(30, "at root@localhost it ended")]
+    found = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) == len(rows)
+    assert [tuple(s) for s in found[10].added] == [(19, 2, 35)]
+    assert not found[11].added and not found[30].added  # "at" and "year" are no patterns of identifiers
+    assert found[0].base[0].kind == KINDS.index("card") and not found[12].base
+
+
+def test_personal_data_of_odd_rows(odd, rows, none):
+    found = personal_data(odd).collect()
+    expected = [[f"{KINDS[k]}:{s}:{e}" for s, k, e in plain_spans(x or "")] for _, x, _ in rows]
+    assert sorted(r.base_sha256 for r in found) == sorted(hashlib.sha256(",".join(x).encode()).hexdigest() for x in expected)
+    assert personal_data(none).count() == 0
+
+
+def test_fingerprints_of_odd_rows(odd, rows, none):
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    texts = [x or "" for _, x, _ in order]
+    edited = [x[: len(x) - len(x) // 4] + y[: len(x) // 4] for x, y in zip(texts, [*texts[1:], texts[0]], strict=True)]
+    own = [fingerprint(s) for s in sketches(pa.array(texts))]
+    expected = sorted((str(d), len(x), hashlib.sha256(e.encode()).hexdigest(), f) for (d, _, _), x, e, f in zip(order, texts, edited, own, strict=True))
+    found = neighbours(odd).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint) for r in found) == expected
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
+    assert neighbours(none).count() == 0
+
+
+def test_one_document_follows_itself(spark):
+    row = neighbours(spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")).first()
+    assert row.near_next == 1.0
+
+
+def test_sketches_estimate_similarity():
+    rng = random.Random(2)
+    words = [str(rng.random()) for _ in range(6000)]
+    whole, part, other = " ".join(words), " ".join(words[:1500]), " ".join(words[1000:7000] + ["x"])
+    a, b, c = sketches(pa.array([whole, part, other]))
+    assert a[0] == 8 and len(a[1]) == pytest.approx(6000 / 8, rel=0.15)
+    assert containment(b, a) == 1 and containment(a, b) == pytest.approx(0.25, abs=0.04)
+    assert likeness(a, c) == pytest.approx(5 / 6, abs=0.05)
+    short = sketches(pa.array([" ".join(words[:60])]))[0]
+    assert short[0] == 1 and containment(short, a) == 1
+    assert fingerprint(sketch_of(fingerprint(a))) == fingerprint(a)
+    assert (merged(a, b)[1] == a[1]).all()
+
+
+def test_hashes_of_words():
+    texts = ["one two  one", "", "\tThree ONE\n", "x" * 3_000_000, None]
+    plain, low = (Words(*text_buffers(pa.array(texts)), lower=k) for k in (False, True))
+    assert plain.counts.tolist() == [3, 0, 2, 1, 0]
+    assert plain.hashes[0] == plain.hashes[2] != plain.hashes[4] and low.hashes[0] == low.hashes[4]
+    letters = Words(*text_buffers(pa.array(["a-b, ü!", "b"])), between=NOT_ALNUM)
+    assert letters.counts.tolist() == [3, 1] and letters.hashes[1] == letters.hashes[3]
+    h, of = shingles(low)
+    assert of.tolist() == [0, 2, 3] and len(set(h.tolist())) == 3
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    docs, labels = (spark.read.parquet(f"{TESTDATA}/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    return docs.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("toxic"), F.col("quality").cast("double").alias("quality")).toArrow()
+
+
+@pytest.mark.parametrize("module, label, of, rest, how", [(t, "toxic", 4, 2, {"lower": True, "between": NOT_ALNUM}), (q, "quality", 5, 0, {})])
+def test_held_out_labels(labelled, module, label, of, rest, how):
+    held = np.array([zlib.crc32(str(d).encode()) % of == rest for d in labelled["doc_id"].to_pylist()])
+    rows = labelled.select(["text", label]).rename_columns(["text", "label"])
+    model, test = module.fit(rows.filter(pa.array(~held))), rows.filter(pa.array(held))
+    score, y = model.score(Words(*text_buffers(test["text"]), **how)), np.asarray(test["label"]) > 0
+    assert ((score >= module.THRESHOLD) == y).mean() > 0.97
+    again = model.score(Words(*text_buffers(test["text"].slice(7, 1)), **how))
+    assert again[0] == pytest.approx(score[7], abs=1e-5)  # a score depends on its own text only
+
+
+def test_scores_of_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(k, k % 2, k % 3 == 0) for k in range(100, 140)] + [(None, 1, True), (100, None, None), (101, 0, None)], "doc_id long, toxic int, quality boolean")
+    labels = labels.withColumn("quality", F.col("quality").cast("int"))
+    for run in (lambda d, x: t.toxicity(d, x), lambda d, x: q.quality(d, x)):
+        scored = run(odd, labels).collect()
+        assert len(scored) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in scored)
+        assert {r.score for r in run(odd, labels.where("false")).collect()} == {0.0}
+        assert run(none, labels).count() == 0
+    assert t.without_toxic(odd, labels.where("false")).columns == odd.columns
+    assert t.without_toxic(odd, labels.where("false")).count() == odd.count()
