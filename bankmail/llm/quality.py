@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bankmail.llm.hashing import Words, portions, text_buffers, words_of
+from bankmail.llm.hashing import Words, portions, words_of
 from bankmail.llm.learn import Adam, labelled_sample, sigmoid
 
 THRESHOLD = 0.3
@@ -33,7 +33,7 @@ PASSAGE = 64
 CODE, GATE = 16, 8
 EPOCHS, BATCH, RATE = 15, 64, 0.01
 #: Classes of bytes: small and capital letters, digits, blanks, line ends, bytes beyond ASCII, and marks one by one in groups.
-_CLASS = np.full(256, 15, np.int64)
+_CLASS = np.full(256, 15, np.int32)
 for _k, _s in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!?", "|", "*", "#%", "&$", "<>=/\\", "-_()[]{}"]):
     _CLASS[[ord(c) for c in _s]] = _k
 _CLASS[128:] = 14
@@ -57,7 +57,7 @@ def passages(words: Words) -> tuple[np.ndarray, np.ndarray]:
     begin = np.where(k == 0, words.offsets[:-1][of], words.first[np.minimum(first, max(len(words.first) - 1, 0))] if len(words.first) else 0)
     stop = np.append(begin[1:], words.offsets[-1])
     size = stop - begin
-    at = np.repeat(np.arange(len(of)), size)
+    at = np.repeat(np.arange(len(of), dtype=np.int32), size)
     kind = _CLASS[words.data]
     shares = np.bincount(at * CLASSES + kind, minlength=len(of) * CLASSES).reshape(-1, CLASSES)
     own = np.ones(max(len(at) - 1, 0), bool)  # pairs of bytes of one document
@@ -124,7 +124,9 @@ def fit(sample: pa.Table, seed: int = 7) -> Model:
     labels = np.asarray(sample["label"], np.float64)
     if not 0 < labels.sum() < len(labels):
         return Model({}, float(labels.mean()) if len(labels) else 0.0)
-    x, bounds = passages(Words(*text_buffers(sample["text"])))
+    parts = [passages(words_of(b)) for b in portions(sample.select(["text"]).to_batches(), size=1 << 19)]
+    x = np.concatenate([f for f, _ in parts])
+    bounds = np.cumsum(np.concatenate([[0], *(np.diff(b) for _, b in parts)]))
     rng = np.random.default_rng(seed)
     some = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
     learned = {
