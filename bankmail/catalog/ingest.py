@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bankmail import dims, schemas
+from bankmail.caps import PARITY
 from bankmail.catalog.registry import SQL_BANKS, check, quoted, sql_bank, txt
 from bankmail.functions import html as H
 from bankmail.functions import text as X
@@ -42,7 +43,7 @@ inserted as (select * from firsts f where not exists (select 1 from ids s where
 
 
 def records(spark, sf):
-    return I.email_records(I.with_bank(M.dated(view(spark, sf, "raw_mail", costly=True))), keep=("seq",))
+    return I.email_records(I.with_bank(M.dated(view(spark, sf, "raw_mail", costly=True))), max_chars=PARITY.body, keep=("seq",))
 
 
 def stored(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bankmail import dims, schemas
+from bankmail.caps import PARITY
 from bankmail.catalog import ingest as G
 from bankmail.catalog.registry import check, num, sql_label, txt
 from bankmail.catalog.text import _AMOUNT, _DIRECTION
@@ -12,6 +13,8 @@ from bankmail.operators import maintain as M
 from bankmail.plans import sync as Y
 from bankmail.sources.derived import base, ctes, view
 
+_IMAGES = (PARITY.images, PARITY.image_min, PARITY.image_chars)
+
 
 @check("s7_transaction_defaults", f"{ctes('transactions')} select cast(id as varchar) as id, coalesce(currency, 'INR') as currency, amount::double as amount, bank_name from transactions")
 def _(spark, sf):
@@ -49,20 +52,20 @@ _MERGED = """merged as (select email_id as id, string_agg(substr(text, 1, 500),
 
 @check("f24_image_texts_merged", f"{ctes('ocr_texts')}, {_MERGED} select id, text, n_texts from merged")
 def _(spark, sf):
-    return M.merged_ocr(view(spark, sf, "ocr_texts"))
+    return M.merged_ocr(view(spark, sf, "ocr_texts"), *_IMAGES)
 
 
 @check("s11_text_appended", f"""{ctes('emails', 'ocr_texts')}, {_MERGED} select e.id, case when m.id is null then body_text else coalesce(body_text, '') || chr(10) || '[VISION EXTRACTED]' || chr(10) || m.text end as body_text
   from emails e left join merged m on m.id = e.id""")
 def _(spark, sf):
-    return M.append_text(view(spark, sf, "emails"), M.merged_ocr(view(spark, sf, "ocr_texts"))).select("id", "body_text")
+    return M.append_text(view(spark, sf, "emails"), M.merged_ocr(view(spark, sf, "ocr_texts"), *_IMAGES)).select("id", "body_text")
 
 
 @check("g3_mails_with_image_text", f"""{ctes('emails', 'ocr_texts')}, {_MERGED} select e.id, false as vision_needed,
   case when m.id is null or not vision_needed then body_text else body_text || chr(10) || '[VISION EXTRACTED]' || chr(10) || m.text end as body_text
   from emails e left join merged m on m.id = e.id""")
 def _(spark, sf):
-    out = Y.merge_ocr(view(spark, sf, "emails"), view(spark, sf, "ocr_texts"))
+    out = Y.merge_ocr(view(spark, sf, "emails"), view(spark, sf, "ocr_texts"), PARITY)
     return out.emails.select("id", "vision_needed", "body_text")
 
 
@@ -72,13 +75,13 @@ _OCR_SUMMARY = f"""{ctes('emails', 'ocr_texts')}, {_MERGED} select count(*) as p
 
 @check("a12_ocr_summary", _OCR_SUMMARY)
 def _(spark, sf):
-    return Y.merge_ocr(view(spark, sf, "emails"), view(spark, sf, "ocr_texts")).summary()
+    return Y.merge_ocr(view(spark, sf, "emails"), view(spark, sf, "ocr_texts"), PARITY).summary()
 
 
 @check("c3_ocr_phase", f"""{ctes('emails', 'ocr_texts')}, {_MERGED} select e.id, 1 as n_images, coalesce(n_texts, 0) as n_texts
   from emails e left join merged m on m.id = e.id where vision_needed""")
 def _(spark, sf):
-    return Y.merge_ocr(view(spark, sf, "emails"), view(spark, sf, "ocr_texts")).pending.select("id", "n_images", "n_texts")
+    return Y.merge_ocr(view(spark, sf, "emails"), view(spark, sf, "ocr_texts"), PARITY).pending.select("id", "n_images", "n_texts")
 
 
 def run_events(spark, sf):
@@ -141,7 +144,7 @@ def _(spark, sf):
     def read_images(urls):
         return urls.select("email_id", "pos", F.concat(F.lit("BANNER "), "url").alias("text"))
 
-    out = Y.sync(view(spark, sf, "raw_mail", costly=True), G.stored(spark, sf), G.AS_OF, read_images=read_images, stage=True)
+    out = Y.sync(view(spark, sf, "raw_mail", costly=True), G.stored(spark, sf), G.AS_OF, read_images=read_images, stage=True, caps=PARITY)
     summary = out.summary(by=["account"])
     one = F.count(F.lit(1)).alias("value")
 

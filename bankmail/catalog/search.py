@@ -161,8 +161,9 @@ _X3 = ranked(
 @check("x3_search_offer_mails", _X3)
 def _(spark, sf):
     d = docs(spark, sf)
-    hits = Q.search(Q.postings(d), Q.doc_lengths(d), all=["reing"], limit=None)
-    return Q.search_emails(labelled(spark, sf), hits, label="CREDIT_LOAN_PROMOTION").select("id", F.round("rank", 8).alias("rank"))
+    mails = labelled(spark, sf)
+    hits = Q.search(Q.postings(d), Q.doc_lengths(d), all=["reing"], among=mails.filter("email_type = 'CREDIT_LOAN_PROMOTION'"))
+    return Q.search_emails(mails, hits).select("id", F.round("rank", 8).alias("rank"))
 
 
 @check("p13_hits_of_one_label", _X3.replace("order by t.rank, t.doc_id limit 20", ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bankmail import dims
+from bankmail.caps import PARITY
 from bankmail.catalog.registry import check, num, quoted, sql_any, sql_first, sql_label, txt
 from bankmail.functions import html as H
 from bankmail.functions import rules as R
@@ -20,7 +21,7 @@ def mails(spark, sf):
 
 
 def process(spark, sf, **kw):
-    return E.process(view(spark, sf, "emails", costly=True), **kw)
+    return E.process(view(spark, sf, "emails", costly=True), caps=PARITY, **kw)
 
 
 _E = ctes("emails")
@@ -73,7 +74,7 @@ _CLEAN = r"""regexp_replace(trim(regexp_replace(text, '[\s\x{0085}\x{00A0}\x{168
 
 @check("f3_clean_text", f"select doc_id, substr({_CLEAN}, 1, 10000) as body from documents")
 def _(spark, sf):
-    return base(spark, sf, "documents", costly=True).select("doc_id", X.clean_text(F.col("text")).alias("body"))
+    return base(spark, sf, "documents", costly=True).select("doc_id", X.clean_text(F.col("text"), PARITY.body).alias("body"))
 
 
 @check("f3_clean_text_uncapped", f"select doc_id, {_CLEAN} as body from documents")
@@ -116,13 +117,13 @@ _ALL_LINKS = r"""list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), l
 @check("f6_first_links", f"""{_PAGES}, l as (select page_id, {_ALL_LINKS} as l from html_pages)
   select page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:3], ' ') as links from l""")
 def _(spark, sf):
-    return view(spark, sf, "html_pages", costly=True).select("page_id", F.array_join(H.links(F.col("html")), " ").alias("links"))
+    return view(spark, sf, "html_pages", costly=True).select("page_id", F.array_join(H.links(F.col("html"), PARITY.links, PARITY.link_chars), " ").alias("links"))
 
 
 @check("u3_distinct_links_in_order", f"""{_PAGES}, l as (select page_id, {_ALL_LINKS} as l from html_pages)
   select page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') as links from l""")
 def _(spark, sf):
-    return view(spark, sf, "html_pages", costly=True).select("page_id", F.array_join(H.links(F.col("html"), first=None), " ").alias("links"))
+    return view(spark, sf, "html_pages", costly=True).select("page_id", F.array_join(H.links(F.col("html"), max_chars=PARITY.link_chars), " ").alias("links"))
 
 
 @check("w3_first_images", rf"""{_PAGES} select page_id, array_to_string(list_transform(list_filter(regexp_extract_all(html, '<img [^>]*>'),
@@ -213,7 +214,7 @@ def _(spark, sf):
 @check("f18_rule_record", f"""{_STEPS} select id as email_id, bank_name, amount::double as amount, direction as transaction_type, merchant, card_last4,
   category, rule_date as transaction_date, payment_mode, substr(body_text, 1, 500) as raw_text from labels where by_rule""")
 def _(spark, sf):
-    return E.rule_transactions(view(spark, sf, "emails", costly=True)).withColumn("amount", num("amount"))
+    return E.rule_transactions(view(spark, sf, "emails", costly=True), max_raw=PARITY.raw).withColumn("amount", num("amount"))
 
 
 _RULES_ONLY = """final as (select *, rule_label as label from labels),

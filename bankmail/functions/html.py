@@ -128,13 +128,13 @@ def image_urls(html: Column) -> Column:
     return F.transform(usable, lambda i: i["src"])
 
 
-def links(html: Column, first: int | None = dims.MAX_LINKS) -> Column:
-    """Distinct `http` targets in first-seen order, short ones only, none to unsubscribe."""
+def links(html: Column, first: int | None = None, max_chars: int | None = None) -> Column:
+    """Distinct `http` targets in first-seen order, none to unsubscribe; the `first` ones and those below `max_chars` where given."""
     targets = F.filter(
         F.transform(_tags(html, "a"), lambda t: _attribute(t, "href")),
         lambda h: F.startswith(h, F.lit("http"))
         & ~F.contains(F.lower(h), F.lit("unsubscribe"))
-        & (F.length(h) < dims.MAX_LINK_CHARS),
+        & (F.lit(True) if max_chars is None else F.length(h) < max_chars),
     )
     found = F.array_distinct(targets)
     return found if first is None else F.slice(found, 1, first)

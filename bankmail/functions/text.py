@@ -51,7 +51,7 @@ def bank_of_domain(
     return bank
 
 
-def clean_text(text: Column, max_chars: int | None = dims.MAX_BODY_CHARS) -> Column:
+def clean_text(text: Column, max_chars: int | None = None) -> Column:
     """One space between words, footer from 'This email/message is...' on dropped, capped."""
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
     body = F.regexp_replace(flat, r"(?is)This (email|message) (is|was|has been).*\z", "")

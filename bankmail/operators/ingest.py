@@ -10,7 +10,6 @@ from bankmail.functions import html as H
 from bankmail.functions import text as X
 from bankmail.functions.once import once
 from bankmail.operators.joins import first_per_key
-from bankmail.schemas import EMAILS
 from bankmail.sources.mail import dated
 
 KEY = ["account", "folder", "message_id"]
@@ -27,14 +26,14 @@ def with_bank(
 def email_records(
     mail: DataFrame,
     as_of=None,
-    max_chars: int | None = dims.MAX_BODY_CHARS,
+    max_chars: int | None = None,
     key: list[str] | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """The e-mail record of every mail from a recognised bank.
 
     Expects `with_bank`; `received_date` is made from `date` where it is not there yet. The HTML parser sees only mails whose plain part is blank.
-    `keep` names extra input columns to carry along.
+    `keep` names extra input columns to carry along; `max_chars` cuts the body.
     """
     key = KEY if key is None else key
     plain = F.coalesce(F.col("text"), F.lit(""))
@@ -159,6 +158,3 @@ def ingest_summary(scanned: DataFrame, inserted: DataFrame, by: list[str] | None
 def banks_found(inserted: DataFrame) -> DataFrame:
     return inserted.select("bank_name").filter(F.col("bank_name").isNotNull()).distinct()
 
-
-def schema_columns() -> list[str]:
-    return EMAILS.schema.names

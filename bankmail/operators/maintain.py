@@ -11,12 +11,12 @@ from bankmail import dims
 def update_by_id(rows: DataFrame, updates: DataFrame, key: str, columns: list[str], seq: str | None = None) -> DataFrame:
     """Rows with `columns` replaced where an update for their key exists.
 
-    Several updates of one key: the one with the highest `seq` counts (required then).
+    Several updates of one key: the one with the highest `seq` counts, without `seq` the least.
     Updates are reduced to one row per key before the join.
     """
     change = F.struct(*[F.col(c) for c in columns])
     latest = updates.groupBy(F.col(key).alias("__k")).agg(
-        (F.max_by(change, F.col(seq)) if seq else F.any_value(change)).alias("__new")
+        (F.max_by(change, F.col(seq)) if seq else F.min(change)).alias("__new")
     )
     joined = rows.join(latest, rows[key] == F.col("__k"), "left")
     keep = [
@@ -37,8 +37,8 @@ def mark_ocr_done(emails: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def append_text(emails: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Adds the marker line and `extracted.text` (one row per id) to the body."""
-    texts = extracted.select(F.col("id").alias("__k"), F.col("text").alias("__t"))
+    """Adds the marker line and `extracted.text` to the body; of several texts of one id the least."""
+    texts = extracted.groupBy(F.col("id").alias("__k")).agg(F.min("text").alias("__t"))
     body = F.when(
         F.col("__t").isNotNull(),
         F.concat(
@@ -54,18 +54,20 @@ def append_text(emails: DataFrame, extracted: DataFrame) -> DataFrame:
 
 def merged_ocr(
     texts: DataFrame,
-    first: int = dims.MAX_IMAGES,
-    min_chars: int = dims.MIN_OCR_CHARS,
-    max_chars: int = dims.MAX_OCR_CHARS,
+    first: int | None = None,
+    min_chars: int = 0,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """One text per mail from (email_id, pos, text): (id, text, n_texts).
 
-    Positions from `first` on are left out before grouping, so a group never
-    holds more than `first` texts.
+    Texts of `min_chars` or fewer characters are left out, and what lies beyond position `first` or
+    `max_chars` where these are given. A mail's images bound its group.
     """
-    usable = texts.filter((F.col("pos") < first) & (F.length("text") > min_chars)).select(
-        F.col("email_id").alias("id"), "pos", F.substr("text", F.lit(1), F.lit(max_chars)).alias("text")
-    )
+    usable = texts.filter(F.length("text") > min_chars)
+    if first is not None:
+        usable = usable.filter(F.col("pos") < first)
+    text = F.col("text") if max_chars is None else F.substr("text", F.lit(1), F.lit(max_chars))
+    usable = usable.select(F.col("email_id").alias("id"), "pos", text.alias("text"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
     return usable.groupBy("id").agg(
         F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"),

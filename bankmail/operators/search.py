@@ -140,13 +140,15 @@ def search(
     near: tuple[list[str], int] | None = None,
     column: str | None = None,
     limit: int | None = 20,
+    among: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, rank) of matching documents, best first.
 
     all / any / none: words a document must all have, must have one of, must not have,
     over any fields together. phrase: words that follow one another inside one field.
     prefix: the beginning of a word. near: (words, most words between). column: look in this
-    field only. No words at all give an empty result.
+    field only. among: ids (column `id`) of the documents that may be found; they are chosen before the
+    limit. No words at all give an empty result.
 
     `rows` are postings (made on the fly or stored), `lengths` is (doc_id, doc_len).
     """
@@ -242,24 +244,14 @@ def search(
         idf = F.greatest(F.log((corpus["n"] - d + 0.5) / (d + 0.5)), F.lit(IDF_FLOOR))
         score = score + idf * f * (K1 + 1) / (f + length)
     ranked = per_doc.filter(matches).select("doc_id", (-score).alias("rank"))
+    if among is not None:
+        ranked = ranked.join(among.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     if limit is None:
         return ranked
     return ranked.orderBy("rank", "doc_id").limit(limit)
 
 
-def search_emails(emails: DataFrame, hits: DataFrame, limit: int = 20, label: str | None = None) -> DataFrame:
-    """Mails of the hits with `rank`, best first; with `label`, only mails of that label.
-
-    With no label the limit is already in `hits` and the mails are looked up by these few
-    ids. With a label the hits must be unlimited, and the label is tested before the limit.
-    """
-    if label is None:
-        top = hits.orderBy("rank", "doc_id").limit(limit)
-        found = emails.join(F.broadcast(top), emails["id"] == top["doc_id"]).drop("doc_id")
-    else:
-        labelled = emails.filter(F.col("email_type") == label).select("id")
-        top = (
-            hits.join(labelled, hits["doc_id"] == labelled["id"], "left_semi").orderBy("rank", "doc_id").limit(limit)
-        )
-        found = emails.join(F.broadcast(top), emails["id"] == top["doc_id"]).drop("doc_id")
-    return found.orderBy("rank", "id")
+def search_emails(emails: DataFrame, hits: DataFrame, limit: int = 20) -> DataFrame:
+    """Mails of the hits with `rank`, best first; only the mails of these few ids are looked up."""
+    top = hits.orderBy("rank", "doc_id").limit(limit)
+    return emails.join(top, emails["id"] == top["doc_id"]).drop("doc_id").orderBy("rank", "id")

@@ -11,15 +11,21 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bankmail import dims
+from bankmail.caps import WHOLE, Caps
 from bankmail.functions import html as H
 from bankmail.functions import rules as R
 from bankmail.functions import text as X
 from bankmail.functions.once import once
 
+
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substr(text, F.lit(1), F.lit(chars))
+
+
 LABEL_REPLY = "category string, bank_or_platform string, amount_inr string"
 TXN_REPLY = (
     "amount string, transaction_type string, merchant string, card_last4 string,"
@@ -36,22 +42,31 @@ REPLY_TYPE = (
 def ask(requests: DataFrame, model: Callable[[list[str]], list[str]], retries: int = 3) -> DataFrame:
     """Replies (email_id, response_text, error) of `model` for (email_id, request).
 
-    `model` takes a batch of texts and gives a text each. A batch that fails is tried
-    again up to `retries` times; then its rows carry the error instead of a reply.
+    `model` takes a batch of texts and gives a text each. A batch that fails, or gives another
+    number of texts, is tried again up to `retries` times; then it is halved, so that in the end
+    only the rows that fail alone carry the error instead of a reply.
     """
 
+    def answered(texts: list[str]) -> list[tuple[str | None, str | None]]:
+        error = ""
+        for _ in range(retries):
+            try:
+                replies = list(model(texts))
+                if len(replies) == len(texts):
+                    return [(r, None) for r in replies]
+                error = f"{len(replies)} replies to {len(texts)} requests"
+            except Exception as e:  # noqa: BLE001 - reported as data
+                error = str(e)
+        if len(texts) < 2:
+            return [(None, error)] * len(texts)
+        half = len(texts) // 2
+        return answered(texts[:half]) + answered(texts[half:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            replies, error = [None] * len(batch), None
-            for _ in range(retries):
-                try:
-                    replies, error = list(model(batch["request"].tolist())), None
-                    break
-                except Exception as e:  # noqa: BLE001 - reported as data
-                    error = str(e)
-            yield pd.DataFrame(
-                {"email_id": batch["email_id"], "response_text": pd.Series(replies, index=batch.index, dtype=object), "error": error}
-            )
+            found = answered(batch["request"].tolist())
+            reply, error = ([f[k] for f in found] for k in (0, 1))
+            yield pd.DataFrame({"email_id": batch["email_id"].array, "response_text": pd.array(reply, object), "error": pd.array(error, object)})
 
     kind = requests.schema["email_id"].dataType.simpleString()
     return requests.select("email_id", "request").mapInPandas(
@@ -59,6 +74,15 @@ def ask(requests: DataFrame, model: Callable[[list[str]], list[str]], retries: i
     )
 
 
+def one_per_mail(replies: DataFrame, columns: list[str]) -> DataFrame:
+    """One reply a mail: replies come at least once, and repeated ones must not multiply mails.
+
+    Of different replies the least in the order of their columns counts, on every run.
+    """
+    least = F.min(F.struct(*columns)).alias("r")
+    return replies.groupBy("email_id").agg(least).select("email_id", "r.*")
+
+
 def parsed_label_replies(replies: DataFrame, validate: bool = True) -> DataFrame:
     """(email_id, label, bank_or_platform, amount_inr) of replies that hold a category.
 
@@ -99,7 +123,7 @@ def classify(
             {"reply_bank": F.lit(None).cast("string"), "reply_amount": F.lit(None).cast("string")}
         )
     else:
-        r = parsed_label_replies(replies, validate).select(
+        r = one_per_mail(parsed_label_replies(replies, validate), ["label", "bank_or_platform", "amount_inr"]).select(
             F.col("email_id").alias("__k"), F.col("label").alias("__l"),
             F.col("bank_or_platform").alias("reply_bank"), F.col("amount_inr").alias("reply_amount"),
         )
@@ -108,7 +132,11 @@ def classify(
 
 
 def rule_transactions(
-    emails: DataFrame, strict: bool = False, whole_words: bool = False, keep: tuple[str, ...] = ()
+    emails: DataFrame,
+    strict: bool = False,
+    whole_words: bool = False,
+    keep: tuple[str, ...] = (),
+    max_raw: int | None = None,
 ) -> DataFrame:
     """One row per mail whose body gives a direction and an amount other than zero.
 
@@ -133,7 +161,7 @@ def rule_transactions(
         R.spending_category(low, F.col("merchant"), whole_words).alias("category"),
         R.normalize_date(F.col("token"), strict).alias("transaction_date"),
         R.payment_mode(low, whole_words).alias("payment_mode"),
-        F.substr("body_text", F.lit(1), F.lit(dims.MAX_RAW_CHARS)).alias("raw_text"),
+        _cut(F.col("body_text"), max_raw).alias("raw_text"),
         *keep,
     )
 
@@ -143,6 +171,7 @@ def transactions(
     txn_replies: DataFrame | None = None,
     strict: bool = False,
     whole_words: bool = False,
+    max_raw: int | None = None,
 ) -> DataFrame:
     """Transactions of the mails labelled as money moved; expects `classify`.
 
@@ -166,7 +195,7 @@ def transactions(
         rows = rows.withColumn("r", F.lit(None).cast(REPLY_TYPE)).withColumn("by_reply", F.lit(False))
     else:
         parts = [f.split()[0] for f in TXN_REPLY.split(", ")]
-        parsed = parsed_txn_replies(txn_replies).select(F.col("email_id").alias("__k"), F.struct(*parts).alias("r"))
+        parsed = one_per_mail(parsed_txn_replies(txn_replies), parts).select(F.col("email_id").alias("__k"), F.struct(*parts).alias("r"))
         rows = rows.join(parsed, F.col("email_id") == F.col("__k"), "left").withColumn(
             "by_reply", ~by_rule & F.col("__k").isNotNull()
         )
@@ -204,7 +233,7 @@ def transactions(
             X.iso_text(F.col("received_date")),
         ).alias("transaction_date"),
         pick(R.payment_mode(low, whole_words), "payment_mode", "Other"),
-        F.when(read, F.substr("body_text", F.lit(1), F.lit(dims.MAX_RAW_CHARS))).alias("raw_text"),
+        F.when(read, _cut(F.col("body_text"), max_raw)).alias("raw_text"),
     )
     return out.withColumn("txn_date", R.real_date(F.col("transaction_date")))
 
@@ -213,27 +242,28 @@ def offers(
     classified: DataFrame,
     replies: DataFrame | None = None,
     as_of=None,
-    max_chars: int | None = dims.MAX_OFFER_CHARS,
+    caps: Caps = WHOLE,
 ) -> DataFrame:
     """Offers of the promotion mails; expects `classify`. Bodies under 20 characters give none.
 
-    The text is the body, cut, or a model's summary from `replies` (email_id, response_text)
-    unless it says NO_OFFER; then the receipt line and up to three links follow.
+    The text is the body, cut by `caps`, or a model's summary from `replies` (email_id, response_text)
+    unless it says NO_OFFER; then the receipt line and the links follow.
     """
     promos = classified.filter(
         (F.col("label") == dims.PROMOTION_LABEL) & (F.length("body_text") >= dims.MIN_OFFER_CHARS)
     )
-    raw = F.col("body_text") if max_chars is None else F.substr("body_text", F.lit(1), F.lit(max_chars))
+    raw = _cut(F.col("body_text"), caps.offer)
     text, basis = raw, raw
     if replies is not None:
-        r = replies.select(F.col("email_id").alias("__k"), F.col("response_text").alias("__r"))
+        given = replies.filter(F.col("response_text").isNotNull())
+        r = one_per_mail(given, ["response_text"]).select(F.col("email_id").alias("__k"), F.col("response_text").alias("__r"))
         promos = promos.join(r, F.col("id") == F.col("__k"), "left")
         usable = F.when(
             (F.coalesce("__r", F.lit("")) != "") & ~F.contains(F.upper("__r"), F.lit("NO_OFFER")), F.col("__r")
         )
         text, basis = F.coalesce(X.strip(usable), raw), F.coalesce(usable, raw)
     found = F.col("found")
-    promos = once(promos, found=F.array_join(H.links(F.col("body_html")), "\n"))
+    promos = once(promos, found=F.array_join(H.links(F.col("body_html"), caps.links, caps.link_chars), "\n"))
     tail = F.concat(
         F.lit("\n\nValid From/Received: "),
         F.coalesce(X.iso_text(F.col("received_date")), F.lit("Unknown Date")),
@@ -285,12 +315,13 @@ def process(
     as_of=None,
     strict: bool = False,
     validate: bool = True,
+    caps: Caps = WHOLE,
 ) -> Processed:
-    """Label and read a batch; with `new_ids` (column `id`) only those mails."""
+    """Label and read a batch; with `new_ids` (column `id`) only those mails. `caps` cuts what is kept."""
     if new_ids is not None:
         emails = emails.join(new_ids.select("id"), "id", "left_semi")
     done = classify(emails, label_replies, validate)
-    return Processed(done, transactions(done, txn_replies, strict), offers(done, offer_replies, as_of))
+    return Processed(done, transactions(done, txn_replies, strict, max_raw=caps.raw), offers(done, offer_replies, as_of, caps))
 
 
 def unread(emails: DataFrame, strict: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bankmail import dims
+from bankmail.caps import WHOLE, Caps
 from bankmail.functions import html as H
 from bankmail.functions.once import once
 from bankmail.functions.text import ntz, stable_id
@@ -16,7 +17,7 @@ from bankmail.operators import ingest as I
 from bankmail.operators import maintain as M
 from bankmail.plans.extract import Processed, process
 from bankmail.schemas import EMAILS, OFFERS, SYNC_EVENTS, TRANSACTIONS
-from bankmail.session import materialize
+from bankmail.session import materialize, remove, work_dir
 from bankmail.sources import tables
 from bankmail.sources.mail import dated
 
@@ -41,13 +42,13 @@ class OcrResult:
         )
 
 
-def merge_ocr(emails: DataFrame, texts: DataFrame) -> OcrResult:
+def merge_ocr(emails: DataFrame, texts: DataFrame, caps: Caps = WHOLE) -> OcrResult:
     """Image texts (email_id, pos, text) into the mails flagged for them; all flags end up cleared.
 
     Only flagged mails take part in the join; the others pass through unshuffled.
     """
     flagged = once(emails.filter("vision_needed"), n_images=F.size(H.image_urls(F.col("body_html"))))
-    merged = M.merged_ocr(texts).select(F.col("id").alias("__k"), F.col("text").alias("__t"), "n_texts")
+    merged = M.merged_ocr(texts, caps.images, caps.image_min, caps.image_chars).select(F.col("id").alias("__k"), F.col("text").alias("__t"), "n_texts")
     read = (
         flagged.join(merged, (F.col("id") == F.col("__k")) & (F.col("n_images") > 0), "left")
         .withColumn("n_texts", F.coalesce("n_texts", F.lit(0)))
@@ -73,6 +74,12 @@ class SyncResult:
     inserted: DataFrame
     ocr: OcrResult | None
     processed: Processed
+    folders: tuple[str, ...] = ()
+
+    def release(self) -> None:
+        """Remove what `stage` wrote; the result cannot be read after it."""
+        for folder in self.folders:
+            remove(self.inserted.sparkSession, folder)
 
     def emails(self) -> DataFrame:
         """The new mails as they are stored: labelled, image text merged."""
@@ -103,24 +110,38 @@ def sync(
     read_images: Callable[[DataFrame], DataFrame] | None = None,
     stage: bool = False,
     key: list[str] | None = None,
+    caps: Caps = WHOLE,
     **replies: DataFrame,
 ) -> SyncResult:
     """One run over the mail of any number of accounts.
 
     `read_images` turns (email_id, pos, url) of the flagged mails into (email_id, pos, text).
     With `marks` (account, folder, latest) only mail from the mark's day on is read. `stage`
-    writes the new mails once to the shared folder before they are labelled and read,
-    so the several outputs do not repeat the scan and the duplicate check.
+    writes the new mails, the image texts and the replies once to the shared folder, so the several
+    outputs do not repeat the scan, the duplicate check or a costly function; `release` removes these folders.
+    `caps` cuts texts; whole ones are kept without it.
     """
     mail = dated(mail, as_of)
     if marks is not None:
         mail = I.newer_than_mark(mail, marks, as_of)
     scanned = I.with_bank(mail)
-    inserted = I.insert_new(I.email_records(scanned, as_of, key=key), stored, key)
-    if stage:
-        inserted = materialize(inserted, "new-mails")
-    ocr = merge_ocr(inserted, read_images(image_list(inserted.filter("vision_needed")))) if read_images else None
-    return SyncResult(scanned, inserted, ocr, process(ocr.emails if ocr else inserted, as_of=as_of, **replies))
+    inserted = I.insert_new(I.email_records(scanned, as_of, caps.body, key=key), stored, key)
+    folders = []
+
+    def staged(df: DataFrame, purpose: str) -> DataFrame:
+        if not stage:
+            return df
+        folders.append(work_dir(df.sparkSession, purpose))
+        return materialize(df, purpose, folders[-1])
+
+    inserted = staged(inserted, "new-mails")
+    ocr = None
+    if read_images:
+        texts = staged(read_images(image_list(inserted.filter("vision_needed"))), "image-texts")
+        ocr = merge_ocr(inserted, texts, caps)
+    replies = {k: staged(v, "replies") if isinstance(v, DataFrame) and k.endswith("_replies") else v for k, v in replies.items()}
+    done = process(ocr.emails if ocr else inserted, as_of=as_of, caps=caps, **replies)
+    return SyncResult(scanned, inserted, ocr, done, tuple(folders))
 
 
 def store(spark: SparkSession, result: SyncResult, root: str, batch: str, as_of) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -34,18 +35,30 @@ def _local_root() -> str:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared `spark.checkpoint.dir`.
 
-    Only where the cluster names none (tests, one machine) is a local folder made.
+    Without that setting a folder of this machine is made if Spark runs on this machine only
+    (master `local`, as in tests); on a cluster it is an error, as executors would each write to their own disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/bankmail/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialize(df, purpose: str):
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of `work_dir` whose rows nobody reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialize(df, purpose: str, path: str | None = None):
     """Write `df` once to the shared folder and read it back.
 
     Cuts the lineage so that several consumers do not recompute it, survives the
-    loss of executors, and gives Catalyst true sizes for its join choices.
+    loss of executors, and gives Catalyst true sizes for its join choices. Who passes
+    `path`, from `work_dir`, can `remove` it once the rows are used.
     """
-    path = work_dir(df.sparkSession, purpose)
+    path = path or work_dir(df.sparkSession, purpose)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bankmail.sources.mail import spread
+#: Session setting: number of tasks that tables for heavy work per row are dealt out to; unset, they are not moved.
+REPARTITION = "spark.bankmail.repartition"
 
 # view -> (base table, SQL with {base}, {ts}, {minutes})
 _MESSAGE_ID = "concat('M', cast(o_orderkey - (case when o_orderkey % 50 = 7 then 1 else 0 end) as string))"
@@ -18,17 +19,25 @@ _SENDER = """case o_custkey % 7 when 0 then 'alerts@hdfcbank.net' when 1 then 'i
     when 4 then 'promo@shop.example.com' when 5 then 'AMEX <a@AEXP.COM>' else 'plainname' end"""
 _SUBJECT = """case o_orderkey % 6 when 0 then 'Debit Alert' when 1 then 'Credit Alert'
     when 2 then 'Pre Approved loan offer' when 3 then 'Your OTP' when 4 then 'e-Statement' else 'Hello' end"""
-_BODY = """case o_orderkey % 6
-    when 0 then concat('Rs.', cast(cast(o_totalprice as decimal(18,2)) as string),
-      ' debited from A/c XX', cast(1000 + o_custkey % 9000 as string),
-      ' on 12/06/2025. UPI Ref. Txn to ZOMATO MEDIA PVT. Bal')
-    when 1 then concat('INR ', cast(cast(o_totalprice as decimal(18,2)) as string),
-      ' credited to your account XX', cast(1000 + o_custkey % 9000 as string), ' via NEFT from FLIPKART.')
-    when 2 then 'Get 5% cashback on Amazon. Earn reward points.'
-    when 3 then 'Your login OTP is 123456'
-    when 4 then 'Your statement is due' else 'Hi' end"""
+# own wording; amount, card, date, merchant and mode vary from row to row
+_PAID = "cast(cast(o_totalprice as decimal(18,2)) as string)"
+_CARD = "cast(1000 + o_custkey % 9000 as string)"
+_DAY = "concat(lpad(cast(1 + o_orderkey % 28 as string), 2, '0'), '/', lpad(cast(1 + o_custkey % 12 as string), 2, '0'), '/', cast(2019 + o_orderkey % 7 as string))"
+_BODY = f"""case o_orderkey % 6
+    when 0 then case o_custkey % 4
+      when 0 then concat('A sum of Rs.', {_PAID}, ' was debited on ', {_DAY}, ' by upi from card XX', {_CARD}, '. It went to SWIGGY STORE. Thank you')
+      when 1 then concat('Purchase of INR ', {_PAID}, ' at DMART KOTHRUD on ', {_DAY}, '. Debited from account XX', {_CARD})
+      when 2 then concat('We debited ₹', {_PAID}, ' on ', {_DAY}, ' for an emi. Card ending ', {_CARD})
+      else concat('Debit, amount: ', {_PAID}, ' by imps, info: UBER*TRIP. Account XX', {_CARD}) end
+    when 1 then case o_custkey % 3
+      when 0 then concat('INR ', {_PAID}, ' was credited by neft on ', {_DAY}, ' to savings XX', {_CARD}, '.')
+      when 1 then concat('Refund of Rs. ', {_PAID}, ' from MYNTRA was credited. Card XX', {_CARD})
+      else concat('Salary credited by rtgs: ', {_PAID}, ' INR, account XX', {_CARD}) end
+    when 2 then 'Fuel up for less: 7% cashback at every pump with bonus points.'
+    when 3 then concat('The otp for this login is ', cast(100000 + o_orderkey % 900000 as string))
+    when 4 then 'The statement of this month is ready, bill due soon' else 'Hi' end"""
 _HTML = """case o_orderkey % 6
-    when 2 then concat('<p>Get 5% cashback</p><a href="http://h.example/o', cast(o_custkey % 40 as string),
+    when 2 then concat('<p>Fuel for less</p><a href="http://h.example/o', cast(o_custkey % 40 as string),
       '">go</a><a href="http://h.example/Unsubscribe">u</a><a href="/rel">r</a><a href="http://h.example/o',
       cast(o_custkey % 40 as string), '">again</a><a href="http://h.example/terms">t</a>',
       '<img src="http://i.example/p', cast(o_orderkey % 40 as string), '.png" width="', cast(o_custkey % 3 as string), '">')
@@ -136,7 +145,7 @@ from {base}""",
         "orders",
         """select o_orderkey as email_id,
   case o_custkey % 5
-    when 0 then concat('{"amount": ', cast(cast(o_totalprice as decimal(18,2)) as string), ', "transaction_type": "debit", "merchant": "Zomato", "card_last4": "3421", "category": "Food & Dining", "transaction_date": "12-Jun-25", "payment_mode": "UPI"}')
+    when 0 then concat('{"amount": ', cast(cast(o_totalprice as decimal(18,2)) as string), ', "transaction_type": "debit", "merchant": "Chai Point", "card_last4": "7718", "category": "Food & Dining", "transaction_date": "12-Jun-25", "payment_mode": "UPI"}')
     when 1 then 'Here: {"amount": "2,100.50", "merchant": null} ok'
     when 2 then '{"amount": null, "merchant": "X"}'
     when 3 then '{"amount": 0}' end as response_text
@@ -166,9 +175,10 @@ def _fill(sql: str, **parts: str) -> str:
 
 
 def base(spark: SparkSession, sf_dir: str, table: str, costly: bool = False) -> DataFrame:
-    """A test table; `costly` deals it out to all cores for work that is heavy per row."""
+    """A test table; with `costly`, work that is heavy per row, the session may ask for more tasks."""
     scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread(scan) if costly else scan
+    tasks = spark.conf.get(REPARTITION, None) if costly else None
+    return scan.repartition(int(tasks)) if tasks else scan
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:

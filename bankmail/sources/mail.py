@@ -11,23 +11,17 @@ from bankmail.functions.text import naive_timestamp, ntz
 from bankmail.schemas import RAW_MAIL_SCHEMA
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A fresh file scan, dealt out to all cores if it has fewer pieces than there are cores.
-
-    For costly work per row (parsing, patterns, words) on a few files that cannot be
-    split, such as gzip exports or files of one row group. A large input has far more
-    pieces than cores and is returned as it is. Only planning is done here, no job.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def read_mail(spark: SparkSession, path: str | list[str], format: str = "parquet") -> DataFrame:
+def read_mail(
+    spark: SparkSession, path: str | list[str], format: str = "parquet", repartition: int | None = None
+) -> DataFrame:
     """Landed mail with its declared schema; several paths are read as one table.
 
     Any format Spark reads works: parquet, orc, json, csv, avro where it is installed.
+    `repartition` deals the rows out to so many tasks, for a few files that cannot be split
+    (gzip exports, one row group); it moves whole mails, so it is only done when asked for.
     """
-    return spread(spark.read.schema(RAW_MAIL_SCHEMA).format(format).load(path))
+    mail = spark.read.schema(RAW_MAIL_SCHEMA).format(format).load(path)
+    return mail.repartition(repartition) if repartition else mail
 
 
 def stream_mail(

@@ -31,7 +31,9 @@ def into_tables(
         stored = tables.read_others(spark, root, EMAILS, batch)
         if history is not None:
             stored = stored.filter(history)
-        store(spark, sync(rows, stored, as_of, stage=True, **options), root, batch, as_of)
+        result = sync(rows, stored, as_of, stage=True, **options)
+        store(spark, result, root, batch, as_of)
+        result.release()
 
     return per_batch(mail, handle, checkpoint)
 

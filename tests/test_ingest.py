@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bankmail import schemas
+from bankmail.caps import PARITY
 from bankmail.operators import ingest as I
 from bankmail.operators import maintain as M
 from bankmail.plans import sync as Y
@@ -136,13 +137,14 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_ocr_edges(spark):
     texts = [("m", 0, "x" * 10), ("m", 1, "y" * 11), ("m", 2, "z" * 501), ("m", 5, "sixth image text"), ("n", 0, "")]
     df = spark.createDataFrame(texts, "email_id string, pos int, text string")
-    merged = {r.id: r for r in M.merged_ocr(df).collect()}
+    merged = {r.id: r for r in M.merged_ocr(df, PARITY.images, PARITY.image_min, PARITY.image_chars).collect()}
+    assert {r.id: r.n_texts for r in M.merged_ocr(df).collect()} == {"m": 4}
     assert set(merged) == {"m"} and merged["m"].text == "y" * 11 + "\n" + "z" * 500 and merged["m"].n_texts == 2
     image = '<img src="http://a/1.png">'
     mails = spark.createDataFrame(
         [("m", None, image, True), ("k", "Hi", "", True), ("q", "Hi", image, False)], "id string, body_text string, body_html string, vision_needed boolean"
     )
-    out = Y.merge_ocr(mails, df)
+    out = Y.merge_ocr(mails, df, PARITY)
     rows = {r.id: r for r in out.emails.collect()}
     assert rows["m"].body_text == "\n[VISION EXTRACTED]\n" + merged["m"].text
     assert rows["k"].body_text == rows["q"].body_text == "Hi" and not any(r.vision_needed for r in rows.values())

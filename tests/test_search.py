@@ -99,6 +99,8 @@ def test_stored_index_gives_the_same(spark, mails, tmp_path):
 
 def test_offer_mails(mails):
     labelled = mails.withColumn("email_type", F.when(F.col("id") == 2, "CREDIT_LOAN_PROMOTION"))
-    hits = Q.search(Q.postings(mails), Q.doc_lengths(mails), all=["debit"], limit=None)
-    assert [r.id for r in Q.search_emails(labelled, hits, label="CREDIT_LOAN_PROMOTION").collect()] == [2]
+    promotions = labelled.filter("email_type = 'CREDIT_LOAN_PROMOTION'")
+    found = Q.search(Q.postings(mails), Q.doc_lengths(mails), all=["debit"], limit=1, among=promotions)
+    assert [r.id for r in Q.search_emails(labelled, found).collect()] == [2]
+    hits = Q.search(Q.postings(mails), Q.doc_lengths(mails), all=["debit"])
     assert sorted(r.id for r in Q.search_emails(mails, hits).collect()) == [1, 2]

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from bankmail.caps import PARITY
 from bankmail.functions import html as H
 from bankmail.functions import text as X
 from test_rules import one
@@ -23,7 +24,8 @@ def test_domains(spark):
 
 def test_clean(spark):
     texts = ["a  b\t\nc ", "Hi. This  email\nwas sent to you", None, "x" * 10_001, "This message is yours"]
-    assert one(spark, texts, X.clean_text) == ["a b c", "Hi. ", "", "x" * 10_000, ""]
+    assert one(spark, texts, X.clean_text) == ["a b c", "Hi. ", "", "x" * 10_001, ""]
+    assert one(spark, texts[3:4], lambda c: X.clean_text(c, PARITY.body)) == ["x" * 10_000]
 
 
 @settings(max_examples=15, deadline=None)
@@ -54,7 +56,8 @@ def test_images(spark, html, want):
 def test_links(spark):
     long149, long150 = "http://a/" + "x" * 140, "http://a/" + "x" * 141
     html = f'<a href="http://a/1">1</a><a href="/rel">r</a><a href="http://a/UNSUBSCRIBE">u</a><a href="http://a/1">again</a><a href="{long149}">l</a><a href="{long150}">too long</a><a>none</a>'
-    assert one(spark, [html], H.links) == [["http://a/1", long149]]
+    assert one(spark, [html], lambda c: H.links(c, PARITY.links, PARITY.link_chars)) == [["http://a/1", long149]]
+    assert one(spark, [html], H.links) == [["http://a/1", long149, long150]]
     four = "".join(f'<a href="http://a/{i}">x</a>' for i in range(4))
     assert one(spark, [four], H.links) == [["http://a/0", "http://a/1", "http://a/2"]]
 
