@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from bankmail.catalog.ingest import AS_OF, RECORDS
 from bankmail.catalog.registry import check, num
 from bankmail.schemas import EMAILS, OFFERS, RAW_MAIL_SCHEMA, SYNC_EVENTS, TABLES, TRANSACTIONS
-from bankmail.session import work_dir
+from bankmail.operators import maintain as M
+from bankmail.plans.sync import sync_batch
+from bankmail.session import materialize, work_dir
 from bankmail.sources import tables
 from bankmail.sources.derived import view
 from bankmail.sources.mail import stream_mail
@@ -72,17 +74,71 @@ def _(spark, sf):
     return tables.read(spark, root, EMAILS).select("account", "folder", "message_id")
 
 
-@check("s14_tables_reset", "select t as table_name, 0 as rows from (values ('emails'), ('transactions'), ('offers'), ('sync_events')) v(t)")
+@check("s14_tables_reset", "select t as table_name, case when t = 'emails' then (select count(*) from orders) else 0 end as rows_before, 0 as rows_after from (values ('emails'), ('transactions'), ('offers'), ('sync_events')) v(t)")
 def _(spark, sf):
-    """Rows per table after a sync and a reset: none, with the schemas still there."""
+    """Rows per table before and after a reset, with the schemas still there."""
     root = work_dir(spark, "reset")
     all_tables = [EMAILS, TRANSACTIONS, OFFERS, SYNC_EVENTS]
     tables.reset_tables(spark, root, all_tables)
     rows = view(spark, sf, "emails").withColumn("sender_domain", F.lit("x")).withColumn("received_month", F.substr(F.col("received_date").cast("string"), F.lit(1), F.lit(7)))
     tables.append(rows, root, EMAILS, "b1")
+
+    def counts(name: str):
+        out = None
+        for t in all_tables:
+            one = tables.read(spark, root, t).agg(F.count(F.lit(1)).alias(name)).select(F.lit(t.name).alias("table_name"), name)
+            out = one if out is None else out.unionByName(one)
+        return materialize(out, "counts")
+
+    before = counts("rows_before")
     tables.reset_tables(spark, root, all_tables)
-    out = None
-    for t in all_tables:
-        one = tables.read(spark, root, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t.name).alias("table_name"), "rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return before.join(counts("rows_after"), "table_name")
+
+
+ODD = "2025-06-20T10:00 [x]/y=1%"
+
+
+def _mails(spark, sf):
+    month = F.substr(F.col("received_date").cast("string"), F.lit(1), F.lit(7))
+    # a NULL month is a folder like any other
+    return view(spark, sf, "emails").withColumn("sender_domain", F.lit("x")).withColumn("received_month", F.when(F.col("id") % 7 != 0, month))
+
+
+@check("s6_batch_replayed", "select cast(o_orderkey as varchar) as id, 1::bigint as n from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0")
+def _(spark, sf):
+    """A batch is stored whole, then again with fewer rows and months, and another is emptied: only the last versions are left."""
+    root = work_dir(spark, "replay")
+    tables.reset_tables(spark, root, [EMAILS])
+    rows = _mails(spark, sf)
+    tables.append(rows, root, EMAILS, ODD)
+    tables.append(rows.filter("id % 2 = 1 and id % 3 = 0"), root, EMAILS, "other")
+    tables.append(rows, root, EMAILS, "emptied")
+    tables.append(rows.filter("id % 2 = 0"), root, EMAILS, ODD)
+    tables.append(rows.filter("false"), root, EMAILS, "emptied")
+    return tables.read(spark, root, EMAILS).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check("s15_rewrite_to_empty", "select cast(o_orderkey as varchar) as id from orders where o_orderkey % 2 = 1")
+def _(spark, sf):
+    """All rows of one batch are removed, whatever its name."""
+    root = work_dir(spark, "rewrite")
+    tables.reset_tables(spark, root, [EMAILS])
+    rows = _mails(spark, sf)
+    tables.append(rows.filter("id % 2 = 0"), root, EMAILS, ODD)
+    tables.append(rows.filter("id % 2 = 1"), root, EMAILS, "plain")
+    tables.rewrite(spark, root, EMAILS, lambda r: r.filter("id % 2 = 1"), F.col("batch") == ODD)
+    return tables.read(spark, root, EMAILS).select("id")
+
+
+@check("s13_audit_after_replay", f"{RECORDS} select account, folder, count(distinct message_id) as emails_fetched from ids group by all")
+def _(spark, sf):
+    """The audit counts of a batch that was run twice."""
+    root = work_dir(spark, "audit")
+    tables.reset_tables(spark, root, list(TABLES.values()))
+    mail = view(spark, sf, "raw_mail").select(*RAW_MAIL_SCHEMA.names)
+    for _ in range(2):
+        sync_batch(spark, mail, root, "b1", AS_OF)
+    counts = tables.read(spark, root, EMAILS).groupBy("account", "folder").agg(F.count(F.lit(1)).alias("stored"))
+    fetched = M.sync_runs(tables.read(spark, root, SYNC_EVENTS)).groupBy("folder").agg(F.sum("emails_fetched").alias("in_events"))
+    same = counts.groupBy("folder").agg(F.sum("stored").alias("in_table")).join(fetched, "folder").filter("in_table = in_events")
+    return counts.join(same, "folder", "left_semi").select("account", "folder", F.col("stored").alias("emails_fetched"))

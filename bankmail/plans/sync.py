@@ -145,11 +145,25 @@ def sync(
 
 
 def store(spark: SparkSession, result: SyncResult, root: str, batch: str, as_of) -> None:
-    """Append a run to the tables. Running it again with the same `batch` changes nothing.
+    """Append a run to the tables; the same `batch` replaces what it stored before.
 
+    `result` must not have counted the batch's own rows as stored; `sync_batch` sees to that.
     The mails go last: until they are stored, the run's mail still counts as new.
     """
     tables.append(result.events(batch, as_of), root, SYNC_EVENTS, batch)
     tables.append(result.processed.transactions, root, TRANSACTIONS, batch)
     tables.append(result.processed.offers, root, OFFERS, batch)
     tables.append(result.emails().withColumn("synced_at", ntz(as_of).cast("timestamp")), root, EMAILS, batch)
+
+
+def sync_batch(spark: SparkSession, mail: DataFrame, root: str, batch: str, as_of, history=None, **options) -> None:
+    """One run over `mail`, stored as `batch`. Running it again gives the same tables, audit counts included.
+
+    What the batch itself stored before does not count as stored; `history` prunes the duplicate check.
+    """
+    stored = tables.read_others(spark, root, EMAILS, batch)
+    if history is not None:
+        stored = stored.filter(history)
+    result = sync(mail, stored, as_of, stage=True, **options)
+    store(spark, result, root, batch, as_of)
+    result.release()

@@ -1,8 +1,9 @@
 """Parquet tables on shared storage: append, replace, rewrite of touched partitions.
 
-A batch is identified by the caller (`batch`), which makes its write repeatable: the
-batch owns one sub-folder, and writing it again replaces that sub-folder only. Readers
-see the sub-folder as the partition column `batch`.
+A batch is identified by the caller (`batch`), which makes its write repeatable: writing it
+again replaces all its rows and no others. Readers see it as the partition column `batch`.
+Names of folders are Spark's business: what a write replaces is known by the paths of the files
+that were read, so any batch name and partition value works.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bankmail.schemas import Table, conform
-from bankmail.session import materialize
+from bankmail.session import materialize, remove, work_dir
 
 
 def create(spark: SparkSession, root: str, table: Table) -> None:
@@ -49,7 +50,12 @@ def read_others(spark: SparkSession, root: str, table: Table, batch: str) -> Dat
 
 
 def append(df: DataFrame, root: str, table: Table, batch: str) -> None:
-    """Add one batch with defaults filled in; the same batch id replaces its own rows only."""
+    """Add one batch with defaults filled in; the same batch id replaces all its own rows and no others.
+
+    If the job dies between writing and removing, running it again mends the batch.
+    """
+    spark, path = df.sparkSession, f"{root}/{table.name}"
+    before = _files(spark.read.schema(_stored_schema(table)).parquet(path).filter(F.col("batch") == batch))
     rows = conform(df, table).withColumn("batch", F.lit(batch))
     if table.partition_by:
         # a folder per value gets a few well-sized files instead of one from every task
@@ -59,8 +65,22 @@ def append(df: DataFrame, root: str, table: Table, batch: str) -> None:
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*_partitions(table))
-        .parquet(f"{root}/{table.name}")
+        .parquet(path)
     )
+    _remove(spark, before)
+
+
+def _files(rows: DataFrame) -> list[str]:
+    """Paths of the files that hold the rows; of a batch or of touched folders, never of a whole large table."""
+    return [r[0] for r in rows.select("_metadata.file_path").distinct().toLocalIterator()]
+
+
+def _remove(spark: SparkSession, files: list[str]) -> None:
+    """Delete those files that an overwrite of their folders has left: no new rows went there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for name in files:
+        path = hadoop.Path(spark._jvm.java.net.URI(name))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
 def rewrite(
@@ -76,25 +96,18 @@ def rewrite(
     rows = spark.read.schema(_stored_schema(table)).parquet(path)
     if touched is not None:
         rows = rows.filter(touched)
-    keys = _partitions(table)
-
-    def folders(df: DataFrame) -> set[str]:
-        # names of folders only, as many as the table has of them
-        return {"/".join(f"{k}={r[k]}" for k in keys) for r in df.select(*keys).distinct().toLocalIterator()}
-
-    before = folders(rows)
-    aside = materialize(change(rows).select(*rows.columns), f"rewrite-{table.name}")
+    before = _files(rows)
+    folder = work_dir(spark, f"rewrite-{table.name}")
+    aside = materialize(change(rows).select(*rows.columns), "rewrite", folder)
     (
         aside.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys)
+        .partitionBy(*_partitions(table))
         .parquet(path)
     )
     # a folder that lost all its rows is not overwritten by the job above
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for name in before - folders(aside):
-        folder = hadoop.Path(f"{path}/{name}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _remove(spark, before)
+    remove(spark, folder)
 
 
 def by_key(df: DataFrame, value, key: str = "id") -> DataFrame:

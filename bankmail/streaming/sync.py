@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from bankmail.operators.maintain import run_status
-from bankmail.plans.sync import store, sync
-from bankmail.schemas import EMAILS, SYNC_EVENTS
+from bankmail.plans.sync import sync_batch
+from bankmail.schemas import SYNC_EVENTS
 from bankmail.sources import tables
 from bankmail.streaming.mail import per_batch
 
@@ -28,12 +28,7 @@ def into_tables(
     spark = mail.sparkSession
 
     def handle(rows: DataFrame, batch: str) -> None:
-        stored = tables.read_others(spark, root, EMAILS, batch)
-        if history is not None:
-            stored = stored.filter(history)
-        result = sync(rows, stored, as_of, stage=True, **options)
-        store(spark, result, root, batch, as_of)
-        result.release()
+        sync_batch(spark, rows, root, batch, as_of, history, **options)
 
     return per_batch(mail, handle, checkpoint)
 

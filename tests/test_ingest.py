@@ -149,3 +149,30 @@ def test_ocr_edges(spark):
     assert rows["m"].body_text == "\n[VISION EXTRACTED]\n" + merged["m"].text
     assert rows["k"].body_text == rows["q"].body_text == "Hi" and not any(r.vision_needed for r in rows.values())
     assert tuple(out.summary().first()) == (1, 2, 1)
+
+
+def test_batch_run_twice_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    tables.reset_tables(spark, root, list(schemas.TABLES.values()))
+
+    def state():
+        return [sorted(map(str, tables.read(spark, root, t).collect())) for t in schemas.TABLES.values()]
+
+    Y.sync_batch(spark, raw(spark), root, "b:1", AS_OF)
+    once = state()
+    Y.sync_batch(spark, raw(spark), root, "b:1", AS_OF)
+    assert state() == once and all(once)
+    Y.sync_batch(spark, raw(spark, 4), root, "b:1", AS_OF)  # delivered smaller: the batch is what it says now
+    assert tables.read(spark, root, schemas.EMAILS).count() == Y.sync(raw(spark, 4), none_stored(spark), AS_OF).inserted.count()
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from bankmail.session import work_dir
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.master": "yarn"}.get(key, default))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(Elsewhere, "x")
+    assert "bankmail" in work_dir(spark, "x")

@@ -155,6 +155,27 @@ def test_model_batches_retry_and_report(spark):
     assert {r.error for r in E.ask(asked, broken).collect()} == {"down"}
 
 
+def test_poison_rows_lose_only_themselves(spark):
+    asked = spark.range(100).select(F.col("id").alias("email_id"), F.col("id").cast("string").alias("request")).coalesce(1)
+
+    def model(texts):
+        if "13" in texts:
+            raise RuntimeError("poison")
+        return texts[:-1] if "77" in texts else texts
+
+    rows = {r.email_id: r for r in E.ask(asked, model, retries=1).collect()}
+    assert {k for k, r in rows.items() if r.error} == {13, 77} and all(r.response_text == str(k) for k, r in rows.items() if k not in (13, 77))
+
+
+def test_repeated_replies_multiply_nothing(spark):
+    mails = spark.createDataFrame([(1, "Debit", "nothing to read"), (2, "Offer", "cashback offer for every purchase")], "id int, subject string, body_text string")
+    mails = mails.withColumns({"body_html": F.lit(""), "bank_name": F.lit("SBI"), "received_date": X.ntz("2025-01-02 03:04:05")})
+    label = '{"category": "FUNDS_DEBITED_ALERT", "amount_inr": "%d"}'
+    replies = spark.createDataFrame([(1, label % 7), (1, label % 7), (1, label % 9), (2, "Deal"), (2, "Deal")], "email_id int, response_text string")
+    done = E.process(mails, label_replies=replies, offer_replies=replies)
+    assert done.classified.count() == 2 and [r.amount for r in done.transactions.collect()] == [7] and done.offers.count() == 1
+
+
 def test_offer_texts(spark):
     mails = spark.createDataFrame(
         [(1, "Offer", "Get 5% cashback on every order", "<a href='http://a/1'>x</a><a href='http://a/1'>y</a>"), (2, "Offer", "short offer", "")],
