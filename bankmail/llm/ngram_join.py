@@ -1,8 +1,7 @@
 """Jaccard self-join on word shingles by vertical partitioning.
 
 Shingles have one global order and every document's set is a sorted list in it: shingles of few
-documents first, by hash, then those of more than FREQUENT documents, last those of the range in which
-nothing is counted. The order is cut into
+documents first, by hash, then those of more than FREQUENT documents. The order is cut into
 fragments (ranges of the hash). A fragment's task sees the parts of all documents' lists that lie in it,
 counts the overlap of the pairs that meet there, and Spark sums the fragments' counts per pair.
 
@@ -13,12 +12,11 @@ are exact. The order of shingles by frequency only decides how many pairs must b
 never which are found.
 
 Front parts that still hold frequent shingles belong to large groups of near copies. There, documents are first
-held against two members of each shingle's group; only pairs of documents that the links found so far
-leave in different components are then compared with each other. That finds the same components as
-all pairs would. Equal sets are one node with members.
+held against two members of each shingle's group, those with the fewest rare shingles. Likewise each document is first held
+against its likeliest partner. Only pairs that the links found so far leave in different components
+are then compared. That finds the same components as all pairs would. Equal sets are one node with members.
 
-What moves: one pass counts shingles (a part of the hash range that front parts come from, as packed arrays
-that are counted before and after the shuffle), one pass writes front parts, and one pass reads again the
+What moves: one pass counts shingles (as packed arrays that are counted before and after the shuffle), one pass writes front parts, and one pass reads again the
 texts of documents in pairs within the bound. The frequent shingles are broadcast, MOST_FREQUENT
 at most (8 MB); with more, the others keep their place by hash and are handled as frequent
 once a fragment sees more than LARGE documents with one of them.
@@ -44,11 +42,9 @@ from bankmail.llm.fragments import dealt, fragment_bits, gathered, packed
 from bankmail.llm.hashing import U64, distinct, mix, portions, shingles, words_of
 
 SHINGLE = 5
-#: Share of the hash range in which shingles are counted, and the set size up to which all are.
-REGION, SMALL_SET = 0.4, 64
 FREQUENT, MOST_FREQUENT, LARGE = 32, 1_000_000, 256
 #: Shingles that a task gathers before it deals them out; fragments in which a pair's exact overlap is counted.
-GATHER, FRAGMENTS = 1 << 21, 4
+GATHER, FRAGMENTS = 1 << 20, 4
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -69,23 +65,25 @@ def frequent(rows: DataFrame, bits: int) -> np.ndarray:
 
         def out():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            found = dealt((keys >> U64(32)).astype(np.int32), keys.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8))
-            return packed(list(found), ["fragment", "keys", "counts"])
+            once = counts == 1
+            for some, more in ((once, ()), (~once, (np.minimum(counts[~once], 255).astype(np.uint8),))):
+                found = dealt((keys[some] >> U64(32)).astype(np.int32), keys[some].astype(np.uint32), *more)
+                yield packed([[*row, b""][:3] for row in found], ["fragment", "keys", "counts"])
 
         for batch in portions(batches):
-            h, bounds = _sets(batch)
-            n = np.diff(bounds)
-            keep = (h < U64(int(REGION * (1 << 64)))) | np.repeat(n <= SMALL_SET, n)
-            held.append(h[keep] >> U64(32 - bits))
-            size += len(held[-1])
+            h, _ = _sets(batch)
+            held.append(h >> U64(32 - bits))
+            size += len(h)
             if size > GATHER:
-                yield out()
+                yield from out()
                 held, size = [], 0
         if size:
-            yield out()
+            yield from out()
 
     def summed(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        keys, counts = gathered(group["keys"], "u4"), gathered(group["counts"], "u1")
+        keys = [np.frombuffer(k, "u4") for k in group["keys"].to_pylist()]
+        counts = [np.frombuffer(c, "u1") if c else np.ones(len(k), np.uint8) for k, c in zip(keys, group["counts"].to_pylist(), strict=True)]
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order].astype(np.int64)
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -98,7 +96,10 @@ def frequent(rows: DataFrame, bits: int) -> np.ndarray:
 
 
 def _fronts(rows: DataFrame, often: np.ndarray, bits: int, id_type: str) -> DataFrame:
-    """Written: row, id, n, two hashes of the set, the number of frequent shingles in the front part, and the front part, rare and frequent."""
+    """Written: row, id, n, two hashes of the set, n_hot, and the front part, rare and frequent.
+
+    n_hot is the number of all frequent shingles if the front part has any, and with it all rare ones; else 0.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(often)
 
     def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +111,9 @@ def _fronts(rows: DataFrame, often: np.ndarray, bits: int, id_type: str) -> Data
             key = h >> U64(32 - bits)
             at = np.searchsorted(often, key)
             hot = (often[np.minimum(at, len(often) - 1)] == key) if len(often) else np.zeros(len(h), bool)
-            beyond = (h >= U64(int(REGION * (1 << 64)))) & ~hot
             place = np.zeros(len(h), np.int64)
             done = np.zeros(len(n), np.int64)
-            for part in (~hot & ~beyond, hot, beyond):
+            for part in (~hot, hot):
                 upto = np.cumsum(part)
                 before = np.append(0, upto)[bounds[:-1]]
                 place = np.where(part, done[of] + upto - 1 - before[of], place)
@@ -124,7 +124,8 @@ def _fronts(rows: DataFrame, often: np.ndarray, bits: int, id_type: str) -> Data
             lists = []
             for part in (front & ~hot, front & hot):
                 lists.append((np.append(0, np.cumsum(part))[bounds].astype(np.int32), h[part].view(np.int64)))
-            columns = [batch.column("row"), batch.column("id"), batch.column("mark"), pa.array(n), *map(pa.array, signs), pa.array(np.diff(lists[1][0]).astype(np.int64)), *(pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in lists)]
+            n_hot = np.diff(np.append(0, np.cumsum(hot))[bounds]) * (np.diff(lists[1][0]) > 0)
+            columns = [batch.column("row"), batch.column("id"), batch.column("mark"), pa.array(n), *map(pa.array, signs), pa.array(n_hot), *(pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in lists)]
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "mark", "n", "sign1", "sign2", "n_hot", "rare", "hot"])
 
     schema = f"row long, id {id_type}, mark long, n long, sign1 long, sign2 long, n_hot long, rare array<long>, hot array<long>"
@@ -134,7 +135,7 @@ def _fronts(rows: DataFrame, often: np.ndarray, bits: int, id_type: str) -> Data
 def _meeting(fronts: DataFrame, bits: int) -> DataFrame:
     """Written: from each fragment, pairs (x, y, sizes, c shared rare shingles), and with y null the shingles h that too many share.
 
-    A size is n * 2^32 + the number of frequent shingles in the front part.
+    A size is n * 2^32 + n_hot.
     """
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +181,15 @@ def _meeting(fronts: DataFrame, bits: int) -> DataFrame:
     return materialize(pairs, "met")
 
 
-def _near(x: str, y: str):
-    """Sizes within which 0.75 can be reached."""
-    return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
+def _enough(x: str, y: str, hot_x: str, hot_y: str) -> Column:
+    """Whether two sets of these sizes can be similar enough if they share frequent shingles only."""
+    return 7 * F.least(hot_x, hot_y) >= 3 * (F.col(x) + F.col(y))
+
+
+def _ordered(pairs: DataFrame, a: str, b: str, n_a: str, n_b: str) -> DataFrame:
+    """The pairs as x, y, n_x, n_y with x < y."""
+    pick = lambda p, q: F.when(F.col(a) < F.col(b), F.col(p)).otherwise(F.col(q))
+    return pairs.select(pick(a, b).alias("x"), pick(b, a).alias("y"), pick(n_a, n_b).alias("n_x"), pick(n_b, n_a).alias("n_y"))
 
 
 def _links(docs: DataFrame, id: str, text: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -228,40 +235,53 @@ def _components(docs: DataFrame, id: str, text: str) -> DataFrame:
     members = materialize(fronts.select("row", "id", "mark", "n", "sign1", "sign2").join(classes, ["sign1", "sign2", "n"], "left").select("row", "id", "mark", "n", F.coalesce("node", "row").alias("node")), "members")
     copies = small(materialize(members.where("row <> node").select("row"), "copies"))
     size = (F.shiftleft("n", 32) + F.col("n_hot")).alias("size")
-    nodes = fronts.where("n > 0").join(copies, "row", "left_anti").select("row", "id", "n", "sign1", "sign2", size, "rare", "hot")
+    nodes = fronts.where("n > 0").join(copies, "row", "left_anti").select("row", "id", "n", "n_hot", "sign1", "sign2", size, "rare", "hot")
 
     met = _meeting(nodes, bits)
     sums = met.where("y is not null").groupBy("x", "y", "size_x", "size_y").agg(F.sum("c").alias("c"))
     n_of, hot_of = (lambda s: F.shiftright(s, 32)), (lambda s: F.col(s).bitwiseAND(F.lit((1 << 32) - 1)))
     sums = sums.withColumns({"n_x": n_of("size_x"), "n_y": n_of("size_y")})
-    # what lies behind the front part of either set can be shared whole
-    bound = F.col("c") + F.least(hot_of("size_x"), hot_of("size_y")) + F.ceil(0.75 * F.greatest("n_x", "n_y")) - 1
-    many = met.where("h is not null").select("h", F.col("x").alias("node"), F.shiftright("size_x", 32).alias("n"))
+    # with frequent shingles in both front parts, c is all that is shared of rare ones; else what lies behind
+    # the front part of either set can be shared whole
+    few = F.least(hot_of("size_x"), hot_of("size_y"))
+    bound = F.col("c") + F.when(few > 0, few).otherwise(F.ceil(0.75 * F.greatest("n_x", "n_y")) - 1)
+    many = met.where("h is not null").select("h", F.col("x").alias("node"), n_of("size_x").alias("n"), n_of("size_x").alias("n_hot"))
     crowded = many.select("node").distinct().withColumn("crowded", F.lit(True))
     sums = sums.join(small(materialize(crowded, "crowded")), F.col("x") == F.col("node"), "left")
-    pairs = sums.where((7 * bound >= 3 * (F.col("n_x") + F.col("n_y"))) | F.col("crowded")).select("x", "y", "n_x", "n_y")
-
-    hot = nodes.where(F.size("hot") > 0).select(F.explode("hot").alias("h"), F.col("row").alias("node"), "n").unionByName(many)
-    hot = materialize(hot, "hot")
-    by = F.struct(F.xxhash64("node"), "node", "n")
-    centres = hot.groupBy("h").agg(F.min(by).alias("p"), F.max(by).alias("q"), F.count("*").alias("df")).where("df > 1")
-    centres = materialize(centres.select("h", F.explode(F.array("p", "q")).alias("c")).select("h", F.col("c.node").alias("centre"), F.col("c.n").alias("m")), "centres")
-    stars = hot.join(centres, "h").where("node <> centre").where(_near("n", "m"))
-    x_first = F.col("node") < F.col("centre")
-    ordered = lambda a, b: [F.when(x_first, F.col(a)).otherwise(F.col(b)), F.when(x_first, F.col(b)).otherwise(F.col(a))]
-    (x, y), (n_x, n_y) = ordered("node", "centre"), ordered("n", "m")
-    stars = stars.select(x.alias("x"), y.alias("y"), n_x.alias("n_x"), n_y.alias("n_y"))
-    pairs = materialize(pairs.union(stars).distinct(), "pairs")
+    likely = sums.where((7 * bound >= 3 * (F.col("n_x") + F.col("n_y"))) | F.col("crowded"))
+    likely = materialize(likely.select("x", "y", "n_x", "n_y", (bound / (F.col("n_x") + F.col("n_y"))).alias("share")), "likely")
+    # first each node's likeliest partner; most other pairs then lie within a component
+    pair = F.struct("x", "y", "n_x", "n_y")
+    ends = likely.select(F.explode(F.array("x", "y")).alias("node"), pair.alias("pair"), F.struct("share", -F.col("x"), -F.col("y")).alias("by"))
+    best = ends.groupBy("node").agg(F.max_by("pair", "by").alias("pair")).select("pair.*")
+
+    # a pair shares one of the first n - ceil(6 n / 7) + 1 shingles of its smaller set; rare ones come before these
+    first = F.col("at") < F.col("n") - F.ceil(6 * F.col("n") / 7) + 1 - (F.col("n") - F.col("n_hot"))
+    hot = nodes.where(F.size("hot") > 0).select(F.posexplode("hot").alias("at", "h"), F.col("row").alias("node"), "n", "n_hot")
+    hot = materialize(hot.withColumn("first", first).drop("at").unionByName(many.withColumn("first", F.lit(True))), "hot")
+    by = lambda sign: F.struct(F.col("n_hot") / F.col("n"), (sign * F.xxhash64("node")).alias("tie"), "node", "n", "n_hot")
+    centres = hot.groupBy("h").agg(F.max(by(1)).alias("p"), F.max(by(-1)).alias("q"), F.count("*").alias("df")).where("df > 1")
+    centres = centres.select("h", F.explode(F.array("p", "q")).alias("c")).distinct()
+    centres = materialize(centres.select("h", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.n_hot").alias("m_hot")), "centres")
+    stars = hot.join(centres, "h").where("node <> centre").where(_enough("n", "m", "n_hot", "m_hot"))
+    stars = _ordered(stars, "node", "centre", "n", "m")
+    pairs = materialize(best.union(stars).distinct(), "pairs")
     links = _links(docs, id, text, nodes, pairs)
     roots = materialize(components(links), "roots")
 
-    # pairs of frequent shingles' groups that are still apart
-    apart = materialize(hot.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root")), "apart")
-    mixed = apart.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    apart = apart.join(materialize(mixed, "mixed"), "h", "left_semi")
-    one, other = apart.toDF("h", "x", "n_x", "root_x"), apart.toDF("h", "y", "n_y", "root_y")
-    crossing = one.join(other, "h").where("x < y and root_x <> root_y").where(_near("n_x", "n_y")).select("x", "y", "n_x", "n_y").distinct()
-    crossing = materialize(crossing.join(pairs, ["x", "y"], "left_anti"), "crossing")
+    # the other pairs, and those of frequent shingles' groups, as far as they are still apart
+    root = lambda node: roots.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
+    others = likely.join(pairs, ["x", "y"], "left_anti").join(root("x"), "x", "left").join(root("y"), "y", "left")
+    others = others.where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y")).select("x", "y", "n_x", "n_y")
+    apart = hot.join(roots, "node", "left").select("h", "node", "n", "n_hot", F.coalesce("root", "node").alias("root"), "first")
+    apart = materialize(apart, "apart")
+    mixed = apart.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("first").alias("first"))
+    apart = apart.join(materialize(mixed.where("lo < hi and first").select("h"), "mixed"), "h", "left_semi")
+    one, other = apart.where("first").drop("first").toDF("h", "s", "n_s", "hot_s", "root_s"), apart.drop("first").toDF("h", "l", "n_l", "hot_l", "root_l")
+    crossing = one.join(other, "h").where("root_s <> root_l and (n_s < n_l or n_s = n_l and s < l)").where(_enough("n_s", "n_l", "hot_s", "hot_l"))
+    crossing = _ordered(crossing, "s", "l", "n_s", "n_l")
+    crossing = crossing.distinct().join(pairs, ["x", "y"], "left_anti").select("x", "y", "n_x", "n_y")
+    crossing = materialize(crossing.union(others).distinct(), "crossing")
     if not crossing.isEmpty():
         more = _links(docs, id, text, nodes, crossing)
         roots = materialize(components(links.union(more)), "roots")
