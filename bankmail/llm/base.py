@@ -12,7 +12,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a few numbers that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-__all__ = ["BROADCAST_ROWS", "WORD", "documents", "fresh", "materialize", "n_words", "small"]
+#: Bytes of texts that a Python worker is handed at a time; a longer text comes alone.
+BATCH_BYTES = "8m"
+
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WORD", "bounded_batches", "documents", "fresh", "materialize", "n_words", "small"]
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -27,6 +30,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, with the session's Arrow batches bounded by bytes, so that long texts do not fill a worker's memory.
+
+    The setting (BATCH_BYTES) stays in the session; results do not depend on it.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of `df` has."""
     taken = {c.lower() for c in df.columns}

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from bankmail.llm.base import bounded_batches
 from bankmail.llm.hashing import U64, Words, distinct, portions, shingles, text_buffers
 
 SCALE, SMALL, SHINGLE = 8, 128, 5
@@ -98,7 +99,7 @@ def neighbours(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     first = F.lit(False)
     for x in firsts:
         first = first | F.col(id).eqNullSafe(F.lit(x))
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), at.alias("at"), first.alias("first"))
+    rows = bounded_batches(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), at.alias("at"), first.alias("first"))
     goes = F.when(F.col("first"), F.array(F.struct(F.col("at"), F.lit(False).alias("guest")), F.struct(F.pmod(F.col("at") - 1, F.lit(n)).alias("at"), F.lit(True).alias("guest"))))
     goes = F.explode(F.coalesce(goes, F.array(F.struct(F.col("at"), F.lit(False).alias("guest")))))
     rows = rows.select("id", "text", goes.alias("to")).select("id", "text", "to.at", "to.guest")

@@ -6,6 +6,7 @@ equal everywhere for equal words, so they name words across all tasks without a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +104,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def released() -> None:
+    """Hand memory that a task no longer uses back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # no such call on this system
+
+
+def portions(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches into some of about `size` bytes of text, so that memory is bounded by the longest text."""
     for batch in batches:
         if not batch.num_rows:
@@ -114,6 +124,7 @@ def portions(batches: Iterator[pa.RecordBatch], text: str = "text", size: int =
             upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield batch.slice(at, upto - at)
             at = upto
+    released()
 
 
 def words_of(batch: pa.RecordBatch, text: str = "text", **how) -> Words:

@@ -36,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bankmail.llm.base import fresh, materialize, small
+from bankmail.llm.base import bounded_batches, fresh, materialize, small
 from bankmail.llm.components import components
 from bankmail.llm.fragments import dealt, fragment_bits, gathered, packed
-from bankmail.llm.hashing import U64, distinct, mix, portions, shingles, words_of
+from bankmail.llm.hashing import U64, distinct, mix, portions, released, shingles, words_of
 
 SHINGLE = 5
 FREQUENT, MOST_FREQUENT, LARGE = 32, 1_000_000, 256
@@ -145,6 +145,7 @@ def _meeting(fronts: DataFrame, bits: int) -> DataFrame:
             each = np.diff(np.asarray(lists.offsets))
             rows = list(dealt((h >> U64(64 - bits)).astype(np.int32), h, np.repeat(np.asarray(batch.column("row")), each), np.repeat(np.asarray(batch.column("size")), each)))
             yield packed(rows, ["fragment", "h", "node", "size"])
+        released()
 
     def met(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         h, node, size = gathered(group["h"], "i8"), gathered(group["node"], "i8"), gathered(group["size"], "i8")
@@ -227,7 +228,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
 def _components(docs: DataFrame, id: str, text: str) -> DataFrame:
     """For each row: id, a hash of the text as mark, n and component_id."""
     bits = fragment_bits(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), _mark(text).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), _mark(text).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     fronts = _fronts(rows, frequent(rows, bits), bits, docs.schema[id].dataType.simpleString())
 
     classes = fronts.where("n > 0").groupBy("sign1", "sign2", "n").agg(F.min("row").alias("node"))

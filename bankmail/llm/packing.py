@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from bankmail.llm.base import materialize
+from bankmail.llm.base import bounded_batches, materialize
 from bankmail.llm.hashing import portions
 from bankmail.llm.tokens import encoder, vocabulary
 
@@ -157,7 +157,7 @@ def pack(
         left = packer.rest()
         yield from _rows(kind, packer.taken(), left, part).to_batches()
 
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     first = materialize(rows.mapInArrow(packed, schema), "packed")
     results, left, level = [first.where("part < 0")], first.where("part >= 0"), 0
     while True:

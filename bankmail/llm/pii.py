@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bankmail.llm.base import materialize, small
+from bankmail.llm.base import bounded_batches, materialize, small
 from bankmail.llm.hashing import portions
 
 KINDS = ("email", "ip", "card", "phone")
@@ -189,7 +189,7 @@ def patterns(edges: DataFrame) -> DataFrame:
 
 def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: id, base and added spans (arrays of start, kind, end in code points), base_sha256."""
-    rows = docs.select(F.col(id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = materialize(rows.mapInArrow(_found, FOUND.format(id=docs.schema[id].dataType.simpleString())), "spans")
 
     uses = found.select(F.explode("uses").alias("u")).select("u.*")

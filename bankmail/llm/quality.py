@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bankmail.llm.base import bounded_batches
 from bankmail.llm.hashing import Words, portions, words_of
 from bankmail.llm.learn import Adam, labelled_sample, sigmoid
 
@@ -156,6 +157,6 @@ def quality(docs: DataFrame, labels: DataFrame, learn=None, label: str = "qualit
             score = shared.value.score(words_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64())], ["id", "score"])
 
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = rows.mapInArrow(scored, f"id {docs.schema[id].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

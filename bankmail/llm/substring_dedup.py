@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bankmail.llm.base import materialize, small
+from bankmail.llm.base import bounded_batches, materialize, small
 from bankmail.llm.fragments import dealt, fragment_bits, gathered, packed
 from bankmail.llm.hashing import U64, mix, portions, spans_hash, words_of
 from bankmail.llm.recompression import anchors
@@ -143,7 +143,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     """For each row: id, n_words, n_removed, and kept_text: the words that stay, joined by single spaces."""
     whole = F.coalesce(F.col(text), F.lit(""))
     number = F.coalesce(F.col(id).cast("long"), F.lit(LAST_ID))
-    rows = docs.select(number.alias("id"), F.xxhash64(number, whole).alias("mark"), whole.alias("text"))
+    rows = bounded_batches(docs).select(number.alias("id"), F.xxhash64(number, whole).alias("mark"), whole.alias("text"))
     lists = _listed(repeated_windows(rows, window), "w", "m")
     kind = docs.schema[id].dataType.simpleString()
     out = docs.select(F.col(id).alias("own"), number.alias("id"), F.xxhash64(number, whole).alias("mark"), whole.alias("text"))

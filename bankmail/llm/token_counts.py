@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bankmail.llm.base import materialize
+from bankmail.llm.base import bounded_batches, materialize
 from bankmail.llm.hashing import portions
 from bankmail.llm.tokens import encoder, vocabulary
 
@@ -37,7 +37,7 @@ def token_lengths(docs: DataFrame, text: str = "text", ids_of: Callable[[str], b
         for batch in portions(batches, size=1 << 20):
             yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) // 4 for t in batch.column("text").to_pylist()], pa.int64())], ["n_tokens"])
 
-    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(lengths, "n_tokens long")
+    return bounded_batches(docs).select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(lengths, "n_tokens long")
 
 
 def length_histogram(docs: DataFrame, text: str = "text", **how) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bankmail.llm.base import bounded_batches
 from bankmail.llm.hashing import NOT_ALNUM, U64, Words, portions, text_buffers, words_of
 from bankmail.llm.learn import Adam, best_threshold, labelled_sample, sigmoid
 
@@ -117,14 +118,16 @@ class Model:
 
 def _vocabulary(hashes: list[np.ndarray], bounds: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes that enough documents have, and the smoothed log-odds of each among the labels."""
-    docs = np.concatenate([np.repeat(np.arange(len(b) - 1), np.diff(b)) for b in bounds])
-    every = np.concatenate(hashes)
-    order = np.lexsort((docs, every))
-    every, docs = every[order], docs[order]
-    new = np.ones(len(every), bool)
-    new[1:] = (every[1:] != every[:-1]) | (docs[1:] != docs[:-1])
-    known, at, n = np.unique(every[new], return_inverse=True, return_counts=True)
-    ones = np.bincount(at, weights=labels[docs[new]], minlength=len(known))
+    every = []
+    for h, b in zip(hashes, bounds, strict=True):
+        docs = np.repeat(np.arange(len(b) - 1, dtype=np.int32), np.diff(b))
+        order = np.lexsort((docs, h))
+        h, docs = h[order], docs[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (docs[1:] != docs[:-1])
+        known, at, n = np.unique(h[new], return_inverse=True, return_counts=True)
+        every.append((known, n, np.bincount(at, weights=labels[docs[new]], minlength=len(known))))
+    known, n, ones = (np.concatenate(x) for x in zip(*every, strict=True))
     odds = np.log((ones + 0.5) / (labels.sum() + 1)) - np.log((n - ones + 0.5) / (len(labels) - labels.sum() + 1))
     odds *= n / (n + 10)
     keep = np.argsort(-(n * (n >= LEAST_DOCS)), kind="stable")[: min(VOCABULARY, int((n >= LEAST_DOCS).sum()))]
@@ -137,11 +140,12 @@ def fit(sample: pa.Table, seed: int = 11) -> Model:
     empty = np.zeros(1, np.int64), np.zeros(1, U64)
     if not 0 < labels.sum() < len(labels):
         return Model(*empty, {}, float(labels.mean()) if len(labels) else 0.0)
-    words = Words(*text_buffers(sample["text"]), lower=True, between=NOT_ALNUM)
-    a, b = _parsed(words)
+    parts = [words_of(p, lower=True, between=NOT_ALNUM) for p in portions(sample.select(["text"]).to_batches(), size=1 << 19)]
+    starts = np.cumsum(np.concatenate([[0], *(p.counts for p in parts)]))
+    a, b = (np.concatenate(x) for x in zip(*map(_parsed, parts), strict=True))
+    del parts
     train = int(len(labels) * (1 - KEPT_BACK))
-    upto = words.starts[train]
-    bounds = words.starts[: train + 1]
+    upto, bounds = starts[train], starts[: train + 1]
     known, odds = _vocabulary([a[:upto], b[:upto]], [bounds, bounds], labels[:train])
 
     first, _ = _language_hashes()
@@ -169,13 +173,14 @@ def fit(sample: pa.Table, seed: int = 11) -> Model:
         order = rng.permutation(train)
         for at in range(0, train, BATCH):
             docs = order[at : at + BATCH]
-            n_words = words.counts[docs]
-            starts = np.concatenate([[0], np.cumsum(n_words)])
-            place = np.repeat(words.starts[:-1][docs] - starts[:-1], n_words) + np.arange(starts[-1])
-            adam.step(_gradients(model, ra[place], rb[place], starts, labels[docs]))
-    most, _ = model.pooled(ra[upto:], rb[upto:], words.starts[train:] - upto)
+            n_words = starts[docs + 1] - starts[docs]
+            own = np.concatenate([[0], np.cumsum(n_words)])
+            place = np.repeat(starts[docs] - own[:-1], n_words) + np.arange(own[-1])
+            adam.step(_gradients(model, ra[place], rb[place], own, labels[docs]))
+    left = range(train, len(labels), BATCH)
+    most = np.concatenate([model.pooled(ra[starts[k] : starts[e]], rb[starts[k] : starts[e]], starts[k : e + 1] - starts[k])[0] for k in left for e in [min(k + BATCH, len(labels))]])
     logits, kept = model.logits(most), labels[train:]
-    language = model.language(ra[upto:], words.starts[train:] - upto)
+    language = model.language(ra[upto:], starts[train:] - upto)
     overall = best_threshold(logits, kept)
     model.shift = np.array([
         best_threshold(logits[language == k], kept[language == k]) if 5 <= kept[language == k].sum() < (language == k).sum() else overall
@@ -224,7 +229,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn=None, label: str = "toxic
             score = shared.value.score(words_of(batch, lower=True, between=NOT_ALNUM))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64())], ["id", "score"])
 
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = rows.mapInArrow(scored, f"id {docs.schema[id].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -239,4 +244,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id:
             score = shared.value.score(words_of(batch, text, lower=True, between=NOT_ALNUM))
             yield batch.filter(pa.array(score < THRESHOLD))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return bounded_batches(docs).mapInArrow(clean, docs.schema)
