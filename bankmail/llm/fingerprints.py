@@ -2,9 +2,9 @@
 
 A shingle is five consecutive words (all of a shorter text's). Every hash below 2^64 / SCALE is
 kept, so a sketch grows with its text and two sketches say how much of one text is in the
-other however unequal they are; sketches of parts merge by union. A text of up to SMALL shingles
-keeps all its hashes, which hold those below the fraction; sketches of different scale compare
-below the lower fraction. A fingerprint is the scale, a colon and the ascending hashes in hex.
+other however unequal they are; sketches of parts merge by union. A text of up to SMALL different shingles,
+however often they are repeated, keeps all its hashes, which hold those below the fraction, and so does one
+without any below it; sketches of different scale compare below the lower fraction. A fingerprint is the scale, a colon and the ascending hashes in hex.
 
 `neighbours` compares each document with an edited copy, whose last quarter is the beginning of
 the next document by id, and with that next document. Documents are dealt into ranges of ids by
@@ -13,8 +13,8 @@ range also goes to the range before it, so that every document meets the next. T
 stream through their sorted range and hold a portion of it.
 
 Defined cases: a null text counts as empty, and an empty text has an empty sketch. Null ids come first; equal
-ids are ordered by text, and a document that is alone follows itself. Two empty sketches are alike (1)
-when the fingerprints are equal and not otherwise (0). An empty table gives an empty result.
+ids are ordered by text, and a document that is alone follows itself. Two texts without shingles are
+alike (1); empty sketches that do not hold all hashes say nothing and are not (0). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,10 +37,12 @@ SCALE, SMALL, SHINGLE = 8, 128, 5
 def sketches(texts: pa.Array) -> list[tuple[int, np.ndarray]]:
     """(scale, ascending hashes) of every text."""
     h, of = shingles(Words(*text_buffers(texts)), SHINGLE)
-    full = np.bincount(of, minlength=len(texts)) <= SMALL
-    keep = full[of] | (h < U64((1 << 64) // SCALE))
-    h, bounds = distinct(h[keep], of[keep], len(texts))
-    return [(1 if full[k] else SCALE, h[bounds[k] : bounds[k + 1]]) for k in range(len(texts))]
+    h, bounds = distinct(h, of, len(texts))
+    below = np.append(0, np.cumsum(h < U64((1 << 64) // SCALE)))[bounds]
+    few = np.diff(below)  # hashes are ascending, so those below the fraction come first
+    full = (np.diff(bounds) <= SMALL) | (few == 0)
+    upto = np.where(full, bounds[1:], bounds[:-1] + few)
+    return [(1 if full[k] else SCALE, h[bounds[k] : upto[k]].copy()) for k in range(len(texts))]
 
 
 def fingerprint(sketch: tuple[int, np.ndarray]) -> str:
@@ -63,7 +65,7 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     """Estimated Jaccard similarity of two texts' shingles."""
     x, y = _common(a, b)
     if not len(x) and not len(y):
-        return float(a[0] == b[0])
+        return float(a[0] == b[0] == 1)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
@@ -71,7 +73,7 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
 def containment(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     """Estimated share of a's shingles that b has."""
     x, y = _common(a, b)
-    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else float(a[0] == b[0] and not len(y))
+    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else float(a[0] == b[0] == 1 and not len(y))
 
 
 def merged(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:

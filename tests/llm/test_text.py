@@ -90,6 +90,19 @@ def test_sketches_estimate_similarity():
     assert (merged(a, b)[1] == a[1]).all()
 
 
+def test_sketches_of_repeated_lines():
+    lines = [" ".join(f"w{n}_{k}" for k in range(8)) for n in range(60)]
+    texts = [" ".join([line] * 200) for line in lines] + [" ".join(lines[:2] * 100)]
+    found = sketches(pa.array(texts))
+    for text, (scale, hashes) in zip(texts, found, strict=True):
+        words = text.split()
+        assert scale == 1 and len(hashes) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    assert len({fingerprint(s) for s in found}) == len(texts)
+    assert likeness(found[0], found[1]) == 0 and likeness(found[0], found[0]) == 1
+    assert likeness(found[0], found[-1]) == pytest.approx(4 / 20)  # of 8 and 16 shingles, the 4 within the line
+    assert likeness((8, found[0][1][:0]), (8, found[1][1][:0])) == 0
+
+
 def test_hashes_of_words():
     texts = ["one two  one", "", "\tThree ONE\n", "x" * 3_000_000, None]
     plain, low = (Words(*text_buffers(pa.array(texts)), lower=k) for k in (False, True))
