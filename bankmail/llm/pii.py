@@ -4,13 +4,15 @@ Base spans are the matches of four fixed patterns. They are the seeds of a boots
 extraction: the one and two words before a seed are lexical patterns of its kind, and tokens that
 look like an identifier but that no fixed pattern takes are candidates. Spark scores the
 graph of patterns and instances in rounds: a pattern's confidence is the summed score of its
-instances over all places where its words occur in documents that use it; a candidate's score is one minus the
+instances over all places where its words occur in any document; a candidate's score is one minus the
 product of its patterns' doubts. Candidates after a pattern of high confidence that several
 different seeds support become added spans of that kind. Base spans always stay.
 
-Texts are read once. Each task finds spans, candidates and contexts of its documents; what leaves
+Texts are read twice. First each task finds spans, candidates and contexts of its documents; what leaves
 it are documents' spans and (pattern, instance) pairs with counts, both written to the shared folder.
 Pairs are summed before and after they are shuffled by pattern, so that a frequent context is one row a task.
+Then every task counts the occurrences of the patterns that seeds support in all its texts, by
+hashes of words; PATTERNS of them are broadcast at a time, and more take further passes.
 
 Defined cases: a null text counts as empty; no match gives an empty span list. Null and repeated
 ids are rows of their own. Very long words cost time in proportion to their length. An empty
@@ -24,15 +26,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bankmail.llm.base import bounded_batches, materialize, small
-from bankmail.llm.hashing import portions
+from bankmail.llm.hashing import U64, Words, mix, portions, text_buffers
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, CONFIDENT, SEEDS, DOUBT = 3, 0.8, 3, 1.0
+#: Hashes of patterns, eight bytes each, that a pass over the texts counts at most.
+PATTERNS = 1_000_000
 # The patterns of the base. Possessive repeats where giving back cannot help a match.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -103,7 +108,7 @@ def _contexts(text: str, start: int) -> list[str]:
 
 
 def _document(text: str):
-    """Base spans, candidates (start, end, kinds, contexts), and counted (kind, pattern, instance, seed, uses, occurrences)."""
+    """Base spans, candidates (start, end, kinds, contexts), and counted (kind, pattern, instance, seed, uses)."""
     base = base_spans(text)
     if not _DIGIT_OR_AT.search(text):
         return base, [], []
@@ -129,28 +134,17 @@ def _document(text: str):
         for kind in kinds:
             for c in contexts:
                 uses[kind, c, text[s:e].lower(), False] += 1
-    if not uses:
-        return base, candidates, []
-    words = [w.lower() for w in _WORD.findall(text)]
-    wanted = {c for _, c, _, _ in uses}
-    seen = Counter(w for w in words if w in wanted)
-    seen.update(c for c in (f"{a} {b}" for a, b in zip(words, words[1:], strict=False)) if c in wanted)
-    out, total = [], Counter()
-    for (kind, pattern, _, _), n in uses.items():
-        total[kind, pattern] += n
-    for key, n in uses.items():  # the places of a pattern count once a document
-        out.append((*key, n, max(seen[key[1]], total.pop(key[:2])) if key[:2] in total else 0))
-    return base, candidates, out
+    return base, candidates, [(*key, n) for key, n in uses.items()]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-FOUND = "doc_id {id}, row long, base array<struct<start:long,kind:int,end:long>>, base_text string, base_sha256 string, candidates array<struct<start:long,end:long,kind:int,contexts:array<string>,instance:string>>, uses array<struct<kind:int,pattern:string,instance:string,seed:boolean,n:long,seen:long>>"
+FOUND = "doc_id {id}, row long, base array<struct<start:long,kind:int,end:long>>, base_text string, base_sha256 string, candidates array<struct<start:long,end:long,kind:int,contexts:array<string>,instance:string>>, uses array<struct<kind:int,pattern:string,instance:string,seed:boolean,n:long>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 _CAND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("contexts", pa.list_(pa.string())), ("instance", pa.string())]))
-_USES = pa.list_(pa.struct([("kind", pa.int32()), ("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_()), ("n", pa.int64()), ("seen", pa.int64())]))
+_USES = pa.list_(pa.struct([("kind", pa.int32()), ("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_()), ("n", pa.int64())]))
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +155,58 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in b])
             sha.append(_joined(b))
             cands.append([{"start": s, "end": e, "kind": k, "contexts": x, "instance": text[s:e].lower()} for s, e, ks, x in c for k in ks])
-            uses.append([{"kind": k, "pattern": p, "instance": i, "seed": seed, "n": n, "seen": seen} for k, p, i, seed, n, seen in u])
+            uses.append([{"kind": k, "pattern": p, "instance": i, "seed": seed, "n": n} for k, p, i, seed, n in u])
         columns = [batch.column("doc_id"), batch.column("row"), pa.array(base, _SPAN), pa.array(sha), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in sha]), pa.array(cands, _CAND), pa.array(uses, _USES)]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "base", "base_text", "base_sha256", "candidates", "uses"])
 
 
+def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, in lower case, and of all pairs of neighbouring words; and where each text's words begin."""
+    words = Words(*text_buffers(pa.array([t.lower() for t in texts], pa.large_string())))
+    h = words.hashes
+    inside = np.ones(max(len(h) - 1, 0), bool)
+    ends = words.starts[1:-1]
+    inside[ends[(ends > 0) & (ends < len(h))] - 1] = False
+    return h, mix(h[:-1] * U64(0x9E3779B97F4A7C15) + h[1:])[inside], words.starts
+
+
+def occurrences(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Written: how often the words of each pattern occur in all texts. `rows` has text; `wanted`, a written table, has pattern."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "pattern"):
+            one, two, starts = _keys(batch.column("pattern").to_pylist())
+            n = np.diff(starts)
+            key = one[starts[:-1]]
+            key[n == 2] = two
+            yield pa.RecordBatch.from_arrays([batch.column("pattern"), pa.array(key.view(np.int64))], ["pattern", "key"])
+
+    keys = materialize(wanted.select("pattern").distinct().mapInArrow(keyed, "pattern string, key long"), "keys")
+    times = max(1, -(-keys.count() // PATTERNS))
+    context = rows.sparkSession.sparkContext
+
+    def counts(k: int) -> DataFrame:
+        chosen = keys.where(F.pmod("key", F.lit(times)) == k).select("key").distinct().toArrow()
+        shared = context.broadcast(np.sort(np.asarray(chosen["key"], np.int64).view(U64)))
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            total = np.zeros(len(known), np.int64)
+            for batch in portions(batches) if len(known) else ():
+                for h in _keys(batch.column("text").to_pylist())[:2]:
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    np.add.at(total, at[known[at] == h], 1)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(known[at].view(np.int64)), pa.array(total[at])], ["key", "n"])
+
+        return materialize(rows.select("text").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("seen")), "seen")
+
+    seen = counts(0)
+    for k in range(1, times):
+        seen = seen.union(counts(k))
+    return keys.join(seen, "key").select("pattern", "seen")
+
+
 def patterns(edges: DataFrame) -> DataFrame:
     """(kind, pattern, confidence) of patterns that seeds support, scored on the graph in rounds.
 
@@ -193,10 +234,11 @@ def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     found = materialize(rows.mapInArrow(_found, FOUND.format(id=docs.schema[id].dataType.simpleString())), "spans")
 
     uses = found.select(F.explode("uses").alias("u")).select("u.*")
-    edges = uses.groupBy("kind", "pattern", "instance", "seed").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen_by"))
-    edges = materialize(edges, "uses")
-    seen = edges.groupBy("kind", "pattern").agg(F.sum("seen_by").alias("seen"))
-    good = patterns(edges.join(seen, ["kind", "pattern"]).drop("seen_by"))
+    edges = materialize(uses.groupBy("kind", "pattern", "instance", "seed").agg(F.sum("n").alias("n")), "uses")
+    support = edges.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others"))
+    support = materialize(support.where((F.col("seeds") >= SEEDS) & (F.col("others") > 0)).select("kind", "pattern"), "supported")
+    seen = support.join(occurrences(rows, support), "pattern", "left").select("kind", "pattern", F.coalesce("seen", F.lit(0)).alias("seen"))
+    good = patterns(edges.join(small(materialize(seen, "occurrences")), ["kind", "pattern"]))
 
     places = found.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.start", "c.end", "c.kind", F.explode("c.contexts").alias("pattern"))
     hits = places.join(small(good.select("kind", "pattern")), ["kind", "pattern"]).select("row", "start", "kind", "end").distinct()

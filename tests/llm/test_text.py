@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from bankmail.llm import pii
 from bankmail.llm import quality as q
 from bankmail.llm import toxicity as t
 from bankmail.llm.fingerprints import containment, fingerprint, likeness, merged, neighbours, sketch_of, sketches
@@ -52,6 +53,26 @@ def test_contexts_discover_what_the_patterns_miss(spark):
     assert found[0].base[0].kind == KINDS.index("card") and not found[12].base
 
 
+CARDS = ["4539578763621486", "4556737586899855", "4916338506082832", "4024007198964305"]
+
+
+def test_a_common_word_is_no_pattern(spark):
+    rows = [(k, f"{k} mine {c} on Account {c}") for k, c in enumerate(CARDS)]
+    rows += [(100, "99 mine 4539578763621487 then"), (101, "on account 4539578763621487 then")]
+    rows += [(200 + k, "a gold mine is no mine of data") for k in range(40)]  # no digit or @
+    found = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not found[100].added  # "mine" mostly stands elsewhere
+    assert [tuple(s) for s in found[101].added] == [(11, 2, 27)]
+
+
+def test_occurrences_in_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PATTERNS", 2)  # several passes
+    rows = spark.createDataFrame([("Mine is\tno mine",), ("no",), ("mine",), ("",), ("x no  MINE then",)], "text string").repartition(3)
+    wanted = spark.createDataFrame([("mine",), ("no mine",), ("is",), ("then",), ("of a",), ("no",)], "pattern string")
+    assert dict(map(tuple, pii.occurrences(rows, wanted).collect())) == {"mine": 4, "no mine": 2, "is": 1, "then": 1, "no": 3}
+    assert not pii.occurrences(rows, wanted.where("false")).collect()
+
+
 def test_personal_data_of_odd_rows(odd, rows, none):
     found = personal_data(odd).collect()
     expected = [[f"{KINDS[k]}:{s}:{e}" for s, k, e in plain_spans(x or "")] for _, x, _ in rows]
