@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and what contexts learned from them discover.
 
 Base spans are the matches of four fixed patterns. They are the seeds of a bootstrapped
-extraction: the one and two words before a seed are lexical patterns of its kind, and tokens that
-look like an identifier but that no fixed pattern takes are candidates. Spark scores the
+extraction: the one and two words before a seed are lexical patterns of its kind, and tokens and runs of
+digit groups that look like an identifier but that no fixed pattern takes are candidates. Groups may be joined by
+what the fixed patterns of a kind allow; of a run with too many digits, the longest beginning that fits. Spark scores the
 graph of patterns and instances in rounds: a pattern's confidence is the summed score of its
 instances over all places where its words occur in any document; a candidate's score is one minus the
 product of its patterns' doubts. Candidates after a pattern of high confidence that several
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bankmail.llm.base import bounded_batches, materialize, small
@@ -46,6 +47,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D,;!?()\[\]\"']+")
+_GROUPS = re.compile(r"(?<![\w+])\+?(?:\([0-9]++\)|[0-9]++)(?!\w)(?:[\x20().-]++[0-9]++(?!\w))*+")
+_GROUP = re.compile(r"[0-9]+")
 _DIGIT_OR_AT = re.compile(r"[0-9@]")
 
 
@@ -92,7 +95,7 @@ def shapes(token: str) -> list[int]:
     if "@" in token:
         return [0]
     kinds = []
-    if token.count(".") == 3 and not letters:
+    if token.count(".") == 3 and not letters and digits >= 4:
         kinds.append(1)
     if not letters and 12 <= digits <= 19:
         kinds.append(2)
@@ -101,23 +104,50 @@ def shapes(token: str) -> list[int]:
     return kinds
 
 
+def grouped(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, kind) of runs of digit groups in a part of the text that may be an identifier."""
+    for m in _GROUPS.finditer(text, start, end):
+        digits, last, ends = 0, 0, {}
+        plain = dotted = "0" <= text[m.start()] <= "9"
+        for k, g in enumerate(_GROUP.finditer(text, m.start(), m.end())):
+            between = text[last : g.start()] if k else ""
+            plain, dotted = plain and between in ("", " ", "-"), dotted and between in ("", ".")
+            digits, last = digits + g.end() - g.start(), g.end()
+            if k == 3 and dotted:
+                ends[1] = last
+            elif k > 3 and dotted:
+                ends.pop(1, None)
+            if plain and 12 <= digits <= 19:
+                ends[2] = last
+            if 7 <= digits <= 15:
+                ends[3] = last
+            if not dotted and digits > 19:
+                break
+        yield from ((m.start(), e, kind) for kind, e in ends.items())
+
+
 def _contexts(text: str, start: int) -> list[str]:
     """The one and two words before a place, within its line's last words."""
     before = [w.lower() for w in _WORD.findall(text[max(0, start - 80) : start].rpartition("\n")[2])]
     return [" ".join(before[-n:]) for n in (1, 2) if len(before) >= n]
 
 
+def _instance(kind: int, found: str) -> str:
+    """An identifier without the separators of its groups."""
+    return re.sub(r"[\x20().-]", "", found.lower()) if kind > 1 else found.lower()
+
+
 def _document(text: str):
     """Base spans, candidates (start, end, kinds, contexts), and counted (kind, pattern, instance, seed, uses)."""
     base = base_spans(text)
     if not _DIGIT_OR_AT.search(text):
         return base, [], []
     taken = [(s, e) for s, _, e in base]
-    candidates = []
+    places: dict[tuple[int, int], set[int]] = {}
     k = 0
     for m in _TOKEN.finditer(text):
         token = m[0].rstrip(".")
-        if "@" not in token and sum(c.isdigit() for c in token) < 7:
+        if not _DIGIT_OR_AT.search(token):
             continue
         s, e = m.start(), m.start() + len(token)
         while k < len(taken) and taken[k][1] <= s:
@@ -125,15 +155,21 @@ def _document(text: str):
         if any(a < e and s < b for a, b in taken[k : k + 8]):
             continue
         if kinds := shapes(token):
-            candidates.append((s, e, kinds, _contexts(text, s)))
+            places[s, e] = set(kinds)
+    done = 0
+    for a, b in [*taken, (len(text), len(text))]:
+        for s, e, kind in grouped(text, done, a):
+            places.setdefault((s, e), set()).add(kind)
+        done = max(done, b)
+    candidates = [(s, e, sorted(kinds), _contexts(text, s)) for (s, e), kinds in sorted(places.items())]
     uses: Counter = Counter()
     for s, kind, e in base:
         for c in _contexts(text, s):
-            uses[kind, c, re.sub(r"[\x20().-]", "", text[s:e].lower()) if kind > 1 else text[s:e].lower(), True] += 1
+            uses[kind, c, _instance(kind, text[s:e]), True] += 1
     for s, e, kinds, contexts in candidates:
         for kind in kinds:
             for c in contexts:
-                uses[kind, c, text[s:e].lower(), False] += 1
+                uses[kind, c, _instance(kind, text[s:e]), False] += 1
     return base, candidates, [(*key, n) for key, n in uses.items()]
 
 
@@ -154,7 +190,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b, c, u = _document(text)
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in b])
             sha.append(_joined(b))
-            cands.append([{"start": s, "end": e, "kind": k, "contexts": x, "instance": text[s:e].lower()} for s, e, ks, x in c for k in ks])
+            cands.append([{"start": s, "end": e, "kind": k, "contexts": x, "instance": _instance(k, text[s:e])} for s, e, ks, x in c for k in ks])
             uses.append([{"kind": k, "pattern": p, "instance": i, "seed": seed, "n": n} for k, p, i, seed, n in u])
         columns = [batch.column("doc_id"), batch.column("row"), pa.array(base, _SPAN), pa.array(sha), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in sha]), pa.array(cands, _CAND), pa.array(uses, _USES)]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "base", "base_text", "base_sha256", "candidates", "uses"])
@@ -242,6 +278,8 @@ def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 
     places = found.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.start", "c.end", "c.kind", F.explode("c.contexts").alias("pattern"))
     hits = places.join(small(good.select("kind", "pattern")), ["kind", "pattern"]).select("row", "start", "kind", "end").distinct()
+    earlier = Window.partitionBy("row", "kind").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("upto", F.max("end").over(earlier)).where("upto is null or upto < end")  # none within another
     added = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
     added = small(materialize(added, "added"))
     out = found.join(added, "row", "left")

@@ -65,6 +65,25 @@ def test_a_common_word_is_no_pattern(spark):
     assert [tuple(s) for s in found[101].added] == [(11, 2, 27)]
 
 
+def test_candidates_in_groups():
+    def found(text):
+        return {(text[s:e], KINDS[k]) for s, e, kinds, _ in pii._document(text)[1] for k in kinds}
+
+    assert found("Card number: 4539 5787 6362 1487 2024") >= {("4539 5787 6362 1487", "card")}
+    assert found("call 030 1234 5678.") == {("030 1234 5678", "phone")}
+    assert ("(017) 555-7713", "phone") in found("phone: (017) 555-7713, or")
+    assert ["phone:"] in [c for s, e, _, c in pii._document("phone: (017) 555-7713, or")[1]]
+    assert found("host 1.2.3.400 up") == {("1.2.3.400", "ip")} and ("1.2.3.400", "ip") in found("host:1.2.3.400")
+    assert found("at 10.0.0.1 030 1234 5678 a@b.co") == {("030 1234 5678", "phone")}  # next to base spans
+    assert not found("of 12 34 and 5.6 x1234567 1.2.3")
+
+
+def test_grouped_identifiers_are_discovered(spark):
+    rows = [(k, f"pay with Card number: {c} today") for k, c in enumerate(CARDS)] + [(10, "wrong Card number: 4539 5787 6362 1487 here")]
+    found = {r.doc_id: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in found[10].added] == [(19, 2, 38)]
+
+
 def test_occurrences_in_all_texts(spark, monkeypatch):
     monkeypatch.setattr(pii, "PATTERNS", 2)  # several passes
     rows = spark.createDataFrame([("Mine is\tno mine",), ("no",), ("mine",), ("",), ("x no  MINE then",)], "text string").repartition(3)
