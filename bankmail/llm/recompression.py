@@ -64,16 +64,14 @@ def anchors(words: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
         fresh = [(name[new], first[new], end[new], lo[new], hi[new])]
         name, of, first, end, lo, hi, new = _pairs(name, of, first, end, lo, hi, k)
         fresh.append((name[new], first[new], end[new], lo[new], hi[new]))
-        some = False
         for na, f, e, a, b in fresh:
             ok = b - a <= window
             if ok.any():
-                some = True
                 from_ = np.maximum(b[ok] - window, bounds[:-1][text[f[ok]]])
                 upto = np.minimum(a[ok], bounds[1:][text[f[ok]]] - window)
                 fits = from_ <= upto
                 _paint(best, from_[fits], upto[fits], _named(e[ok] - f[ok], na[ok])[fits], window)
-        if not some:
+        if (hi - lo > window).all():  # contexts only grow: nothing fits in any later round
             break
     full = left >= window
     best[~full] = 0

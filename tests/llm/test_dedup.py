@@ -101,6 +101,15 @@ def test_anchors_depend_on_the_window_only(vocabulary):
             assert anchor[i] and seen.setdefault(tuple(words[i : i + 50]), anchor[i]) == anchor[i]
 
 
+def test_anchors_of_short_periods_alone_and_together():
+    rng = np.random.default_rng(4)
+    texts = [mix(np.tile(rng.integers(0, 1 << 40, rng.integers(1, 6)), 80)[: rng.integers(60, 80)].astype(np.uint64)) for _ in range(200)]
+    bounds = np.append(0, np.cumsum([len(t) for t in texts]))
+    together = anchors(np.concatenate(texts), bounds, 50)
+    for text, lo, hi in zip(texts, bounds, bounds[1:], strict=False):
+        assert (anchors(text, np.array([0, len(text)]), 50) == together[lo:hi]).all()
+
+
 def join_plain(rows):
     sets = []
     for _, t, _ in rows:
