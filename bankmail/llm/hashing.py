@@ -7,24 +7,27 @@ equal everywhere for equal words, so they name words across all tasks without a
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_MULTIPLIER = U64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: All ASCII bytes that are no letter and no digit, for words without punctuation.
 NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
-_BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
-_LOWER_BYTE = _BYTE.copy()
-_LOWER_BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
-_powers = {_BASE: np.ones(1, U64), _INVERSE: np.ones(1, U64)}
-#: Bytes hashed at a time; a longer word is hashed alone.
-BLOCK = 1 << 20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] = np.arange(0x61, 0x7B)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Sequences are hashed by a polynomial modulo this prime, at a base drawn once at random.
+PRIME = (1 << 61) - 1
+_BASE = 0x0B5CF1D7A93E2468 % PRIME
+_INVERSE = pow(_BASE, -1, PRIME)
+_powers = {base: np.ones(1, U64) for base in (_BASE, _INVERSE)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,30 +40,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... below n, modulo 2 ** 64."""
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo the prime."""
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it, by halves of 31 bits."""
+    low, half = U64((1 << 31) - 1), U64(31)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    middle = ah * bl + al * bh
+    return reduced((ah * bh << U64(1)) + (middle >> U64(30)) + ((middle & U64((1 << 30) - 1)) << half) + al * bl)
+
+
+def powers(n: int, base: int = _BASE) -> np.ndarray:
+    """base ** 0, 1, ... below n, modulo the prime."""
     have = _powers[base]
-    if len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.full(1 << (n - 1).bit_length(), base, U64)
-            have[0] = 1
-            have = np.cumprod(have, dtype=U64)
-        _powers[base] = have
+    while len(have) < n:
+        have = np.append(have, product(have, np.full(1, pow(base, len(have), PRIME), U64)))
+    _powers[base] = have
     return have[:n]
 
 
+def prefixes(values: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... terms values[i] * base ** i, modulo the prime."""
+    terms = product(reduced(values), powers(len(values)))
+    high, low = np.cumsum(terms >> U64(32), dtype=U64), np.cumsum(terms & U64(0xFFFFFFFF), dtype=U64)
+    return np.append(np.zeros(1, U64), reduced(product(reduced(high), np.full(1, 1 << 32, U64)) + reduced(low)))
+
+
+def between(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """From `prefixes`, the polynomial of each stretch, wherever it stands."""
+    gap = sums[end] + U64(PRIME) - sums[first]
+    return product(reduced(gap), powers(len(sums), _INVERSE)[first])
+
+
 def spans_hash(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of values[first:end] for each pair; equal content, equal hash."""
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * powers(_BASE, len(values)), out=total[1:])
-    return mix((total[end] - total[first]) * powers(_INVERSE, len(values) + 1)[first] + (end - first).astype(U64))
+    return mix(between(prefixes(values), first, end) ^ ((end - first).astype(U64) * _MULTIPLIER))
+
+
+def bytes_hash(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of data[first:end] for each pair: eight bytes at a time, mixed after each step."""
+    length = end - first
+    out = mix(length.astype(U64) * _MULTIPLIER)
+    wide = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))  # the eight bytes from each place on
+    long = length > LONG_WORD
+    live = np.flatnonzero(~long & (length > 0))
+    for at in range(0, LONG_WORD, 8):
+        live = live[length[live] > at]
+        if not len(live):
+            break
+        eight = wide[first[live] + at]
+        rest = np.minimum(length[live] - at, 8).astype(U64)
+        eight = eight & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * rest))
+        out[live] = mix(out[live] * _MULTIPLIER + mix(eight + U64(at + 1)))
+    for k in np.flatnonzero(long):
+        out[k] = int.from_bytes(hashlib.blake2b(data[first[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 class Words:
     """The words of several texts in one row: hash of each, and where each text's words begin."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE):
-        self.data, self.offsets, self.table = data, offsets, _LOWER_BYTE if lower else _BYTE
+        self.data, self.offsets = _LOWER[data] if lower else data, offsets
         solid = ~between[data]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
@@ -76,15 +121,7 @@ class Words:
 
     def heads(self, most: int | None) -> np.ndarray:
         """Hash of each word's first `most` bytes, or of all."""
-        out, done, n = np.empty(len(self.first), U64), 0, len(self.first)
-        while done < n:
-            base = self.first[done]
-            upto = max(done + 1, int(np.searchsorted(self.end, base + BLOCK)))
-            f, e = self.first[done:upto] - base, self.end[done:upto] - base
-            values = self.table[self.data[base : base + e[-1]]]
-            out[done:upto] = spans_hash(values, f, e if most is None else np.minimum(e, f + most))
-            done = upto
-        return out
+        return bytes_hash(self.data, self.first, self.end if most is None else np.minimum(self.end, self.first + most))
 
     @property
     def counts(self) -> np.ndarray:
@@ -142,7 +179,7 @@ def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     out = length.astype(U64)
     padded = np.concatenate([words.hashes, np.zeros(k, U64)])
     for j in range(k):
-        out = out * U64(_BASE) + np.where(j < length, padded[first + j], U64(0))
+        out = out * _MULTIPLIER + np.where(j < length, padded[first + j], U64(0))
     return mix(out), of
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bankmail.llm.base import documents
+from bankmail.llm.base import WORD, documents
 from bankmail.llm.exact_dedup import exact_duplicates
 from bankmail.llm.fingerprints import neighbours
 from bankmail.llm.learn import fold
@@ -16,6 +16,7 @@ from bankmail.llm.ngram_join import jaccard_components
 from bankmail.llm.packing import pack
 from bankmail.llm.pii import KINDS, personal_data
 from bankmail.llm.quality import quality
+from bankmail.llm.runs import periodic_runs
 from bankmail.llm.substring_dedup import without_repeats
 from bankmail.llm.token_counts import length_histogram
 from bankmail.llm.toxicity import toxicity
@@ -122,3 +123,33 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def repeating(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with the words of a tenth of the texts, told by a hash of the id, from some word on repeated in place of the rest."""
+    h = F.crc32(F.col(id).cast("string"))
+    g = F.floor(h / 10)
+
+    def rebuilt(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        word = lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.concat_ws(" ", F.transform(F.sequence(F.lit(0), n - 1), word))
+
+    # as a variable of a function, the words are extracted once for a text
+    repeated = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), rebuilt), 0)
+    return docs.withColumn(text, F.when((h % 10 == 0) & (F.regexp_count(text, F.lit(WORD)) > 0), repeated).otherwise(F.col(text)))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeating(documents(spark, sf_dir).select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"], r["period"])))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
