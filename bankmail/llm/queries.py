@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bankmail.llm.base import WORD, documents
+from bankmail.llm.base import WORD, documents, materialize, small
+from bankmail.llm.credentials import KINDS as SECRET_KINDS
+from bankmail.llm.credentials import secrets
 from bankmail.llm.exact_dedup import exact_duplicates
 from bankmail.llm.fingerprints import neighbours
 from bankmail.llm.learn import fold
@@ -20,6 +22,7 @@ from bankmail.llm.runs import periodic_runs
 from bankmail.llm.substring_dedup import without_repeats
 from bankmail.llm.token_counts import length_histogram
 from bankmail.llm.toxicity import toxicity
+from bankmail.llm.trie import KEYS, prefix_trie, turn_keys
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +156,68 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("best.period").alias("period"), F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the owners; each document is a repository."""
+    found = secrets(documents(spark, sf_dir))
+    named = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, SECRET_KINDS)), s["kind"] + 1), s["start"], s["end"])
+    count = lambda test: F.size(F.filter("findings", test)).cast("long")
+    kinds = [count(lambda s, k=k: (s["kind"] == k) & ~s["added"]).alias(f"n_{kind}") for k, kind in enumerate(SECRET_KINDS)]
+    spans = F.array_join(F.transform("findings", named), ",").alias("spans")
+    return found.select("doc_id", *kinds, "base_sha256", spans, count(lambda s: s["added"]).alias("n_added"), count(lambda s: s["owners"] == 1).alias("n_live"))
+
+
+def rebuilt(keys: DataFrame) -> DataFrame:
+    """`keys` of conversations that begin with the first turns of another: as many as a hash of the id says, in place of as many of their own."""
+    head = F.coalesce(F.crc32(F.col("conv").cast("string")) % 4, F.lit(0))
+    source = F.col("conv") - F.col("conv") % 20
+    convs = keys.select("conv").distinct()
+    firsts = small(materialize(keys.where(source.eqNullSafe(F.col("conv")) & (F.col("at") < 3)).withColumnRenamed("conv", "source"), "firsts"))
+    begun = convs.select("conv", source.alias("source"), head.alias("head")).join(firsts, "source").where(F.col("at") < F.col("head")).select(KEYS)
+    lengths = small(materialize(firsts.groupBy("source").agg(F.count("*").alias("n")), "lengths"))
+    own = keys.withColumns({"source": source, "head": head}).where(F.col("at") >= F.col("head")).join(lengths, "source", "left")
+    return begun.unionByName(own.withColumn("at", F.col("at") - F.col("head") + F.least("head", F.coalesce("n", F.lit(0)))).select(KEYS))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = turn_keys(documents(spark, sf_dir, "conversations"))
+    return prefix_trie(rebuilt(keys), keys.select("conv"))
+
+
+ORACLES["op12_prefix_trie"] = r"""
+with turns as (
+    select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
+    from conversations),
+convs as (
+    select c, c - c % 20 as source, xor(list_reduce([4294967295::bigint] || list_transform(string_split(c::varchar, ''), lambda d: ascii(d)::bigint),
+        lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 as h
+    from (select distinct conv_id as c from conversations)),
+heads as (select v.c, t.pos, t.role, t.text from convs v join turns t on t.c = v.source and t.pos < v.h),
+lens as (select c, count(*) as n from heads group by c),
+rebuilt as (
+    select * from heads
+    union all select t.c, t.pos - v.h + coalesce(l.n, 0), t.role, t.text from turns t join convs v on v.c = t.c left join lens l on l.c = t.c where t.pos >= v.h),
+keyed as (
+    select c, pos + 1 as d, len(regexp_extract_all(text, '[^ 	-
+]+')) as words,
+        md5(string_agg(md5(role) || md5(text), '' order by pos) over (partition by c order by pos rows between unbounded preceding and current row)) as node
+    from rebuilt),
+paths as (select c, d, words, node from keyed union all select c, 0, 0, '' from convs),
+nodes as (select d, node, min(c) as c, count(*) as n, max(words) as words from paths group by d, node),
+up as (select n.d, n.node, n.c, n.n, n.words, p.node as parent from nodes n left join paths p on p.c = n.c and p.d = n.d - 1),
+kids as (select d - 1 as d, parent, count(*) as k from up group by 1, 2),
+own as (select u.*, coalesce(k.k, 0) as k from up u left join kids k on k.d = u.d and k.parent = u.node),
+sums as (
+    select p.d, p.node, count(*) filter (o.k = 0) as leaves, sum((o.n - 1) * o.words) as saved
+    from own o join paths p on p.c = o.c and p.d <= o.d group by p.d, p.node),
+ends as (
+    select d, node, sha256(string_agg(c::varchar, ',' order by c)) as sha
+    from (select c, max(d) as d, arg_max(node, d) as node from paths group by c) group by d, node)
+select o.c as conv_id, o.d as depth, q.c as parent_conv_id, o.n as n_convs, o.k as n_children, s.leaves as n_leaves, s.saved::bigint as saved_tokens,
+    coalesce(e.sha, sha256('')) as ends_sha256
+from own o join sums s on s.d = o.d and s.node = o.node left join ends e on e.d = o.d and e.node = o.node
+left join nodes q on q.d = o.d - 1 and q.node = o.parent"""

@@ -1,0 +1,86 @@
+"""Secrets against plain patterns, and ownership against a count in Python."""
+
+import random
+import re
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from bankmail.llm import queries
+from bankmail.llm.credentials import KINDS, base_spans, candidates, looks_random, ownership, secrets
+
+from compare import TESTDATA
+
+PATTERNS = [
+    r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    r"AKIA[A-Z0-9]+", r"[0-9a-f]+",
+]
+KEY = "q7Rt2Lp9Zx4Wm1Vb8Ns5"
+
+
+def plain_spans(text):
+    long_enough = [lambda m: len(m[1]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24]
+    return sorted((m.start(), k, m.end()) for k, p in enumerate(PATTERNS) for m in re.finditer(p, text) if long_enough[k](m))
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(7)
+    pieces = ["password", "PassWD", "ſecret", "secret", "toKen", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "\t", "abc", "deadbeef", "0123456789abcdef", "AKIA", "ABCDEFGH01234567", "é", "-", "g"]
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        assert [s[:3] for s in base_spans(text)] == plain_spans(text), text
+
+
+def test_candidates():
+    def found(text):
+        return [(KINDS[k], text[s:e], value) for s, k, e, value in candidates(text, base_spans(text))]
+
+    assert found(f"db_pwd := {KEY};") == [("assign", f"db_pwd := {KEY}", KEY)]
+    assert found(f"secret_value => '{KEY}'") == [("assign", f"secret_value => '{KEY}", KEY)]
+    assert found(f"secret = {KEY}") == []  # a base span
+    assert found("https://me:hunter2go@host/x") == [("assign", "hunter2go", "hunter2go")]
+    assert found("see ghp_" + "A1b2" * 6) == [("access", "ghp_" + "A1b2" * 6, "ghp_" + "A1b2" * 6)]
+    assert found("use 4F9A0C7B1D2E8F3A6B5C4D9E now") == [("hex", "4F9A0C7B1D2E8F3A6B5C4D9E", "4F9A0C7B1D2E8F3A6B5C4D9E")]
+    assert found(f"x {KEY}_{KEY} y")[0][0] == "access"
+    assert found("4539578763621486453957 somequitelongplainword 123e4567-e89b-12d3-a456-426614174000") == []
+    assert not looks_random("a1a1a1a1a1a1") and looks_random(KEY)
+
+
+def test_owners_separate_examples_from_live_secrets(spark):
+    rows = [(k, f"example pwd := Ex4mpl3{KEY} here", f"org{k % 3}") for k in range(30)]
+    rows += [(100, f"mine: pwd := {KEY}", "org1"), (101, f"again pwd := {KEY}", "org1"), (102, "token = abcdef1", "org2"), (103, None, "org2"), (104, "", None)]
+    rows += [(105, f"pwd := Nob0dy{KEY}", None), (106, f"pwd := Nob0dy{KEY}", None), (None, "token = abcdef1", "org9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r.findings for r in secrets(docs).collect()}
+    assert len(found) == len(rows)
+    assert all(not found[k] for k in range(30))  # of three owners
+    assert [(f.added, f.owners, f.repositories) for f in found[100]] == [(True, 1, 2)]
+    assert [(f.added, f.owners, f.repositories) for f in found[102]] == [(False, 2, 2)] == [(f.added, f.owners, f.repositories) for f in found[None]]
+    assert [(f.added, f.owners, f.repositories) for f in found[105]] == [(True, 1, 2)]
+    assert not found[103] and not found[104]
+    assert [len(r.findings) for r in secrets(docs, live_owners=3).where("doc_id = 0").collect()] == [1]
+
+
+def test_ownership(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(9) if rng.random() < 0.6 else 0, rng.randrange(4), rng.randrange(5)) for _ in range(400)]
+    got = {r.value: (r.owners, r.repositories) for r in ownership(spark.createDataFrame(rows, "value long, owner long, repository long")).collect()}
+    sets = defaultdict(set)
+    for v, o, r in rows:
+        sets[v].add((o, r))
+    assert got == {v: (len({o for o, _ in s}), len(s)) for v, s in sets.items()}
+
+
+def test_odd_rows(odd, none, rows):
+    assert secrets(odd).count() == len(rows) and secrets(none).count() == 0
+
+
+def test_query(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").where(F.length("text") < 50_000).collect()
+    got = {r.doc_id: r for r in queries.QUERIES["op13_secrets"](spark, f"{TESTDATA}/sf0.001").collect()}
+    for row in docs:
+        spans, r = plain_spans(row.text or ""), got[row.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in spans) for kind in range(3))
+        base = [f"{KINDS[k]}:{s}:{e}" for s, k, e in spans]
+        assert set(base) <= set(r.spans.split(",")) or not base
+        assert len([x for x in r.spans.split(",") if x]) == len(base) + r.n_added
