@@ -10,6 +10,7 @@ from bankmail.functions import html as H
 from bankmail.functions import text as X
 from bankmail.functions.once import once
 from bankmail.operators.joins import first_per_key
+from bankmail.operators.maintain import errors_by_account
 from bankmail.sources.mail import dated
 
 KEY = ["account", "folder", "message_id"]
@@ -155,6 +156,19 @@ def ingest_summary(scanned: DataFrame, inserted: DataFrame, by: list[str] | None
     )
 
 
+def account_summary(scanned: DataFrame, inserted: DataFrame, runs: DataFrame) -> DataFrame:
+    """Counts of a run per account with its errors: also accounts of which no folder could be read, and the number of new ids.
+
+    `runs` are the run's audit rows as `sync_runs` gives them.
+    """
+    counts = ingest_summary(scanned, inserted, ["account"])
+    both = counts.join(errors_by_account(runs).withColumnRenamed("account", "__a"), F.col("account").eqNullSafe(F.col("__a")), "full")
+    zero = F.lit(0).cast("bigint")
+    numbers = [F.coalesce(c, zero).alias(c) for c in counts.columns if c != "account"]
+    none = F.array().cast("array<string>")
+    return both.select(F.coalesce("account", "__a").alias("account"), *numbers, F.coalesce("failed", zero).alias("folders_failed"), F.coalesce("errors", none).alias("errors"))
+
+
 def banks_found(inserted: DataFrame) -> DataFrame:
     return inserted.select("bank_name").filter(F.col("bank_name").isNotNull()).distinct()
 

@@ -26,6 +26,52 @@ def update_by_id(rows: DataFrame, updates: DataFrame, key: str, columns: list[st
     return joined.select(*keep)
 
 
+def merged_changes(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """Mails with their changes: the newest value of a column, added texts in order, deleted mails gone.
+
+    `rows` has `seq`, the place of each row's batch in the order of changes; older changes say nothing of the row. Changes are reduced to a
+    row per id before the join, and are few between two compactions, so Spark broadcasts them and the mails stay where they are.
+    """
+    newest = lambda c: F.max_by(F.struct(c, "seq"), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"__{c}")
+    added = F.array_sort(F.collect_list(F.when(F.col("body_added").isNotNull(), F.struct("seq", "body_added")))).alias("__added")
+    gone = F.max(F.when(F.col("deleted"), F.col("seq"))).alias("__gone")
+    latest = changes.groupBy(F.col("id").alias("__k")).agg(newest("email_type"), newest("vision_needed"), added, gone)
+    joined = rows.join(latest, F.col("id") == F.col("__k"), "left").filter(F.col("__gone").isNull() | (F.col("__gone") < F.col("seq")))
+    value = lambda c: F.when(F.col(f"__{c}.seq") >= F.col("seq"), F.col(f"__{c}.{c}")).otherwise(F.col(c))
+    texts = F.transform(F.filter("__added", lambda x: x["seq"] >= F.col("seq")), lambda x: x["body_added"])
+    body = F.when(F.size(texts) > 0, F.concat(F.coalesce("body_text", F.lit("")), F.array_join(texts, ""))).otherwise(F.col("body_text"))
+    replaced = {"email_type": value("email_type"), "vision_needed": value("vision_needed"), "body_text": body}
+    return joined.select(*[replaced[c].alias(c) if c in replaced else c for c in rows.columns])
+
+
+def without_deleted(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Rows whose parent has not been deleted since they were written; `rows` has `seq`. A NULL parent key stays."""
+    gone = changes.filter("deleted").groupBy(F.col("id").alias("__k")).agg(F.max("seq").alias("__gone"))
+    return rows.join(gone, (F.col(key) == F.col("__k")) & (F.col("__gone") >= F.col("seq")), "left_anti")
+
+
+def label_changes(labels: DataFrame, seq: int, order: str | None = None) -> DataFrame:
+    """Changes that set the label, from (id, email_type); of several for one id, that with the highest `order`, without it the least."""
+    best = F.max_by("email_type", order) if order else F.min("email_type")
+    return labels.groupBy("id").agg(best.alias("email_type")).withColumn("seq", F.lit(seq).cast("long"))
+
+
+def flag_changes(done: DataFrame, seq: int) -> DataFrame:
+    """Changes that clear `vision_needed` for the ids in `done`."""
+    return done.select("id", F.lit(False).alias("vision_needed"), F.lit(seq).cast("long").alias("seq")).distinct()
+
+
+def text_changes(texts: DataFrame, seq: int) -> DataFrame:
+    """Changes that add the marker line and a text to the body, from (id, text); of several for one id the least."""
+    added = F.concat(F.lit(f"\n{dims.OCR_MARKER}\n"), F.min("text"))
+    return texts.groupBy("id").agg(added.alias("body_added")).withColumn("seq", F.lit(seq).cast("long"))
+
+
+def delete_changes(ids: DataFrame, seq: int) -> DataFrame:
+    """Changes that delete mails."""
+    return ids.select("id", F.lit(True).alias("deleted"), F.lit(seq).cast("long").alias("seq")).distinct()
+
+
 def set_email_type(emails: DataFrame, labels: DataFrame, seq: str | None = None) -> DataFrame:
     """`labels` holds (id, email_type)."""
     return update_by_id(emails, labels, "id", ["email_type"], seq)
@@ -93,19 +139,26 @@ def start_run(runs: DataFrame) -> DataFrame:
         "folder",
         F.lit(0).cast("bigint").alias("emails_fetched"),
         F.lit("in_progress").alias("status"),
+        *_noted(runs),
     )
 
 
 def complete_run(runs: DataFrame) -> DataFrame:
     """Closing events from (id, folder, at, emails_fetched, status)."""
-    return runs.select("id", F.col("at").alias("event_time"), "folder", "emails_fetched", "status")
+    return runs.select("id", F.col("at").alias("event_time"), "folder", "emails_fetched", "status", *_noted(runs))
+
+
+def _noted(runs: DataFrame) -> list[str]:
+    """The account and the error text, where a run says them."""
+    return [c for c in ("account", "error") if c in runs.columns]
 
 
 def run_status(error) -> object:
     """Status of a folder from its error text: none is success, a missing folder is skipped."""
+    missing = F.contains(F.upper(error), F.lit("NONEXISTENT")) | F.contains(error, F.lit("PATH_NOT_FOUND"))
     return (
         F.when(error.isNull(), F.lit("success"))
-        .when(F.contains(F.upper(error), F.lit("NONEXISTENT")), F.lit("skipped"))
+        .when(missing, F.lit("skipped"))
         .otherwise(F.lit("failed"))
     )
 
@@ -113,7 +166,8 @@ def run_status(error) -> object:
 def sync_runs(events: DataFrame) -> DataFrame:
     """Current state of every run from its events: opened, closed, count, status."""
     closed = F.col("status") != "in_progress"
-    latest = F.max_by(F.struct("folder", "emails_fetched", "status"), F.struct("event_time", closed.alias("c")))
+    noted = _noted(events)
+    latest = F.max_by(F.struct("folder", "emails_fetched", "status", *noted), F.struct("event_time", closed.alias("c")))
     return (
         events.groupBy("id")
         .agg(
@@ -121,5 +175,19 @@ def sync_runs(events: DataFrame) -> DataFrame:
             F.max(F.when(closed, F.col("event_time"))).alias("sync_completed"),
             latest.alias("r"),
         )
-        .select("id", "sync_started", "sync_completed", "r.folder", "r.emails_fetched", "r.status")
+        .select("id", "sync_started", "sync_completed", "r.folder", "r.emails_fetched", "r.status", *[f"r.{c}" for c in noted])
     )
+
+
+def first_errors(runs: DataFrame, limit: int = 5) -> DataFrame:
+    """(account, folder, error) of failed runs, the earliest first; `runs` as `sync_runs` gives them."""
+    failed = runs.filter(F.col("status") == "failed")
+    return failed.orderBy("sync_started", "id").select("account", "folder", "error").limit(limit)
+
+
+def errors_by_account(runs: DataFrame) -> DataFrame:
+    """(account, failed, errors): how many folders of each account failed, and their errors as "folder: error", by start."""
+    line = F.concat_ws(": ", "folder", F.coalesce("error", F.lit("unknown")))
+    listed = F.array_sort(F.collect_list(F.struct("sync_started", "id", line.alias("line"))))
+    failed = runs.filter(F.col("status") == "failed").groupBy("account")
+    return failed.agg(F.count(F.lit(1)).alias("failed"), F.transform(listed, lambda x: x["line"]).alias("errors"))

@@ -1,8 +1,8 @@
 """Ranked word search over mail subject, body and bank.
 
 A postings row says: this word stands at this position of this field of this document.
-Postings are made row by row, without a shuffle. Stored sorted by word
-(`index_layout`), a query reads the row groups of its own words only.
+Postings are made row by row, without a shuffle. Stored in folders by a hash of the word and sorted by word
+(`plans.index`), a query reads the folders and row groups of its own words only.
 
 Scoring follows BM25 with k1 = 1.2 and b = 0.75 over all fields together; lower is better.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import Window
 
 FIELDS = ("subject", "body_text", "bank_name")
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Folders that the words of a stored index are dealt to.
+BUCKETS = 32
 
 
 def _accents() -> tuple[str, str]:
@@ -62,6 +64,11 @@ def doc_lengths(docs: DataFrame, id_col: str = "id", fields: tuple[str, ...] = F
     return docs.select(F.col(id_col).alias("doc_id"), length.alias("doc_len"))
 
 
+def bucket(token: Column, buckets: int = BUCKETS) -> Column:
+    """The folder of a word in a stored index; of a constant word, a constant."""
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
 def index_layout(rows: DataFrame, files: int) -> DataFrame:
     """Postings in range partitions of (token, doc_id), sorted: a frequent word spans many files."""
     return rows.repartitionByRange(files, "token", "doc_id").sortWithinPartitions("token", "doc_id")
@@ -141,6 +148,7 @@ def search(
     column: str | None = None,
     limit: int | None = 20,
     among: DataFrame | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """(doc_id, rank) of matching documents, best first.
 
@@ -150,7 +158,8 @@ def search(
     field only. among: ids (column `id`) of the documents that may be found; they are chosen before the
     limit. No words at all give an empty result.
 
-    `rows` are postings (made on the fly or stored), `lengths` is (doc_id, doc_len).
+    `rows` are postings (made on the fly or stored), `lengths` is (doc_id, doc_len). Where postings say
+    the bucket of their word, only the buckets of the words asked for are read; a prefix may be in any.
     """
     if column is not None:
         rows = rows.filter(F.col("field") == column)
@@ -187,6 +196,10 @@ def search(
     if not wanted:
         return rows.select("doc_id", F.lit(0.0).alias("rank")).limit(0)
 
+    if "bucket" in rows.columns and "prefix" not in [kind for kind, _ in items]:
+        asked = {w for kind, value in items for w in (value if kind == "phrase" else [value])}
+        rows = rows.filter(F.col("bucket").isin(*[bucket(F.lit(w), buckets) for w in sorted(asked)]))
+
     hits = None
 
     def add(df: DataFrame) -> None:

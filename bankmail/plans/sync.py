@@ -16,10 +16,13 @@ from bankmail.functions.text import ntz, stable_id
 from bankmail.operators import ingest as I
 from bankmail.operators import maintain as M
 from bankmail.plans.extract import Processed, process
-from bankmail.schemas import EMAILS, OFFERS, SYNC_EVENTS, TRANSACTIONS
+from bankmail.plans.index import SearchIndex
+from bankmail.schemas import EMAIL_CHANGES, EMAILS, MARKS, OFFERS, SYNC_EVENTS, TRANSACTIONS
 from bankmail.session import materialize, remove, work_dir
 from bankmail.sources import tables
+from bankmail.sources.commits import current
 from bankmail.sources.mail import dated
+from bankmail.sources.tables import Commit
 
 
 def image_list(emails: DataFrame) -> DataFrame:
@@ -94,6 +97,7 @@ class SyncResult:
         """Opening and closing audit events, a pair per account and folder."""
         runs = self.summary().select(
             stable_id(F.lit(run), F.col("account"), F.col("folder")).alias("id"),
+            "account",
             "folder",
             ntz(as_of).alias("at"),
             "emails_fetched",
@@ -145,15 +149,64 @@ def sync(
 
 
 def store(spark: SparkSession, result: SyncResult, root: str, batch: str, as_of) -> None:
-    """Append a run to the tables; the same `batch` replaces what it stored before.
+    """Add a run to the tables, the marks and the search index; the same `batch` replaces what it stored before.
 
-    `result` must not have counted the batch's own rows as stored; `sync_batch` sees to that.
-    The mails go last: until they are stored, the run's mail still counts as new.
+    All become visible in one step, or nothing does. `result` must not have counted the batch's own rows as
+    stored; `sync_batch` sees to that.
     """
-    tables.append(result.events(batch, as_of), root, SYNC_EVENTS, batch)
-    tables.append(result.processed.transactions, root, TRANSACTIONS, batch)
-    tables.append(result.processed.offers, root, OFFERS, batch)
-    tables.append(result.emails().withColumn("synced_at", ntz(as_of).cast("timestamp")), root, EMAILS, batch)
+    mails = result.emails().withColumn("synced_at", ntz(as_of).cast("timestamp"))
+    with Commit(spark, root, batch) as c:
+        c.add(result.events(batch, as_of), SYNC_EVENTS)
+        c.add(result.processed.transactions, TRANSACTIONS)
+        c.add(result.processed.offers, OFFERS)
+        c.add(mails, EMAILS)
+        c.add(I.high_water_mark(mails), MARKS)
+        SearchIndex(spark, root).add(c, mails)
+
+
+def marks(spark: SparkSession, root: str) -> DataFrame:
+    """(account, folder, latest): high-water marks from what each batch noted, without reading the mails."""
+    return tables.read(spark, root, MARKS).groupBy("account", "folder").agg(F.max("latest").alias("latest"))
+
+
+def label_emails(spark: SparkSession, root: str, labels: DataFrame, batch: str, order: str | None = None) -> None:
+    """Set the label of stored mails, from (id, email_type): one small file, no mail is written again."""
+    with Commit(spark, root, batch) as c:
+        c.add(M.label_changes(labels, c.sequence, order), EMAIL_CHANGES)
+
+
+def clear_ocr_flags(spark: SparkSession, root: str, done: DataFrame, batch: str) -> None:
+    """Clear `vision_needed` of the stored mails with these ids."""
+    with Commit(spark, root, batch) as c:
+        c.add(M.flag_changes(done, c.sequence), EMAIL_CHANGES)
+
+
+def append_texts(spark: SparkSession, root: str, texts: DataFrame, batch: str) -> None:
+    """Add the marker line and a text to the bodies of stored mails, from (id, text), and index these mails again."""
+    with Commit(spark, root, batch) as c:
+        changes = M.text_changes(texts, c.sequence)
+        c.add(changes, EMAIL_CHANGES)
+        ids = changes.select("id")
+        mails = tables.read(spark, root, EMAILS, c.before, unchanged_by=batch).join(ids.withColumnRenamed("id", "__k"), F.col("id") == F.col("__k"), "left_semi")
+        SearchIndex(spark, root).replace(c, ids, M.append_text(mails, texts))
+
+
+def delete_emails(spark: SparkSession, root: str, ids: DataFrame, batch: str) -> None:
+    """Delete stored mails by id, and with them their transactions, offers and postings."""
+    with Commit(spark, root, batch) as c:
+        c.add(M.delete_changes(ids, c.sequence), EMAIL_CHANGES)
+        SearchIndex(spark, root).remove(c, ids)
+
+
+def tidy(spark: SparkSession, root: str, most: int = 1000) -> None:
+    """Keep the number of folders bounded: changes are folded in, and tables of more than `most` folders become one write."""
+    tables.fold(spark, root, EMAILS)
+    for table in (SYNC_EVENTS, TRANSACTIONS, OFFERS, EMAILS, MARKS):
+        if len(current(spark, root).folders(table.name)) > most:
+            tables.merge(spark, root, table)
+    index = SearchIndex(spark, root)
+    if sum(len(current(spark, root).folders(t.name)) for t in index.tables) > most:
+        index.compact()
 
 
 def sync_batch(spark: SparkSession, mail: DataFrame, root: str, batch: str, as_of, history=None, **options) -> None:

@@ -17,7 +17,10 @@ def _struct(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
 
 @dataclass(frozen=True)
 class Table:
-    """A table: its columns, what must be unique, and values used when a column is missing."""
+    """A table: its columns, what must be unique, and values used when a column is missing.
+
+    `parent` is (own column, table): rows go when the row of that table with this id is deleted.
+    """
 
     name: str
     schema: T.StructType
@@ -25,6 +28,7 @@ class Table:
     defaults: dict[str, object] = field(default_factory=dict)
     partition_by: tuple[str, ...] = ()
     sort_by: tuple[str, ...] = ()
+    parent: tuple[str, str] | None = None
 
 
 EMAILS = Table(
@@ -72,6 +76,7 @@ TRANSACTIONS = Table(
     ),
     unique=("id",),
     defaults={"currency": "INR"},
+    parent=("email_id", "emails"),
 )
 
 OFFERS = Table(
@@ -88,6 +93,7 @@ OFFERS = Table(
     ),
     unique=("id",),
     defaults={"source": "email_body"},
+    parent=("email_id", "emails"),
 )
 
 # One row per state change of a run; `sync_runs` folds them into the current state.
@@ -99,10 +105,52 @@ SYNC_EVENTS = Table(
         ("folder", T.StringType(), True),
         ("emails_fetched", T.LongType(), True),
         ("status", T.StringType(), True),
+        ("account", T.StringType(), True),
+        ("error", T.StringType(), True),
     ),
     defaults={"emails_fetched": 0, "status": "in_progress"},
 )
 
+# What was changed of stored mails, a row per mail and change; a null says nothing of its column. `seq` orders changes.
+EMAIL_CHANGES = Table(
+    "email_changes",
+    _struct(
+        ("id", T.StringType(), False),
+        ("seq", T.LongType(), False),
+        ("email_type", T.StringType(), True),
+        ("vision_needed", T.BooleanType(), True),
+        ("body_added", T.StringType(), True),
+        ("deleted", T.BooleanType(), True),
+    ),
+    unique=("id", "seq"),
+)
+
+# Newest mail per account and folder of a batch; the high-water mark is the greatest over batches.
+MARKS = Table(
+    "sync_marks",
+    _struct(("account", T.StringType(), True), ("folder", T.StringType(), True), ("latest", T.TimestampNTZType(), False)),
+)
+
+
+def index_tables(id_type: T.DataType, name: str = "index") -> tuple[Table, Table, Table]:
+    """Tables of a search index: postings in buckets of the word, document lengths, and ids whose older rows no longer count."""
+    postings = Table(
+        f"{name}_postings",
+        _struct(
+            ("token", T.StringType(), False), ("doc_id", id_type, False), ("field", T.StringType(), False), ("pos", T.IntegerType(), False),
+            ("doc_len", T.IntegerType(), False), ("seq", T.LongType(), False), ("bucket", T.IntegerType(), False),
+        ),
+        partition_by=("bucket",),
+        sort_by=("token", "doc_id"),
+    )
+    lengths = Table(f"{name}_lengths", _struct(("doc_id", id_type, False), ("doc_len", T.IntegerType(), False), ("seq", T.LongType(), False)))
+    removed = Table(f"{name}_removed", _struct(("doc_id", id_type, False), ("seq", T.LongType(), False)))
+    return postings, lengths, removed
+
+
+INDEX_TABLES = index_tables(T.StringType())
+CHANGES = {"emails": EMAIL_CHANGES}
+
 RAW_MAIL_SCHEMA = _struct(
     ("account", T.StringType(), True),
     ("folder", T.StringType(), True),
