@@ -82,8 +82,35 @@ _ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 _VALUE = r"""[^\s"'<>/=]+(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
-# Escapes that occur in addresses, the ampersand's own last.
-_ESCAPES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+# Named escapes that occur in addresses.
+_ESCAPES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+#: What numbers 128 to 159 stand for on the web: the characters of Windows.
+_WINDOWS = {b: bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)}
+
+
+def _character(number: Column) -> Column:
+    """The character of a number; the replacement character where there is none."""
+    valid = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
+    code = F.when(valid, number).otherwise(0xFFFD)
+    windows = F.create_map(*[F.lit(x) for pair in _WINDOWS.items() for x in pair])
+    return F.when((number >= 0x80) & (number < 0xA0), F.try_element_at(windows, number)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def unescaped(text: Column) -> Column:
+    """Named and numeric escapes decoded, each once: what comes out is not decoded again."""
+
+    def decoded(piece: Column) -> Column:
+        number = r"^&#([0-9]{1,8});?"
+        hexadecimal = r"^&#[xX]([0-9A-Fa-f]{1,7});?"
+        rest = lambda pattern: F.regexp_replace(piece, F.lit(pattern), F.lit(""))
+        out = F.when(F.rlike(piece, F.lit(number)), F.concat(_character(F.regexp_extract(piece, number, 1).cast("int")), rest(number)))
+        out = out.when(F.rlike(piece, F.lit(hexadecimal)), F.concat(_character(F.conv(F.regexp_extract(piece, hexadecimal, 1), 16, 10).cast("int")), rest(hexadecimal)))
+        for escape, char in _ESCAPES.items():
+            out = out.when(F.startswith(piece, F.lit(escape)), F.concat(F.lit(char), F.substr(piece, F.lit(len(escape) + 1))))
+        return out.otherwise(piece)
+
+    pieces = F.split(text, "(?=&)")
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
 
 
 def _tags(html: Column, tag: str) -> Column:
@@ -104,9 +131,7 @@ def _attribute(inside: Column, name: str) -> Column:
     raw = F.try_element_at(pairs, F.lit(-1))["v"]
     quoted = r"""(?s)^(["'])(.*)\1\z"""
     value = let(raw, lambda v: F.when(F.rlike(v, F.lit(quoted)), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v))
-    for escape, char in _ESCAPES.items():
-        value = F.replace(value, F.lit(escape), F.lit(char))
-    return value
+    return let(value, unescaped)
 
 
 def image_urls(html: Column) -> Column:

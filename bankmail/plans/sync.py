@@ -17,6 +17,7 @@ from bankmail.operators import ingest as I
 from bankmail.operators import maintain as M
 from bankmail.plans.extract import Processed, process
 from bankmail.plans.index import SearchIndex
+from bankmail.plans.models import Models, process_with
 from bankmail.schemas import EMAIL_CHANGES, EMAILS, MARKS, OFFERS, SYNC_EVENTS, TRANSACTIONS
 from bankmail.session import materialize, remove, work_dir
 from bankmail.sources import tables
@@ -115,6 +116,8 @@ def sync(
     stage: bool = False,
     key: list[str] | None = None,
     caps: Caps = WHOLE,
+    models: Models | None = None,
+    root: str | None = None,
     **replies: DataFrame,
 ) -> SyncResult:
     """One run over the mail of any number of accounts.
@@ -123,7 +126,8 @@ def sync(
     With `marks` (account, folder, latest) only mail from the mark's day on is read. `stage`
     writes the new mails, the image texts and the replies once to the shared folder, so the several
     outputs do not repeat the scan, the duplicate check or a costly function; `release` removes these folders.
-    `caps` cuts texts; whole ones are kept without it.
+    `caps` cuts texts; whole ones are kept without it. `models` are asked where the plan needs them, each request once;
+    their replies are kept in the tables under `root`.
     """
     mail = dated(mail, as_of)
     if marks is not None:
@@ -143,6 +147,10 @@ def sync(
     if read_images:
         texts = staged(read_images(image_list(inserted.filter("vision_needed"))), "image-texts")
         ocr = merge_ocr(inserted, texts, caps)
+    if models is not None:
+        mails = staged(ocr.emails if ocr else inserted, "mails")
+        done = process_with(mail.sparkSession, root, mails, models, as_of=as_of, caps=caps, **replies)
+        return SyncResult(scanned, inserted, ocr, done, tuple(folders))
     replies = {k: staged(v, "replies") if isinstance(v, DataFrame) and k.endswith("_replies") else v for k, v in replies.items()}
     done = process(ocr.emails if ocr else inserted, as_of=as_of, caps=caps, **replies)
     return SyncResult(scanned, inserted, ocr, done, tuple(folders))
@@ -217,6 +225,6 @@ def sync_batch(spark: SparkSession, mail: DataFrame, root: str, batch: str, as_o
     stored = tables.read_others(spark, root, EMAILS, batch)
     if history is not None:
         stored = stored.filter(history)
-    result = sync(mail, stored, as_of, stage=True, **options)
+    result = sync(mail, stored, as_of, stage=True, root=root, **options)
     store(spark, result, root, batch, as_of)
     result.release()

@@ -233,3 +233,34 @@ def test_folders_fail_alone(spark, root, tmp_path):
 
 def test_every_table_with_changes_has_an_id():
     assert all("id" in TABLES[name].schema.names and {"id", "seq", "deleted"} <= set(t.schema.names) for name, t in CHANGES.items())
+
+
+def test_models_are_asked_once(spark, root):
+    from bankmail.plans import models as L
+
+    def answer(texts):
+        return ['{"category": "FUNDS_DEBITED_ALERT", "bank_or_platform": "X", "amount_inr": "12"}' if "cashback" in t else "no idea" for t in texts]
+
+    def failing(texts):
+        raise ValueError("down")
+
+    models = L.Models(label=L.Model(answer), transaction=L.Model(failing, retries=1))
+    for name in ("b1", "b1", "b2"):
+        Y.sync_batch(spark, raw(spark, 12), root, name, AS_OF, models=models)
+        replies = sorted(map(tuple, tables.read(spark, root, L.REPLIES).collect()))
+        assert len(replies) == len({r[:2] for r in replies})
+        if name == "b1":
+            first = replies
+    assert replies == first  # neither a replay nor a batch of known mails asks again
+    mails = {r.id: r for r in tables.read(spark, root, EMAILS).collect()}
+    assert all(r.email_type == "FUNDS_DEBITED_ALERT" for r in mails.values() if "cashback" in r.body_text)
+    assert {r[0] for r in replies} == {"label", "transaction"}
+    failed = L.failures(spark, root).collect()
+    assert failed and all(r.kind == "transaction" and "down" in r.error for r in failed)
+    amounts = {r.email_id: float(r.amount) for r in tables.read(spark, root, TRANSACTIONS).collect()}
+    assert all(amounts[k] == 12 for k, r in mails.items() if "cashback" in r.body_text)  # the label's amount where no model read one
+    # asked again, the model now answers
+    works = L.Model(lambda texts: ['{"amount": "77"}'] * len(texts))
+    done = L.process_with(spark, root, tables.read(spark, root, EMAILS), L.Models(L.Model(answer), works), again=True)
+    read = {r.email_id: float(r.amount) for r in done.transactions.collect()}
+    assert all(read[k] == 77 for k, r in mails.items() if "cashback" in r.body_text)

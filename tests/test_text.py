@@ -91,3 +91,13 @@ def test_times(spark):
 def test_display(spark):
     assert one(spark, ["s" * 40, "s" * 41, "", None], X.short_subject) == ["s" * 40, "s" * 37 + "...", "--", "--"]
     assert one(spark, ["  a\n\n\n\nb   c "], X.body_preview) == ["a\n\n\nb  c"]
+
+
+ESCAPED = ["http://a/?x=1&amp;y=2", "http://a/?x=1&#38;y=2", "http://a/?x=1&#x26;y=2", "http://a/&#X2F;b&#47c", "&amp;#38;&#38;lt;", "&#128;&#x1F600;&#0;&#xD800;&#99999999;", "a&b&&unknown;&lt;&gt;&quot;&apos;&#39;", "plain", "", "&", "&#;&#x;", "\u00e4&#228;"]
+
+
+def test_escapes_are_decoded_once(spark):
+    import html
+
+    assert one(spark, ESCAPED, H.unescaped) == [html.unescape(t) for t in ESCAPED]
+    assert one(spark, [f'<img src="{t}">' for t in ESCAPED[:4]], H.image_urls) == [[html.unescape(t)] for t in ESCAPED[:4]]
