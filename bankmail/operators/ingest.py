@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bankmail import dims
@@ -24,6 +24,16 @@ def with_bank(
     return once(domains, bank_name=X.bank_of_domain(F.col("sender_domain"), banks, aliases))
 
 
+def _message_id() -> Column:
+    """The mail's own id; without one its sender and time."""
+    return F.coalesce(F.nullif("uid", F.lit("")), F.concat_ws("_", F.coalesce("sender", F.lit("")), X.iso_text(F.col("received_date"))))
+
+
+def email_keys(mail: DataFrame) -> DataFrame:
+    """The key of each mail that `email_records` would give, without its texts. Expects `with_bank` and `received_date`."""
+    return mail.filter(F.col("bank_name").isNotNull()).select("account", "folder", _message_id().alias("message_id"))
+
+
 def email_records(
     mail: DataFrame,
     as_of=None,
@@ -52,10 +62,7 @@ def email_records(
             "sender_domain",
             "received_date",
             F.coalesce("sender", F.lit("")).alias("sender"),
-            F.coalesce(
-                F.nullif("uid", F.lit("")),
-                F.concat_ws("_", F.coalesce("sender", F.lit("")), X.iso_text(F.col("received_date"))),
-            ).alias("message_id"),
+            _message_id().alias("message_id"),
             F.coalesce(F.nullif("subject", F.lit("")), F.lit(dims.NO_SUBJECT)).alias("subject"),
             X.clean_text(F.coalesce("from_html", plain), max_chars).alias("body_text"),
             html.alias("body_html"),

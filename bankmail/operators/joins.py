@@ -41,11 +41,17 @@ def bounded_lookup(top: DataFrame, wide: DataFrame, top_key: str, wide_key: str)
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the smallest by `order`.
 
-    An aggregate, not a window: each task keeps one row per key before the shuffle, so
-    a key with a third of all rows sends one row per task.
+    Keys are counted first, alone. Rows whose key stands once pass straight through and never shuffle; only
+    rows of repeated keys are compared, by an aggregate that keeps one row per key in each task before the shuffle, so
+    a key with a third of all rows sends one row per task. A key of many repeats is one row of the counted side, which Spark
+    broadcasts while it is small.
     """
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(F.col(f"__{k}"))
+    again = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
     row = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
+    best = df.join(again, same, "left_semi").groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
         F.min_by(row, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("r")
     )
-    return best.select("r.*")
+    return df.join(again, same, "left_anti").unionByName(best.select("r.*"))

@@ -79,6 +79,22 @@ def daily(transactions: DataFrame, emails: DataFrame, valid_days_only: bool = Fa
     return days.orderBy("day")
 
 
+def day_sums(transactions: DataFrame, emails: DataFrame) -> DataFrame:
+    """(day, debits, credits, count) of every day text, to be kept by batch and added up by `trend`."""
+    narrow = transactions.select("id", "email_id", "amount", "transaction_type", "transaction_date")
+    sums = [_total("debit").alias("debits"), _total("credit").alias("credits"), F.count(F.lit(1)).alias("count")]
+    return with_day(narrow, emails).groupBy("day").agg(*sums)
+
+
+def trend(sums: DataFrame, valid_days_only: bool = False) -> DataFrame:
+    """What `daily` gives, from kept sums: a row per day and batch, whatever is the number of transactions."""
+    days = sums.groupBy("day").agg(*[F.sum(c).cast(t).alias(c) for c, t in (("debits", "decimal(28,2)"), ("credits", "decimal(28,2)"), ("count", "bigint"))])
+    days = days.filter((F.col("day") != "Unknown") & (F.length("day") == 10) & (F.col("count") != 0))
+    if valid_days_only:
+        days = days.filter(real_date(F.col("day")).isNotNull())
+    return days.orderBy("day")
+
+
 def monthly(days: DataFrame) -> DataFrame:
     """(month, debits, credits, count) from `daily`; real dates only."""
     return (

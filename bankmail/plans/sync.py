@@ -15,10 +15,12 @@ from bankmail.functions.once import once
 from bankmail.functions.text import ntz, stable_id
 from bankmail.operators import ingest as I
 from bankmail.operators import maintain as M
+from bankmail.operators import spending as S
 from bankmail.plans.extract import Processed, process
 from bankmail.plans.index import SearchIndex
+from bankmail.plans.keys import add_filters, folders_with
 from bankmail.plans.models import Models, process_with
-from bankmail.schemas import EMAIL_CHANGES, EMAILS, MARKS, OFFERS, SYNC_EVENTS, TRANSACTIONS
+from bankmail.schemas import DAY_SUMS, EMAIL_CHANGES, EMAILS, MARKS, OFFERS, SYNC_EVENTS, TRANSACTIONS
 from bankmail.session import materialize, remove, work_dir
 from bankmail.sources import tables
 from bankmail.sources.commits import current
@@ -168,7 +170,9 @@ def store(spark: SparkSession, result: SyncResult, root: str, batch: str, as_of)
         c.add(result.processed.transactions, TRANSACTIONS)
         c.add(result.processed.offers, OFFERS)
         c.add(mails, EMAILS)
+        add_filters(c, mails, I.KEY)
         c.add(I.high_water_mark(mails), MARKS)
+        c.add(S.day_sums(result.processed.transactions, mails), DAY_SUMS)
         SearchIndex(spark, root).add(c, mails)
 
 
@@ -177,6 +181,19 @@ def marks(spark: SparkSession, root: str) -> DataFrame:
     return tables.read(spark, root, MARKS).groupBy("account", "folder").agg(F.max("latest").alias("latest"))
 
 
+def day_trend(spark: SparkSession, root: str, valid_days_only: bool = False) -> DataFrame:
+    """(day, debits, credits, count) in day order, from the sums that each batch kept: no transaction is read."""
+    return S.trend(tables.read(spark, root, DAY_SUMS), valid_days_only)
+
+
+def rebuild_day_sums(spark: SparkSession, root: str, name: str = "rebuilt") -> None:
+    """Make the kept sums again from the stored transactions and mails, after these were rewritten by hand."""
+    state = current(spark, root)
+    with Commit(spark, root, name) as c:
+        c.add(S.day_sums(tables.read(spark, root, TRANSACTIONS, state), tables.read(spark, root, EMAILS, state)), DAY_SUMS)
+        c.drop(DAY_SUMS, list(state.folders(DAY_SUMS.name)))
+
+
 def label_emails(spark: SparkSession, root: str, labels: DataFrame, batch: str, order: str | None = None) -> None:
     """Set the label of stored mails, from (id, email_type): one small file, no mail is written again."""
     with Commit(spark, root, batch) as c:
@@ -200,16 +217,23 @@ def append_texts(spark: SparkSession, root: str, texts: DataFrame, batch: str) -
 
 
 def delete_emails(spark: SparkSession, root: str, ids: DataFrame, batch: str) -> None:
-    """Delete stored mails by id, and with them their transactions, offers and postings."""
+    """Delete stored mails by id, and with them their transactions, offers, postings and shares of the day sums."""
     with Commit(spark, root, batch) as c:
         c.add(M.delete_changes(ids, c.sequence), EMAIL_CHANGES)
         SearchIndex(spark, root).remove(c, ids)
+        keys = ids.select(F.col("id").alias("__k")).distinct()
+        gone = lambda table, key: tables.read(spark, root, table, c.before, unchanged_by=batch).join(keys, F.col(key) == F.col("__k"), "left_semi")
+        less = S.day_sums(gone(TRANSACTIONS, "email_id"), gone(EMAILS, "id"))
+        c.add(less.select("day", *[(-F.col(x)).alias(x) for x in ("debits", "credits", "count")]), DAY_SUMS)
 
 
 def tidy(spark: SparkSession, root: str, most: int = 1000) -> None:
-    """Keep the number of folders bounded: changes are folded in, and tables of more than `most` folders become one write."""
+    """Keep the number of folders bounded: changes are folded in, and tables of more than `most` folders become one write.
+
+    The mails keep their folders, by which their key filters name them.
+    """
     tables.fold(spark, root, EMAILS)
-    for table in (SYNC_EVENTS, TRANSACTIONS, OFFERS, EMAILS, MARKS):
+    for table in (SYNC_EVENTS, TRANSACTIONS, OFFERS, MARKS, DAY_SUMS):
         if len(current(spark, root).folders(table.name)) > most:
             tables.merge(spark, root, table)
     index = SearchIndex(spark, root)
@@ -220,9 +244,16 @@ def tidy(spark: SparkSession, root: str, most: int = 1000) -> None:
 def sync_batch(spark: SparkSession, mail: DataFrame, root: str, batch: str, as_of, history=None, **options) -> None:
     """One run over `mail`, stored as `batch`. Running it again gives the same tables, audit counts included.
 
-    What the batch itself stored before does not count as stored; `history` prunes the duplicate check.
+    What the batch itself stored before does not count as stored. Of the other batches' mails, only folders are read whose key
+    filters say that they may hold a key of this mail; `history` prunes them further.
     """
-    stored = tables.read_others(spark, root, EMAILS, batch)
+    state = current(spark, root)
+    key = options.get("key") or I.KEY
+    hit = None
+    if key == I.KEY and state.folders(EMAILS.name):
+        known = I.email_keys(I.with_bank(dated(mail, as_of)))
+        hit = folders_with(spark, root, known, key, state)
+    stored = tables.read(spark, root, EMAILS, state, batches=lambda b: b != batch, folders=hit)
     if history is not None:
         stored = stored.filter(history)
     result = sync(mail, stored, as_of, stage=True, root=root, **options)

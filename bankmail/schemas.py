@@ -131,6 +131,15 @@ MARKS = Table(
     _struct(("account", T.StringType(), True), ("folder", T.StringType(), True), ("latest", T.TimestampNTZType(), False)),
 )
 
+# Sums per day of each batch's transactions; a deletion adds negative ones.
+DAY_SUMS = Table(
+    "day_sums",
+    _struct(("day", T.StringType(), True), ("debits", T.DecimalType(28, 2), False), ("credits", T.DecimalType(28, 2), False), ("count", T.LongType(), False)),
+)
+
+# Which keys the mails of a folder may have: bitmaps of a hash of the key, in buckets.
+KEY_FILTERS = Table("key_filters", _struct(("folder", T.StringType(), False), ("bucket", T.LongType(), False), ("bits", T.BinaryType(), False)))
+
 
 def index_tables(id_type: T.DataType, name: str = "index") -> tuple[Table, Table, Table]:
     """Tables of a search index: postings in buckets of the word, document lengths, and ids whose older rows no longer count."""
@@ -150,6 +159,8 @@ def index_tables(id_type: T.DataType, name: str = "index") -> tuple[Table, Table
 
 INDEX_TABLES = index_tables(T.StringType())
 CHANGES = {"emails": EMAIL_CHANGES}
+#: Kept with the mails by `plans.sync.store`, and emptied with them.
+KEPT = (MARKS, DAY_SUMS, KEY_FILTERS, *INDEX_TABLES)
 
 RAW_MAIL_SCHEMA = _struct(
     ("account", T.StringType(), True),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bankmail.operators.maintain import merged_changes, without_deleted
-from bankmail.schemas import CHANGES, INDEX_TABLES, MARKS, TABLES, Table, conform
+from bankmail.schemas import CHANGES, KEPT, TABLES, Table, conform
 from bankmail.session import materialize, remove, work_dir
 from bankmail.sources import commits
 from bankmail.sources.commits import State, current
@@ -57,6 +57,12 @@ class Commit:
         folders = [f"{name}/{c}" for c in commits.children(self.spark, path) if "=" in c] if table.partition_by else [name]
         self.added.setdefault(table.name, []).extend(folders)
 
+    def folders_of(self, table: Table) -> DataFrame:
+        """(folder, and the table's partition columns) of what this commit has written to a table so far."""
+        names = ["folder", *table.partition_by]
+        rows = [(f, *_values(table, f)) for f in self.added.get(table.name, ())]
+        return self.spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+
     def drop(self, table: Table, folders: list[str]) -> None:
         """Folders of a table that no longer count, as far as they were there when the commit began."""
         self.dropped.setdefault(table.name, set()).update(folders)
@@ -90,9 +96,9 @@ class _Rewrite(Commit):
 
 
 def reset_tables(spark: SparkSession, root: str, tables: list[Table]) -> None:
-    """Remove all rows of the tables, keep their schemas. Their changes go too; with the mails, the marks and the search index are emptied."""
+    """Remove all rows of the tables, keep their schemas. Their changes go too; with the mails, all that is kept of them is emptied, the search index too."""
     names = {t.name for t in tables}
-    names |= {CHANGES[n].name for n in names if n in CHANGES} | ({t.name for t in (*INDEX_TABLES, MARKS)} if "emails" in names else set())
+    names |= {CHANGES[n].name for n in names if n in CHANGES} | ({t.name for t in KEPT} if "emails" in names else set())
     commits.commit(spark, root, lambda state: {n: {} for n in names})
 
 
@@ -127,13 +133,15 @@ def _ordered(spark: SparkSession, root: str, table: Table, folders: dict[str, di
     return _folders(spark, root, table, list(folders)).select(*table.schema.names, place.cast("long").alias("seq"))
 
 
-def read(spark: SparkSession, root: str, table: Table, state: State | None = None, batches=None, unchanged_by: str | None = None) -> DataFrame:
+def read(
+    spark: SparkSession, root: str, table: Table, state: State | None = None, batches=None, unchanged_by: str | None = None, folders: set[str] | None = None
+) -> DataFrame:
     """All committed rows of a table, or those of the batches that `batches` says yes to, with its changes merged in.
 
-    Changes made by the batch `unchanged_by` are left out.
+    Changes made by the batch `unchanged_by` are left out. With `folders`, only rows in these are read.
     """
     state = state or current(spark, root)
-    wanted = {f: v for f, v in state.folders(table.name).items() if batches is None or batches(v["batch"])}
+    wanted = {f: v for f, v in state.folders(table.name).items() if (batches is None or batches(v["batch"])) and (folders is None or f in folders)}
     own = CHANGES.get(table.name)
     above = CHANGES.get(table.parent[1]) if table.parent else None
     noted = own or above
@@ -156,13 +164,10 @@ def append(df: DataFrame, root: str, table: Table, batch: str) -> None:
         c.add(df, table)
 
 
-def _described(table: Table, folders: dict[str, dict]) -> list[tuple]:
-    """(folder, batch, value of each partition column) of folders."""
-    out = []
-    for folder, mark in folders.items():
-        values = dict(part.split("=", 1) for part in folder.split("/")[1:])
-        out.append((folder, mark["batch"], *(None if values[c] == _NONE else unquote(values[c]) for c in table.partition_by)))
-    return out
+def _values(table: Table, folder: str) -> list[str | None]:
+    """The value of each partition column in a folder's name."""
+    values = dict(part.split("=", 1) for part in folder.split("/")[1:])
+    return [None if values[c] == _NONE else unquote(values[c]) for c in table.partition_by]
 
 
 def rewrite(spark: SparkSession, root: str, table: Table, change, touched: Column | None = None) -> None:
@@ -174,7 +179,7 @@ def rewrite(spark: SparkSession, root: str, table: Table, change, touched: Colum
     state = current(spark, root)
     folders = state.folders(table.name)
     names = ["folder", "batch", *table.partition_by]
-    known = spark.createDataFrame(_described(table, folders), ", ".join(f"{n} string" for n in names))
+    known = spark.createDataFrame([(f, v["batch"], *_values(table, f)) for f, v in folders.items()], ", ".join(f"{n} string" for n in names))
     chosen = [r.folder for r in (known if touched is None else known.filter(touched)).collect()]
     by_batch: dict[str, list[str]] = {}
     for f in chosen:

@@ -11,7 +11,7 @@ from bankmail.operators import maintain as M
 from bankmail.operators import search as Q
 from bankmail.plans import sync as Y
 from bankmail.plans.index import SearchIndex
-from bankmail.schemas import CHANGES, EMAIL_CHANGES, EMAILS, INDEX_TABLES, MARKS, OFFERS, SYNC_EVENTS, TABLES, TRANSACTIONS
+from bankmail.schemas import CHANGES, EMAIL_CHANGES, EMAILS, INDEX_TABLES, KEY_FILTERS, MARKS, OFFERS, RAW_MAIL_SCHEMA, SYNC_EVENTS, TABLES, TRANSACTIONS
 from bankmail.sources import commits, tables
 from bankmail.sources.commits import current
 from bankmail.sources.tables import Commit
@@ -56,7 +56,7 @@ def test_a_batch_is_visible_at_once_or_not_at_all(spark, root, monkeypatch):
     Y.sync_batch(spark, raw(spark, 6), root, "b1", AS_OF)
     before = state(spark, root)
     plain, writes = Commit.add, []
-    for last in range(8):
+    for last in range(10):
         writes.clear()
 
         def dying(self, df, table, last=last):
@@ -66,7 +66,7 @@ def test_a_batch_is_visible_at_once_or_not_at_all(spark, root, monkeypatch):
             plain(self, df, table)
 
         monkeypatch.setattr(Commit, "add", dying)
-        if last < 7:
+        if last < 9:
             with pytest.raises(RuntimeError, match="killed"):
                 Y.sync_batch(spark, raw(spark, 30), root, "b2", AS_OF)
             assert state(spark, root) == before
@@ -264,3 +264,75 @@ def test_models_are_asked_once(spark, root):
     done = L.process_with(spark, root, tables.read(spark, root, EMAILS), L.Models(L.Model(answer), works), again=True)
     read = {r.email_id: float(r.amount) for r in done.transactions.collect()}
     assert all(read[k] == 77 for k, r in mails.items() if "cashback" in r.body_text)
+
+
+def test_day_sums_follow_the_mails(spark, root):
+    from bankmail.operators import spending as S
+
+    def same():
+        whole = S.daily(tables.read(spark, root, TRANSACTIONS), tables.read(spark, root, EMAILS)).collect()
+        kept = Y.day_trend(spark, root)
+        assert [tuple(r) for r in kept.collect()] == [tuple(r) for r in whole]
+        assert "transactions" not in kept._jdf.queryExecution().executedPlan().toString()
+        return whole
+
+    for k in range(3):
+        Y.sync_batch(spark, raw(spark, 14, 13 * k), root, f"b{k}", AS_OF)
+    Y.sync_batch(spark, raw(spark, 14, 13), root, "b1", AS_OF)
+    assert len(same()) > 3
+    ids = tables.read(spark, root, TRANSACTIONS).limit(4).select(F.col("email_id").alias("id"))
+    ids = spark.createDataFrame(ids.collect(), "id string")
+    for _ in range(2):
+        Y.delete_emails(spark, root, ids, "c1")
+        same()
+    tables.fold(spark, root, EMAILS)
+    same()
+    Y.rebuild_day_sums(spark, root)
+    same()
+
+
+def test_only_folders_that_may_hold_a_key_are_read(spark, root, monkeypatch):
+    from bankmail.plans import keys as K
+
+    days = [f"20{20 + k // 12:02d}-{1 + k % 12:02d}-03T10:00:00" for k in range(24)]
+    rows = [(f"a{k}@x", "INBOX", f"u{k}", "a@hdfcbank.net", "Debit", "Rs.5 debited", None, d, 0) for k, d in enumerate(days)]
+    mail = spark.createDataFrame(rows, RAW_MAIL_SCHEMA)
+    for k in range(4):
+        Y.sync_batch(spark, mail.filter(F.col("uid").isin(*[f"u{i}" for i in range(k, 24, 4)])), root, f"b{k}", AS_OF)
+    assert len(current(spark, root).folders("emails")) == 24
+    read, plain = [], tables.read
+
+    def noted(spark, root, table, *a, **how):
+        if table is EMAILS and "folders" in how:
+            read.append(how["folders"])
+        return plain(spark, root, table, *a, **how)
+
+    monkeypatch.setattr(tables, "read", noted)
+    again = mail.filter(F.col("uid").isin("u3", "u8")).unionByName(spark.createDataFrame([("new@x", "INBOX", "n1", "a@hdfcbank.net", "Debit", "Rs.9 debited", None, "2024-05-05T10:00:00", 0)], mail.schema))
+    Y.sync_batch(spark, again, root, "b9", AS_OF)
+    assert len(read[-1]) == 2 and {f.split("=")[-1] for f in read[-1]} == {"2020-04", "2020-09"}
+    assert plain(spark, root, EMAILS).count() == 25
+    # a folder without a filter is read in any case
+    with Commit(spark, root, "by hand") as c:
+        c.add(plain(spark, root, EMAILS).limit(0), KEY_FILTERS)
+        c.drop(KEY_FILTERS, list(current(spark, root).folders("key_filters")))
+    assert K.folders_with(spark, root, plain(spark, root, EMAILS).select(*I.KEY), I.KEY) is None
+    Y.sync_batch(spark, mail, root, "b10", AS_OF)
+    assert plain(spark, root, EMAILS).count() == 25
+
+
+def test_filters_never_miss_a_key(spark, tmp_path):
+    from bankmail.plans import keys as K
+
+    root = str(tmp_path / "t")
+    mails = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("account"), F.lit("f").alias("folder"), F.concat(F.lit("m"), "id").alias("message_id"), F.concat(F.lit("m"), F.col("id") % 7).alias("received_month"),
+        F.lit("s").alias("sender"), F.lit("x").alias("sender_domain"), F.expr("timestamp_ntz'2025-01-01 00:00:00'").alias("received_date"))
+    with Commit(spark, root, "b") as c:
+        c.add(mails, EMAILS)
+        K.add_filters(c, mails, I.KEY)
+    for k in (0, 1, 6, 4999):
+        one = mails.filter(F.col("id") == str(k)).select(*I.KEY)
+        assert f"received_month=m{k % 7}" in {f.split("/")[1] for f in K.folders_with(spark, root, one, I.KEY)}
+    unknown = spark.range(40).select(F.lit("a").alias("account"), F.lit("f").alias("folder"), F.concat(F.lit("z"), "id").alias("message_id"))
+    assert len(K.folders_with(spark, root, unknown, I.KEY)) <= 2
+    assert K.folders_with(spark, root, unknown.limit(0), I.KEY) == set()
