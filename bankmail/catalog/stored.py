@@ -9,19 +9,23 @@ from pyspark.sql import types as T
 
 from bankmail.catalog import search as C
 from bankmail.catalog.ingest import AS_OF, RECORDS
-from bankmail.catalog.maintain import _IMAGES, _MERGED
-from bankmail.catalog.registry import ORACLES, check, sql_label, txt
-from bankmail.catalog.text import _STEPS
+from bankmail.catalog.maintain import _IMAGES
+from bankmail.catalog.registry import ORACLES, check, num, sql_label, txt
+from bankmail.catalog.streams import movements
+from bankmail.catalog.text import _AMOUNT, _DIRECTION, _STEPS
+from bankmail.operators import ingest as I
 from bankmail.operators import maintain as M
 from bankmail.plans import models as L
 from bankmail.plans import sync as Y
 from bankmail.plans.index import SearchIndex
+from bankmail.plans.keys import add_filters, folders_with
 from bankmail.schemas import EMAIL_CHANGES, EMAILS, RAW_MAIL_SCHEMA, SYNC_EVENTS, TABLES
 from bankmail.session import materialize, work_dir
 from bankmail.sources import tables
 from bankmail.sources.derived import base, ctes, view
 from bankmail.sources.tables import Commit
 from bankmail.streaming.sync import Folder, sync_folders
+from bankmail.streaming.trend import days, into_day_sums, late_rows
 
 
 def _stored_mails(spark, sf, purpose: str) -> str:
@@ -90,6 +94,67 @@ def _(spark, sf):
     return Y.marks(spark, _synced(spark, sf, "marks")).select("account", "folder", txt("latest").alias("latest"))
 
 
+@check("a3_day_trend_kept", f"""{RECORDS}, low as (select *, lower(body_text) as low, lower(subject || ' ' || body_text) as whole from firsts),
+  done as (select *, {sql_label('whole')} as label, {_AMOUNT} as amount, {_DIRECTION} as direction from low),
+  txns as (select *, case when label = 'FUNDS_CREDITED_ALERT' then 'credit' else 'debit' end as kind from done
+    where label in ('FUNDS_CREDITED_ALERT', 'FUNDS_DEBITED_ALERT') and direction is not null and amount <> 0)
+  select cast(cast(received_date as date) as varchar) as day, sum(case when kind = 'debit' then amount else 0 end)::double as debits,
+    sum(case when kind = 'credit' then amount else 0 end)::double as credits, count(*) as count from txns group by 1""")
+def _(spark, sf):
+    """The trend from the sums that two batches kept, of mails in the tables."""
+    return Y.day_trend(spark, _synced(spark, sf, "trend")).select("day", num("debits").alias("debits"), num("credits").alias("credits"), "count")
+
+
+def _landed_events(spark, sf, parts: int) -> str:
+    """The events as files that land one after the other, each with rows of all days."""
+    path = work_dir(spark, "landed-events")
+    events = movements(base(spark, sf, "events").withColumn("part", F.col("event_id") % parts), "part")
+    for k in range(parts):
+        events.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _kept_days(spark, sf, delay):
+    root, path = work_dir(spark, "kept-days"), _landed_events(spark, sf, 3)
+    stream = spark.readStream.schema("ts timestamp_ntz, amount decimal(18,2), transaction_type string").option("maxFilesPerTrigger", 1).parquet(path)
+    into_day_sums(stream, root, f"{root}-checkpoint", "ts", delay, folders=2).awaitTermination()
+    return root
+
+
+_MOVES = """moves as (select event_id % 3 as part, ts, cast(value as decimal(18,2)) as amount, event_type = 'purchase' as credit from events)"""
+
+
+@check("r4_day_sums_kept", f"""with {_MOVES} select cast(cast(ts as date) as varchar) as day, sum(case when credit then 0 else amount end)::double as debits,
+  sum(case when credit then amount else 0 end)::double as credits, count(*) as count from moves group by 1""")
+def _(spark, sf):
+    return days(spark, _kept_days(spark, sf, None)).select("day", num("debits").alias("debits"), num("credits").alias("credits"), "count")
+
+
+@check("r3_late_rows_kept", f"""with {_MOVES}, newest as (select part, max(ts) as newest from moves group by part),
+  before as (select m.*, (select max(newest) from newest n where n.part < m.part) as newest from moves m)
+  select cast(cast(ts as date) as varchar) as day, count(*) filter (not coalesce(date_trunc('day', ts) + interval 1 day <= newest - interval 1 day, false)) as counted,
+    count(*) filter (date_trunc('day', ts) + interval 1 day <= newest - interval 1 day) as late from before group by 1""")
+def _(spark, sf):
+    """Rows of each day that were counted, and those that came after their day was closed."""
+    root = _kept_days(spark, sf, "1 day")
+    counted = days(spark, root).select("day", F.col("count").alias("counted"), F.lit(0).cast("bigint").alias("late"))
+    late = late_rows(spark, root).select(F.date_format("time", "yyyy-MM-dd").alias("day"), F.lit(0).cast("bigint").alias("counted"), F.lit(1).cast("bigint").alias("late"))
+    return counted.unionByName(late).groupBy("day").agg(F.sum("counted").alias("counted"), F.sum("late").alias("late"))
+
+
+@check("j6_keys_of_known_folders", f"{RECORDS} select count(*) as folders from (select distinct substr(cast(received_date as varchar), 1, 7) from firsts where strftime(received_date, '%Y') = '1997')")
+def _(spark, sf):
+    """Folders of stored mails that may hold a key of the mails of 1997: the filters rule out all others."""
+    root = work_dir(spark, "filters")
+    mails = Y.sync(view(spark, sf, "raw_mail").select(*RAW_MAIL_SCHEMA.names), tables.read(spark, root, EMAILS), AS_OF).emails()
+    with Commit(spark, root, "all") as c:
+        c.add(mails, EMAILS)
+        add_filters(c, mails, I.KEY)
+    known = tables.read(spark, root, EMAILS)
+    hit = folders_with(spark, root, known.filter(F.year("received_date") == 1997), I.KEY)
+    return known.withColumn("path", F.col("received_month")).filter(F.col("path").isin(*[f.split("=")[-1] for f in hit])).agg(F.count_distinct("path").alias("folders"))
+
+
 @functools.cache
 def _indexed(spark, sf: str) -> str:
     """The documents' search index in the shared folder, made once in a session."""

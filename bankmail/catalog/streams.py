@@ -22,9 +22,9 @@ def event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def movements(stream):
+def movements(stream, *keep: str):
     kind = F.when(F.col("event_type") == "purchase", "credit").otherwise("debit")
-    return stream.select("ts", F.col("value").cast("decimal(18,2)").alias("amount"), kind.alias("transaction_type"))
+    return stream.select("ts", F.col("value").cast("decimal(18,2)").alias("amount"), kind.alias("transaction_type"), *keep)
 
 
 def _run(stream, spark, purpose: str, mode: str):
