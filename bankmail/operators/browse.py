@@ -45,18 +45,24 @@ def transactions_where(
     """Joined transactions under optional filters; an empty or zero filter value filters nothing.
 
     `days` counts back from `as_of`. Times are compared as times; `as_text` compares the
-    ISO texts instead. Bank and type filters reach the files, the day cut cannot: it
-    depends on both sides of an outer join.
+    ISO texts instead. All filters reach the files: with a day cut, only mails from the cut on are joined, and of the transactions
+    without a dated mail only those whose own date lies behind it are looked at.
     """
     if bank_name:
         transactions = transactions.filter(F.col("bank_name") == bank_name)
     if transaction_type:
         transactions = transactions.filter(F.col("transaction_type") == transaction_type)
-    joined = with_email(transactions, emails).withColumn("event_time", _event_time(as_text))
-    if days:
-        cut = ntz(as_of) - F.make_dt_interval(F.lit(days))
-        joined = joined.filter(F.col("event_time") >= (iso_text(cut) if as_text else cut))
-    return joined
+    if not days:
+        return with_email(transactions, emails).withColumn("event_time", _event_time(as_text))
+    cut = ntz(as_of) - F.make_dt_interval(F.lit(days))
+    late = (lambda t: iso_text(t) >= iso_text(cut)) if as_text else (lambda t: t >= cut)
+    dated = emails.filter(late(F.col("received_date"))).withColumnRenamed("id", "__e")
+    by_mail = transactions.join(dated.select("__e", F.col("subject").alias("email_subject"), F.col("received_date").alias("email_received_date")), F.col("email_id") == F.col("__e")).drop("__e")
+    own = F.col("transaction_date") >= iso_text(cut) if as_text else real_date(F.col("transaction_date")).cast("timestamp_ntz") >= cut
+    with_date = emails.filter(F.col("received_date").isNotNull()).select(F.col("id").alias("__e"))
+    alone = transactions.filter(own).join(with_date, F.col("email_id") == F.col("__e"), "left_anti")
+    by_own = with_email(alone, emails.filter(F.col("received_date").isNull()))
+    return by_mail.unionByName(by_own).withColumn("event_time", _event_time(as_text))
 
 
 def recent_transactions(transactions: DataFrame, emails: DataFrame, limit: int = 200, **filters) -> DataFrame:
@@ -82,7 +88,7 @@ def recent_offers(
         F.col("sender").alias("email_sender"),
         F.col("received_date").alias("email_date"),
     )
-    joined = bounded_lookup(top, side, "email_id", "__e")
+    joined = bounded_lookup(top, side, "email_id", "__e", limit)
     return joined.orderBy(F.col("extracted_at").desc(), "id")
 
 

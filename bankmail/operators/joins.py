@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPREAD = 1024
+#: Most rows of a limit that are broadcast, with their texts.
+LOOKUP = 1000
 
 
 def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread_by: str) -> DataFrame:
@@ -26,16 +28,17 @@ def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     )
 
 
-def bounded_lookup(top: DataFrame, wide: DataFrame, top_key: str, wide_key: str) -> DataFrame:
+def bounded_lookup(top: DataFrame, wide: DataFrame, top_key: str, wide_key: str, limit: int) -> DataFrame:
     """Left outer join of a frame that ends in a `limit` to a table of any size.
 
-    The wide table is filtered by the few keys first (broadcast is safe: the
-    limit bounds it), so it is scanned once and never shuffled.
+    The wide table is filtered by the few keys first, so it is scanned once and never shuffled. Up to LOOKUP rows are
+    broadcast; how a larger limit is joined is left to Spark.
     """
+    few = F.broadcast if limit <= LOOKUP else lambda df: df
     keys = top.select(F.col(top_key).alias("__k")).filter(F.col("__k").isNotNull()).distinct()
-    found = wide.join(F.broadcast(keys), F.col(wide_key) == F.col("__k"), "left_semi")
+    found = wide.join(few(keys), F.col(wide_key) == F.col("__k"), "left_semi")
     found = found.withColumnRenamed(wide_key, "__w")
-    return top.join(F.broadcast(found), F.col(top_key) == F.col("__w"), "left").drop("__w")
+    return top.join(few(found), F.col(top_key) == F.col("__w"), "left").drop("__w")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
