@@ -12,9 +12,10 @@ are exact. The order of shingles by frequency only decides how many pairs must b
 never which are found.
 
 Front parts that still hold frequent shingles belong to large groups of near copies. There, documents are first
-held against two members of each shingle's group, those with the fewest rare shingles. Likewise each document is first held
-against its likeliest partner. Only pairs that the links found so far leave in different components
-are then compared. That finds the same components as all pairs would. Equal sets are one node with members.
+held against two members of each shingle's group, those with the fewest rare shingles, and the links found make first components.
+Only then do rare shingles' documents meet, and two of one component never do. Of the pairs within the bound, each document is first
+held against its likeliest partner, then only pairs that the links found so far leave in different components
+are compared. That finds the same components as all pairs would. Equal sets are one node with members.
 
 What moves: one pass counts shingles (as packed arrays that are counted before and after the shuffle), one pass writes front parts, and one pass reads again the
 texts of documents in pairs within the bound. The frequent shingles are broadcast, MOST_FREQUENT
@@ -133,9 +134,9 @@ def _fronts(rows: DataFrame, often: np.ndarray, bits: int, id_type: str) -> Data
 
 
 def _meeting(fronts: DataFrame, bits: int) -> DataFrame:
-    """Written: from each fragment, pairs (x, y, sizes, c shared rare shingles), and with y null the shingles h that too many share.
+    """Written: from each fragment, pairs (x, y, sizes, c shared rare shingles) of different roots, and with y null the shingles h that too many share.
 
-    A size is n * 2^32 + n_hot.
+    A size is n * 2^32 + n_hot. `fronts` has the root of each row's component so far; documents of one component do not meet.
     """
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,24 +144,28 @@ def _meeting(fronts: DataFrame, bits: int) -> DataFrame:
             lists = batch.column("rare")
             h = np.asarray(lists.flatten()).view(U64)
             each = np.diff(np.asarray(lists.offsets))
-            rows = list(dealt((h >> U64(64 - bits)).astype(np.int32), h, np.repeat(np.asarray(batch.column("row")), each), np.repeat(np.asarray(batch.column("size")), each)))
-            yield packed(rows, ["fragment", "h", "node", "size"])
+            own = [np.repeat(np.asarray(batch.column(c)), each) for c in ("row", "size", "root")]
+            yield packed(list(dealt((h >> U64(64 - bits)).astype(np.int32), h, *own)), ["fragment", "h", "node", "size", "root"])
         released()
 
     def met(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        h, node, size = gathered(group["h"], "i8"), gathered(group["node"], "i8"), gathered(group["size"], "i8")
+        h, node, size, root = (gathered(group[c], "i8") for c in ("h", "node", "size", "root"))
         order = np.lexsort((node, h))
-        h, node, size = h[order], node[order], size[order]
+        h, node, size, root = h[order], node[order], size[order], root[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        mixed = np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first)
+        keep = np.repeat(mixed, np.diff(np.append(first, len(h))))
+        h, node, size, root = h[keep], node[keep], size[keep], root[keep]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
         df = np.diff(np.append(first, len(h)))
         n = size >> 32
         xs, ys = [], []
         for d in np.unique(df[(df > 1) & (df <= LARGE)]):  # groups of one size together
             at = first[df == d]
             i, j = np.triu_indices(d, 1)
-            for part in np.array_split(at, max(1, len(at) * len(i) // 2_000_000)):
+            for part in np.array_split(at, max(1, len(at) * len(i) // 250_000)):
                 x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-                near = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
+                near = (root[x] != root[y]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
                 xs.append(x[near])
                 ys.append(y[near])
         x, y = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (xs, ys))
@@ -177,7 +182,7 @@ def _meeting(fronts: DataFrame, bits: int) -> DataFrame:
             names=["x", "y", "size_x", "size_y", "c", "h"],
         )
 
-    parts = fronts.select("row", "size", "rare").mapInArrow(parted, "fragment int, h binary, node binary, size binary")
+    parts = fronts.select("row", "size", "root", "rare").mapInArrow(parted, "fragment int, h binary, node binary, size binary, root binary")
     pairs = parts.groupBy("fragment").applyInArrow(met, "x long, y long, size_x long, size_y long, c long, h long")
     return materialize(pairs, "met")
 
@@ -225,6 +230,46 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     return _components(docs, id, text).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _stars(hot: DataFrame) -> DataFrame:
+    """Pairs of each node with two members of the group of each of its frequent shingles: those with the fewest rare ones."""
+    by = lambda sign: F.struct(F.col("n_hot") / F.col("n"), (sign * F.xxhash64("node")).alias("tie"), "node", "n", "n_hot")
+    centres = hot.groupBy("h").agg(F.max(by(1)).alias("p"), F.max(by(-1)).alias("q"), F.count("*").alias("df")).where("df > 1")
+    centres = centres.select("h", F.explode(F.array("p", "q")).alias("c")).distinct()
+    centres = materialize(centres.select("h", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.n_hot").alias("m_hot")), "centres")
+    stars = hot.join(centres, "h").where("node <> centre").where(_enough("n", "m", "n_hot", "m_hot"))
+    return materialize(_ordered(stars, "node", "centre", "n", "m").distinct(), "stars")
+
+
+def _likely(met: DataFrame, many: DataFrame) -> DataFrame:
+    """Written: the pairs (x, y, n_x, n_y, share) whose shared shingles can be enough; `many` has the shingles that no fragment counted."""
+    sums = met.where("y is not null").groupBy("x", "y", "size_x", "size_y").agg(F.sum("c").alias("c"))
+    n_of, hot_of = (lambda s: F.shiftright(s, 32)), (lambda s: F.col(s).bitwiseAND(F.lit((1 << 32) - 1)))
+    sums = sums.withColumns({"n_x": n_of("size_x"), "n_y": n_of("size_y")})
+    uncounted = small(materialize(many.groupBy("node").agg(F.count("*").alias("m")), "uncounted"))
+    for end in "xy":
+        sums = sums.join(uncounted.toDF(end, f"m_{end}"), end, "left")
+    # with frequent shingles in both front parts, what is shared of rare ones is known but for uncounted ones; else what lies
+    # behind the front part of either set can be shared whole
+    few = F.least(hot_of("size_x"), hot_of("size_y"))
+    bound = F.col("c") + F.least(F.coalesce("m_x", F.lit(0)), F.coalesce("m_y", F.lit(0))) + F.when(few > 0, few).otherwise(F.ceil(0.75 * F.greatest("n_x", "n_y")) - 1)
+    total = F.col("n_x") + F.col("n_y")
+    return materialize(sums.where(7 * bound >= 3 * total).select("x", "y", "n_x", "n_y", (bound / total).alias("share")), "likely")
+
+
+def _crossing(hot: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of different components that share a frequent shingle, one of the first of the smaller set, and are near enough in size."""
+    apart = hot.join(roots, "node", "left").select("h", "node", "n", "n_hot", F.coalesce("root", "node").alias("root"), "first")
+    apart = materialize(apart, "apart")
+    mixed = apart.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("first").alias("first"))
+    apart = apart.join(materialize(mixed.where("lo < hi and first").select("h"), "mixed"), "h", "left_semi")
+    # sizes at most 4 / 3 apart lie in one band or the next
+    band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("band")
+    one = apart.where("first").select("h", "node", "n", "n_hot", "root", F.explode(F.array(band, band + 1))).toDF("h", "s", "n_s", "hot_s", "root_s", "band")
+    other = apart.select("h", "node", "n", "n_hot", "root", band).toDF("h", "l", "n_l", "hot_l", "root_l", "band")
+    met = one.join(other, ["h", "band"]).where("root_s <> root_l and (n_s < n_l or n_s = n_l and s < l)").where(_enough("n_s", "n_l", "hot_s", "hot_l"))
+    return _ordered(met, "s", "l", "n_s", "n_l")
+
+
 def _components(docs: DataFrame, id: str, text: str) -> DataFrame:
     """For each row: id, a hash of the text as mark, n and component_id."""
     bits = fragment_bits(docs.sparkSession)
@@ -238,54 +283,33 @@ def _components(docs: DataFrame, id: str, text: str) -> DataFrame:
     size = (F.shiftleft("n", 32) + F.col("n_hot")).alias("size")
     nodes = fronts.where("n > 0").join(copies, "row", "left_anti").select("row", "id", "n", "n_hot", "sign1", "sign2", size, "rare", "hot")
 
-    met = _meeting(nodes, bits)
-    sums = met.where("y is not null").groupBy("x", "y", "size_x", "size_y").agg(F.sum("c").alias("c"))
-    n_of, hot_of = (lambda s: F.shiftright(s, 32)), (lambda s: F.col(s).bitwiseAND(F.lit((1 << 32) - 1)))
-    sums = sums.withColumns({"n_x": n_of("size_x"), "n_y": n_of("size_y")})
-    # with frequent shingles in both front parts, c is all that is shared of rare ones; else what lies behind
-    # the front part of either set can be shared whole
-    few = F.least(hot_of("size_x"), hot_of("size_y"))
-    bound = F.col("c") + F.when(few > 0, few).otherwise(F.ceil(0.75 * F.greatest("n_x", "n_y")) - 1)
-    many = met.where("h is not null").select("h", F.col("x").alias("node"), n_of("size_x").alias("n"), n_of("size_x").alias("n_hot"))
-    crowded = many.select("node").distinct().withColumn("crowded", F.lit(True))
-    sums = sums.join(small(materialize(crowded, "crowded")), F.col("x") == F.col("node"), "left")
-    likely = sums.where((7 * bound >= 3 * (F.col("n_x") + F.col("n_y"))) | F.col("crowded"))
-    likely = materialize(likely.select("x", "y", "n_x", "n_y", (bound / (F.col("n_x") + F.col("n_y"))).alias("share")), "likely")
-    # first each node's likeliest partner; most other pairs then lie within a component
-    pair = F.struct("x", "y", "n_x", "n_y")
-    ends = likely.select(F.explode(F.array("x", "y")).alias("node"), pair.alias("pair"), F.struct("share", -F.col("x"), -F.col("y")).alias("by"))
-    best = ends.groupBy("node").agg(F.max_by("pair", "by").alias("pair")).select("pair.*")
-
     # a pair shares one of the first n - ceil(6 n / 7) + 1 shingles of its smaller set; rare ones come before these
     first = F.col("at") < F.col("n") - F.ceil(6 * F.col("n") / 7) + 1 - (F.col("n") - F.col("n_hot"))
     hot = nodes.where(F.size("hot") > 0).select(F.posexplode("hot").alias("at", "h"), F.col("row").alias("node"), "n", "n_hot")
-    hot = materialize(hot.withColumn("first", first).drop("at").unionByName(many.withColumn("first", F.lit(True))), "hot")
-    by = lambda sign: F.struct(F.col("n_hot") / F.col("n"), (sign * F.xxhash64("node")).alias("tie"), "node", "n", "n_hot")
-    centres = hot.groupBy("h").agg(F.max(by(1)).alias("p"), F.max(by(-1)).alias("q"), F.count("*").alias("df")).where("df > 1")
-    centres = centres.select("h", F.explode(F.array("p", "q")).alias("c")).distinct()
-    centres = materialize(centres.select("h", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.n_hot").alias("m_hot")), "centres")
-    stars = hot.join(centres, "h").where("node <> centre").where(_enough("n", "m", "n_hot", "m_hot"))
-    stars = _ordered(stars, "node", "centre", "n", "m")
-    pairs = materialize(best.union(stars).distinct(), "pairs")
-    links = _links(docs, id, text, nodes, pairs)
+    hot = materialize(hot.withColumn("first", first).drop("at"), "hot")
+    tried = _stars(hot)
+    links = _links(docs, id, text, nodes, tried)
+    roots = materialize(components(links), "roots")
+
+    known = small(roots.withColumnRenamed("node", "row"))
+    met = _meeting(nodes.join(known, "row", "left").withColumn("root", F.coalesce("root", "row")), bits)
+    many = met.where("h is not null").select("h", F.col("x").alias("node"), F.shiftright("size_x", 32).alias("n"))
+    likely = _likely(met, many)
+    # first each node's likeliest partner; most other pairs then lie within a component
+    ends = likely.select(F.explode(F.array("x", "y")).alias("node"), F.struct("x", "y", "n_x", "n_y").alias("pair"), F.struct("share", -F.col("x"), -F.col("y")).alias("by"))
+    best = ends.groupBy("node").agg(F.max_by("pair", "by").alias("pair")).select("pair.*")
+    more = many.withColumns({"n_hot": F.col("n"), "first": F.lit(True)}).select(hot.columns)
+    best = materialize(best.union(_stars(more)).distinct().join(tried, ["x", "y"], "left_anti").select("x", "y", "n_x", "n_y"), "best")
+    links = links.union(_links(docs, id, text, nodes, best))
     roots = materialize(components(links), "roots")
 
     # the other pairs, and those of frequent shingles' groups, as far as they are still apart
     root = lambda node: roots.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
-    others = likely.join(pairs, ["x", "y"], "left_anti").join(root("x"), "x", "left").join(root("y"), "y", "left")
-    others = others.where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y")).select("x", "y", "n_x", "n_y")
-    apart = hot.join(roots, "node", "left").select("h", "node", "n", "n_hot", F.coalesce("root", "node").alias("root"), "first")
-    apart = materialize(apart, "apart")
-    mixed = apart.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("first").alias("first"))
-    apart = apart.join(materialize(mixed.where("lo < hi and first").select("h"), "mixed"), "h", "left_semi")
-    one, other = apart.where("first").drop("first").toDF("h", "s", "n_s", "hot_s", "root_s"), apart.drop("first").toDF("h", "l", "n_l", "hot_l", "root_l")
-    crossing = one.join(other, "h").where("root_s <> root_l and (n_s < n_l or n_s = n_l and s < l)").where(_enough("n_s", "n_l", "hot_s", "hot_l"))
-    crossing = _ordered(crossing, "s", "l", "n_s", "n_l")
-    crossing = crossing.distinct().join(pairs, ["x", "y"], "left_anti").select("x", "y", "n_x", "n_y")
-    crossing = materialize(crossing.union(others).distinct(), "crossing")
-    if not crossing.isEmpty():
-        more = _links(docs, id, text, nodes, crossing)
-        roots = materialize(components(links.union(more)), "roots")
+    others = likely.join(root("x"), "x", "left").join(root("y"), "y", "left").where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y"))
+    pairs = others.select("x", "y", "n_x", "n_y").union(_crossing(hot.unionByName(more), roots)).distinct()
+    pairs = materialize(pairs.join(tried.union(best), ["x", "y"], "left_anti").select("x", "y", "n_x", "n_y"), "crossing")
+    if not pairs.isEmpty():
+        roots = materialize(components(links.union(_links(docs, id, text, nodes, pairs))), "roots")
 
     rooted = members.join(roots, "node", "left").select("id", "mark", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")

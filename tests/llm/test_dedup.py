@@ -1,6 +1,7 @@
 """Exact dedup, substring dedup and the n-gram join against plain versions."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -140,7 +141,7 @@ def test_join(odd, rows, often, large, monkeypatch):
     assert Counter(map(tuple, jaccard_components(odd).collect())) == join_plain(rows)
 
 
-@pytest.mark.parametrize("n", [4, 60])
+@pytest.mark.parametrize("n", [4, 60, 600])
 def test_join_of_many_near_copies(spark, n):
     base = [f"b{k}" for k in range(90)]
     rows = [(k, " ".join(base[:k] + [f"e{k}"] + base[k + 1 :]), None) for k in range(n)]
@@ -149,6 +150,24 @@ def test_join_of_many_near_copies(spark, n):
     assert Counter(map(tuple, jaccard_components(docs).collect())) == join_plain(rows)
 
 
+def test_pairs_of_one_component_do_not_meet(spark, monkeypatch):
+    """Near copies of one text that also share rare shingles in tens: stars link them, and no fragment pairs them again."""
+    rng = random.Random(6)
+    base, edits = [f"b{k}" for k in range(100)], [f"e{k}" for k in range(8)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        words[rng.randrange(10, 20)] = rng.choice(edits)
+        texts.append(words)
+    rows = [(k, " ".join(t), None) for k, t in enumerate(texts)]
+    met = []
+    plain = ngram_join._meeting
+    monkeypatch.setattr(ngram_join, "_meeting", lambda *a: met.append(plain(*a)) or met[-1])
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    assert Counter(map(tuple, jaccard_components(docs).collect())) == join_plain(rows)
+    assert met[0].where("y is not null").count() < 300
+
+
 def test_one_of_each(odd, rows):
     left = one_of_each(odd)
     expected = Counter(d for d, _, c in join_plain(rows).elements() if d is None and c is None or d == c)
