@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bankmail.session import materialize
+from bankmail import session
 
 #: A word, in Java's and in Python's pattern language.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,7 +17,23 @@ BROADCAST_ROWS = 1_000_000
 #: Bytes of texts that a Python worker is handed at a time; a longer text comes alone.
 BATCH_BYTES = "8m"
 
-__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WORD", "bounded_batches", "documents", "fresh", "materialize", "n_words", "small"]
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WORD", "bounded_batches", "documents", "forget", "fresh", "materialize", "n_words", "small"]
+
+_written = threading.local()
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """`df`, written to the shared folder and read again; `forget` removes what this thread has written so."""
+    path = session.work_dir(df.sparkSession, purpose)
+    _written.paths = [*getattr(_written, "paths", ()), path]
+    return session.materialize(df, purpose, path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove the tables that operators have written in this thread; for when results that read them are written elsewhere."""
+    paths, _written.paths = getattr(_written, "paths", ()), ()
+    for path in paths:
+        session.remove(spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -9,7 +9,8 @@ group by group (GROUP partitions in one) until one is left of all. No task holds
 windows, a batch of texts, or GROUP leftovers, and documents are never shuffled.
 
 The packed table is written once to the shared folder: a lost executor repeats only its
-partitions, and the merge does not encode again.
+partitions, and the merge does not encode again. Ids below 65,536, as of a vocabulary of that size, are written as 16-bit numbers. Who
+wants their checksum only (`checksum=True`) has it taken in the task; then just leftovers' ids are written.
 
 Defined cases: a null text counts as empty and still gives its end id. Rows with equal or null
 ids are packed as rows of their own. Very long documents are cut into many windows. An
@@ -18,6 +19,7 @@ empty table gives an empty result. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 
@@ -30,18 +32,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from bankmail.llm.base import bounded_batches, materialize
 from bankmail.llm.hashing import portions
-from bankmail.llm.tokens import encoder, vocabulary
+from bankmail.llm.tokens import encoder, id_width, vocabulary
 
 LENGTH, OPEN, GROUP, END = 1024, 64, 256, 0
-PIECES = "id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+PIECES = "id {id}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long"
 _FIELDS = ("id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
 class Packer:
-    """Open windows of one partition. A piece is (id, start, ids as bytes, doc_tokens)."""
+    """Open windows of one partition. A piece is (id, start, ids as bytes, doc_tokens); an id takes `width` bytes."""
 
-    def __init__(self, length: int, windows: int, first_id: int):
-        self.length, self.most, self.next = length, windows, first_id
+    def __init__(self, length: int, windows: int, first_id: int, width: int = 4):
+        self.length, self.most, self.next, self.width = length, windows, first_id, width
         self.fill: list[tuple[int, int]] = []
         self.pieces: dict[int, list] = {}
         self.opened = 0
@@ -50,21 +52,21 @@ class Packer:
     def _leave(self, pieces: list) -> None:
         at = 0
         for doc, start, ids, total in pieces:
-            n = len(ids) // 4
+            n = len(ids) // self.width
             self.done.append((doc, start, n, ids, total, self.next, at))
             at += n
         self.next += 1
 
     def add(self, doc, ids: bytes) -> None:
-        total, window = len(ids) // 4, 4 * self.length
+        total, window = len(ids) // self.width, self.width * self.length
         whole = len(ids) - len(ids) % window
         for at in range(0, whole, window):
-            self._leave([(doc, at // 4, ids[at : at + window], total)])
+            self._leave([(doc, at // self.width, ids[at : at + window], total)])
         if whole < len(ids):
-            self.place(doc, whole // 4, ids[whole:], total)
+            self.place(doc, whole // self.width, ids[whole:], total)
 
     def place(self, doc, start: int, ids: bytes, total: int) -> None:
-        n = len(ids) // 4
+        n = len(ids) // self.width
         at = bisect_right(self.fill, (self.length - n, self.opened)) - 1
         if at >= 0:
             fill, w = self.fill.pop(at)
@@ -74,9 +76,9 @@ class Packer:
             self.pieces[w] = []
         else:
             fill, w = self.fill.pop()
-            gap = 4 * (self.length - fill)
+            gap = self.width * (self.length - fill)
             self._leave([*self.pieces.pop(w), (doc, start, ids[:gap], total)])
-            return self.place(doc, start + gap // 4, ids[gap:], total)
+            return self.place(doc, start + gap // self.width, ids[gap:], total)
         self.pieces[w].append((doc, start, ids, total))
         if fill + n == self.length:
             self._leave(self.pieces.pop(w))
@@ -92,12 +94,13 @@ class Packer:
     def joined(self, pieces: list[tuple]) -> list[tuple]:
         now, room = [], self.length
         for doc, start, ids, total in pieces:
-            while len(ids) // 4 >= room:
-                self._leave([*now, (doc, start, ids[: 4 * room], total)])
-                start, ids, now, room = start + room, ids[4 * room :], [], self.length
+            while len(ids) // self.width >= room:
+                cut = self.width * room
+                self._leave([*now, (doc, start, ids[:cut], total)])
+                start, ids, now, room = start + room, ids[cut:], [], self.length
             if ids:
                 now.append((doc, start, ids, total))
-                room -= len(ids) // 4
+                room -= len(ids) // self.width
         return now
 
     def taken(self) -> list[tuple]:
@@ -105,57 +108,66 @@ class Packer:
         return done
 
 
-def _types(kind: pa.DataType) -> list[pa.DataType]:
-    return [kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+def _wide(ids: bytes, width: int) -> bytes:
+    """Ids as 32-bit numbers."""
+    return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
-def _rows(kind: pa.DataType, done: list[tuple], left: list[tuple], part: int) -> pa.Table:
+def _rows(kind: pa.DataType, done: list[tuple], left: list[tuple], part: int, width: int, checksum: bool) -> pa.Table:
     """Pieces that have their place with part -1, and the pieces left over with their partition."""
+    rows = []
+    for doc, start, n, ids, total, sequence, offset in done:
+        crc = zlib.crc32(_wide(ids, width)) if checksum else None
+        rows.append((doc, start, n, None if checksum else ids, crc, total, sequence, offset, -1))
     at = 0
-    rows = [(*r, -1) for r in done]
     for doc, start, ids, total in left:
-        rows.append((doc, start, len(ids) // 4, ids, total, -1, at, part))
+        rows.append((doc, start, len(ids) // width, ids, None, total, -1, at, part))
         at += 1
-    types = [*_types(kind), pa.int64()]
-    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[*_FIELDS, "part"])
+    long = pa.int64()
+    types = [kind, long, long, pa.binary(), long, long, long, long, long]
+    names = [*_FIELDS[:4], "ids_crc32", *_FIELDS[4:], "part"]
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
 
-def _merger(kind: pa.DataType, length: int, level: int, last: bool):
+def _merger(kind: pa.DataType, length: int, level: int, last: bool, width: int, checksum: bool):
     def merged(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        packer = Packer(length, 0, (level << 59) + (part << 32))
+        packer = Packer(length, 0, (level << 59) + (part << 32), width)
         group = group.sort_by([("part", "ascending"), ("offset", "ascending")])
         left = packer.joined(list(zip(*(group.column(c).to_pylist() for c in ("id", "start", "ids", "doc_tokens")), strict=True)))
         if last and left:
             packer._leave(left)
             left = []
-        return _rows(kind, packer.taken(), left, part)
+        return _rows(kind, packer.taken(), left, part, width, checksum)
 
     return merged
 
 
 def pack(
     docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, windows: int = OPEN,
-    ids_of: Callable[[str], bytes] | None = None, path: str | None = None,
+    ids_of: Callable[[str], bytes] | None = None, path: str | None = None, checksum: bool = False,
 ) -> DataFrame:
     """A row for each piece: id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
-    `path` is a `.tiktoken` file (byte_bpe_50k by default); `ids_of` replaces the encoder.
+    `path` is a `.tiktoken` file (byte_bpe_50k by default); `ids_of` replaces the encoder and gives 32-bit ids. With `checksum`,
+    ids_crc32 (of the same bytes) stands in place of ids.
     """
     path = path or vocabulary()
+    width = 4 if ids_of else id_width(path)
     field = docs.schema[id].dataType
-    schema, kind = PIECES.format(id=field.simpleString()) + ", part long", to_arrow_type(field)
+    schema, kind = PIECES.format(id=field.simpleString()), to_arrow_type(field)
     end = np.array([END], np.uint32).tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = ids_of or encoder(path).ids, TaskContext.get().partitionId()
-        packer = Packer(length, windows, part << 32)
+        packer = Packer(length, windows, part << 32, width)
         for batch in portions(batches, size=1 << 20):
             for doc, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                packer.add(doc, encode(t) + end)
-            yield from _rows(kind, packer.taken(), [], part).to_batches()
+                ids = encode(t) + end
+                packer.add(doc, ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
+            yield from _rows(kind, packer.taken(), [], part, width, checksum).to_batches()
         left = packer.rest()
-        yield from _rows(kind, packer.taken(), left, part).to_batches()
+        yield from _rows(kind, packer.taken(), left, part, width, checksum).to_batches()
 
     rows = bounded_batches(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     first = materialize(rows.mapInArrow(packed, schema), "packed")
@@ -166,7 +178,7 @@ def pack(
         if groups is None:
             break
         last = groups < GROUP
-        merge = left.groupBy(F.expr(f"part div {GROUP}")).applyInArrow(_merger(kind, length, level, last), schema)
+        merge = left.groupBy(F.expr(f"part div {GROUP}")).applyInArrow(_merger(kind, length, level, last, width, checksum), schema)
         step = materialize(merge, "merged")
         results.append(step.where("part < 0"))
         if last:
@@ -175,4 +187,13 @@ def pack(
     out = results[0]
     for more in results[1:]:
         out = out.unionByName(more)
-    return out.select(F.col("id").alias(id), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+    content = "ids_crc32" if checksum else "ids"
+    if width == 2 and not checksum:
+
+        def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = pa.array([_wide(x, width) for x in batch.column("ids").to_pylist()], pa.binary())
+                yield batch.set_column(batch.schema.get_field_index("ids"), "ids", ids)
+
+        out = out.mapInArrow(widened, schema)
+    return out.select(F.col("id").alias(id), "start", "length", content, "doc_tokens", "sequence_id", "offset")

@@ -80,8 +80,7 @@ from run"""
 
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(documents(spark, sf_dir))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(documents(spark, sf_dir), checksum=True)
 
 
 @query

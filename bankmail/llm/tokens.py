@@ -57,6 +57,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def id_width(path: str) -> int:
+    """Bytes that any id of a `.tiktoken` file fits: 2 or 4."""
+    with open(path, "rb") as f:
+        return 2 if max(int(line.split()[1]) for line in f) < 1 << 16 else 4
+
+
 def vocabulary() -> str:
     """The ranks of `byte_bpe_50k.json`: the same ids, in the form that encodes short pieces fast."""
     import public_tokenizers
