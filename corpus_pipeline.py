@@ -1,19 +1,21 @@
 """From documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the docs of the next. All but the last return the columns of `documents`.
+the docs of the next. All but the last return the columns of `documents`. A stage begins by removing the tables
+that the operators of the stage before have written for themselves: its own input is written by then.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bankmail.llm.base import documents, materialize
+from bankmail.llm.base import documents, forget
 from bankmail.llm.exact_dedup import without_duplicates
 from bankmail.llm.mixing import mixed
 from bankmail.llm.ngram_join import one_of_each
 from bankmail.llm.packing import pack
 from bankmail.llm.toxicity import without_toxic
+from bankmail.session import materialize
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,21 +25,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the largest id."""
+    forget(spark)
     return without_duplicates(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by similar shingle sets, the one with the least id."""
+    forget(spark)
     return one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by weight; a document taken twice is two rows."""
+    forget(spark)
     return mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, with their ids, in sequences of 1024."""
+    forget(spark)
     return pack(docs)
 
 
