@@ -35,7 +35,7 @@ from bankmail.llm.learn import Adam, best_threshold, labelled_sample, sigmoid
 THRESHOLD = 0.3
 HEAD, WIDTHS, FILTERS, DIMENSIONS = 4, (1, 2, 3), 6, 8
 VOCABULARY, LEAST_DOCS, SLOTS = 200_000, 5, 1 << 20
-EPOCHS, BATCH, RATE, KEPT_BACK = 6, 128, 0.02, 0.25
+EPOCHS, STEPS, BATCH, RATE, KEPT_BACK = 6, 100, 128, 0.02, 0.25
 #: Function words by which a text's language is guessed.
 LANGUAGES = {
     "en": "the of and to in is that for with was from this are on it as",
@@ -64,11 +64,18 @@ class Model:
     weights: dict[str, np.ndarray]
     constant: float | None = None
     shift: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES) + 1))
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # by hash, the vectors whose slot another one has
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         """The vector of each hash; 0, a vector of zeros, for unknown ones."""
         at = self.slots[(hashes & U64(SLOTS - 1)).astype(np.int64)]
-        at[self.hashes[at] != hashes] = 0
+        other = np.flatnonzero((self.hashes[at] != hashes) & (at > 0))
+        at[other] = 0
+        if len(self.rest):
+            known, wanted = self.hashes[self.rest], hashes[other]
+            place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            found = known[place] == wanted
+            at[other[found]] = self.rest[place[found]]
         return at
 
     def pooled(self, words: np.ndarray, heads: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +163,10 @@ def fit(sample: pa.Table, seed: int = 11) -> Model:
     embed[:, 0] = np.concatenate([np.zeros(1 + len(first)), odds[fresh]])
     embed[0] = 0
     slots = np.zeros(SLOTS, np.int32)
-    slots[(hashes[:0:-1] & U64(SLOTS - 1)).astype(np.int64)] = np.arange(len(hashes) - 1, 0, -1)
+    own = (hashes & U64(SLOTS - 1)).astype(np.int64)
+    slots[own[:0:-1]] = np.arange(len(hashes) - 1, 0, -1)
+    rest = np.flatnonzero(slots[own] != np.arange(len(hashes)))
+    rest = rest[rest > 0]
     weights = {"embed": embed}
     for k, width in enumerate(WIDTHS):
         for j in range(width):
@@ -165,11 +175,11 @@ def fit(sample: pa.Table, seed: int = 11) -> Model:
             weights[f"filter{k}_{j}"] = f
     n = len(WIDTHS) * FILTERS
     weights |= {"offset": np.full(n, -0.5, np.float32), "out": np.full(n, 0.1, np.float32), "bias": np.array([-2.0], np.float32)}
-    model = Model(slots, hashes, weights)
+    model = Model(slots, hashes, weights, rest=rest[np.argsort(hashes[rest])].astype(slots.dtype))
     ra, rb = model.rows(a), model.rows(b)
 
     adam = Adam(weights, RATE)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS // -(-train // BATCH)) if train else 0)):
         order = rng.permutation(train)
         for at in range(0, train, BATCH):
             docs = order[at : at + BATCH]
