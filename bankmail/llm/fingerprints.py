@@ -20,9 +20,11 @@ alike (1); empty sketches that do not hold all hashes say nothing and are not (0
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,9 +88,15 @@ def _ranges(docs: DataFrame, id: str, n: int) -> tuple[Column, list]:
     dealt = docs.select(F.col(id).alias("id")).repartitionByRange(n, "id").select("id", F.spark_partition_id().alias("p"))
     found = dealt.groupBy("p").agg(F.min("id").alias("first"), F.count_if(F.col("id").isNull()).alias("nulls")).collect()
     firsts = sorted({r["first"] for r in found if r["first"] is not None})
-    upper = F.array(*[F.lit(x) for x in firsts[1:]])
-    at = F.coalesce(F.size(F.filter(upper, lambda x: x <= F.col(id))), F.lit(0)) if firsts[1:] else F.lit(0)
-    at = F.when(F.col(id).isNull(), 0).otherwise(at)
+    upper = firsts[1:]
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        """By bisection among the ranges."""
+        return ids.map(lambda x: bisect_right(upper, x)).astype("int32")
+
+    # without nulls, ids keep their type on their way; null ids are in the first range
+    at = F.when(F.col(id).isNull(), 0).otherwise(place(F.coalesce(id, F.lit(upper[0])))) if upper else F.lit(0)
     if any(r["nulls"] for r in found):
         firsts = [None, *firsts[1:]]
     return at, firsts
@@ -98,9 +106,7 @@ def neighbours(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     """For each row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     at, firsts = _ranges(docs, id, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     n = max(len(firsts), 1)
-    first = F.lit(False)
-    for x in firsts:
-        first = first | F.col(id).eqNullSafe(F.lit(x))
+    first = F.coalesce(F.col(id).isin([x for x in firsts if x is not None]), F.lit(None in firsts))
     rows = bounded_batches(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), at.alias("at"), first.alias("first"))
     goes = F.when(F.col("first"), F.array(F.struct(F.col("at"), F.lit(False).alias("guest")), F.struct(F.pmod(F.col("at") - 1, F.lit(n)).alias("at"), F.lit(True).alias("guest"))))
     goes = F.explode(F.coalesce(goes, F.array(F.struct(F.col("at"), F.lit(False).alias("guest")))))

@@ -1,18 +1,19 @@
 """Personal data: fixed patterns, and what contexts learned from them discover.
 
 Base spans are the matches of four fixed patterns. They are the seeds of a bootstrapped
-extraction: the one and two words before a seed are lexical patterns of its kind, and tokens and runs of
+extraction: the one and two whole words before a place, and the one after it, are lexical patterns of its kind, and tokens and runs of
 digit groups that look like an identifier but that no fixed pattern takes are candidates. Groups may be joined by
 what the fixed patterns of a kind allow; of a run with too many digits, the longest beginning that fits. Spark scores the
-graph of patterns and instances in rounds: a pattern's confidence is the summed score of its
-instances over all places where its words occur in any document; a candidate's score is one minus the
-product of its patterns' doubts. Candidates after a pattern of high confidence that several
-different seeds support become added spans of that kind. Base spans always stay.
+graph of patterns and instances in rounds. A pattern's confidence is the summed score of its instances over this sum, the other places
+where its words occur in any document, and a tenth of its unknown candidates: a number passes the check of its kind by chance once in
+ten, so many more unknown ones than known ones speak against a pattern. Patterns of high confidence that several different known instances
+support make their candidates known: one minus the product of the patterns' doubts. Known candidates then support other patterns,
+until a round finds nothing new. Candidates beside such a pattern become added spans of that kind. Base spans always stay.
 
 Texts are read twice. First each task finds spans, candidates and contexts of its documents; what leaves
 it are documents' spans and (pattern, instance) pairs with counts, both written to the shared folder.
 Pairs are summed before and after they are shuffled by pattern, so that a frequent context is one row a task.
-Then every task counts the occurrences of the patterns that seeds support in all its texts, by
+Then every task counts the occurrences of the patterns that several instances share in all its texts, by
 hashes of words; PATTERNS of them are broadcast at a time, and more take further passes.
 
 Defined cases: a null text counts as empty; no match gives an empty span list. Null and repeated
@@ -36,7 +37,9 @@ from bankmail.llm.base import bounded_batches, materialize, small
 from bankmail.llm.hashing import U64, Words, mix, portions, text_buffers
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, CONFIDENT, SEEDS, DOUBT = 3, 0.8, 3, 1.0
+CONFIDENT, SEEDS, DOUBT = 0.8, 3, 0.5
+#: How much an unknown candidate counts against a pattern.
+UNKNOWN = 0.1
 #: Hashes of patterns, eight bytes each, that a pass over the texts counts at most.
 PATTERNS = 1_000_000
 # The patterns of the base. Possessive repeats where giving back cannot help a match.
@@ -126,10 +129,28 @@ def grouped(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
         yield from ((m.start(), e, kind) for kind, e in ends.items())
 
 
-def _contexts(text: str, start: int) -> list[str]:
-    """The one and two words before a place, within its line's last words."""
-    before = [w.lower() for w in _WORD.findall(text[max(0, start - 80) : start].rpartition("\n")[2])]
-    return [" ".join(before[-n:]) for n in (1, 2) if len(before) >= n]
+_BLANK, _SPACE = frozenset(" \t\v\f\r"), frozenset(" \t\n\v\f\r")
+
+
+def _contexts(text: str, start: int, end: int) -> list[str]:
+    """Patterns of a place: `<` and the one and two words before it, `>` and the one after it, within its line."""
+    words, at = [], start
+    for _ in range(2):
+        while at and text[at - 1] in _BLANK:
+            at -= 1
+        upto = at
+        while at and text[at - 1] not in _SPACE:
+            at -= 1
+        if at == upto:
+            break
+        words.insert(0, text[at:upto].lower())
+    out = ["<" + " ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+    while end < len(text) and text[end] in _BLANK:
+        end += 1
+    upto = end
+    while end < len(text) and text[end] not in _SPACE:
+        end += 1
+    return [*out, ">" + text[upto:end].lower()] if upto < end else out
 
 
 def _instance(kind: int, found: str) -> str:
@@ -161,10 +182,10 @@ def _document(text: str):
         for s, e, kind in grouped(text, done, a):
             places.setdefault((s, e), set()).add(kind)
         done = max(done, b)
-    candidates = [(s, e, sorted(kinds), _contexts(text, s)) for (s, e), kinds in sorted(places.items())]
+    candidates = [(s, e, sorted(kinds), _contexts(text, s, e)) for (s, e), kinds in sorted(places.items())]
     uses: Counter = Counter()
     for s, kind, e in base:
-        for c in _contexts(text, s):
+        for c in _contexts(text, s, e):
             uses[kind, c, _instance(kind, text[s:e]), True] += 1
     for s, e, kinds, contexts in candidates:
         for kind in kinds:
@@ -211,7 +232,7 @@ def occurrences(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "pattern"):
-            one, two, starts = _keys(batch.column("pattern").to_pylist())
+            one, two, starts = _keys([p[1:] for p in batch.column("pattern").to_pylist()])
             n = np.diff(starts)
             key = one[starts[:-1]]
             key[n == 2] = two
@@ -244,24 +265,27 @@ def occurrences(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def patterns(edges: DataFrame) -> DataFrame:
-    """(kind, pattern, confidence) of patterns that seeds support, scored on the graph in rounds.
+    """(kind, pattern, confidence) of patterns that make candidates known, scored on the graph until no candidate is new.
 
-    `edges` has a row for each (kind, pattern, instance, seed) with n uses and `seen` occurrences of the pattern's words.
+    `edges` has a row for each (kind, pattern, instance, seed) with n uses and `seen` occurrences of the pattern's words. What is known only grows,
+    so the rounds end.
     """
-    support = edges.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.max("seen").alias("all_seen"))
-    support = small(materialize(support.where(F.col("seeds") >= SEEDS), "support"))
-    edges = materialize(edges.join(support.select("kind", "pattern", "all_seen"), ["kind", "pattern"]), "edges")
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for k in range(ROUNDS):
-        confidence = F.sum(F.col("n") * F.col("score")) / (F.greatest(F.sum("n"), F.max("all_seen")) + DOUBT)
-        found = materialize(scored.groupBy("kind", "pattern").agg(confidence.alias("confidence")), "patterns")
-        if k == ROUNDS - 1:
-            return found.where(F.col("confidence") >= CONFIDENT)
-        doubts = edges.join(small(found), ["kind", "pattern"]).where(~F.col("seed")).groupBy("kind", "instance")
-        instances = materialize(doubts.agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence") * 0.999)))).alias("believed")), "instances")
-        scored = edges.join(small(instances), ["kind", "instance"], "left")
+    edges = materialize(edges, "edges")
+    known, before = None, 0
+    while True:
+        believed = F.lit(None).cast("double").alias("believed")
+        scored = edges.withColumn("believed", believed) if known is None else edges.join(small(known), ["kind", "instance"], "left")
         scored = scored.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("believed", F.lit(0.0))))
-    return found
+        held, unknown = F.sum(F.col("n") * F.col("score")), F.sum(F.col("n") * (1 - F.col("score")))
+        elsewhere = F.greatest(F.max("seen") - F.sum("n"), F.lit(0))
+        found = scored.groupBy("kind", "pattern").agg((held / (held + UNKNOWN * unknown + elsewhere + DOUBT)).alias("confidence"), F.count_if(F.col("score") >= CONFIDENT).alias("known"))
+        good = materialize(found.where((F.col("confidence") >= CONFIDENT) & (F.col("known") >= SEEDS)).drop("known"), "patterns")
+        doubts = edges.join(small(good), ["kind", "pattern"]).where(~F.col("seed")).groupBy("kind", "instance")
+        known = materialize(doubts.agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence") * 0.999)))).alias("believed")), "instances")
+        now = known.count()
+        if now <= before:
+            return good
+        before = now
 
 
 def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,8 +295,8 @@ def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 
     uses = found.select(F.explode("uses").alias("u")).select("u.*")
     edges = materialize(uses.groupBy("kind", "pattern", "instance", "seed").agg(F.sum("n").alias("n")), "uses")
-    support = edges.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others"))
-    support = materialize(support.where((F.col("seeds") >= SEEDS) & (F.col("others") > 0)).select("kind", "pattern"), "supported")
+    support = edges.groupBy("kind", "pattern").agg(F.count("*").alias("instances"), F.count_if(~F.col("seed")).alias("others"))
+    support = materialize(support.where((F.col("instances") >= SEEDS) & (F.col("others") > 0)).select("kind", "pattern"), "supported")
     seen = support.join(occurrences(rows, support), "pattern", "left").select("kind", "pattern", F.coalesce("seen", F.lit(0)).alias("seen"))
     good = patterns(edges.join(small(materialize(seen, "occurrences")), ["kind", "pattern"]))
 

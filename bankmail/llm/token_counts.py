@@ -4,7 +4,7 @@ Documents are encoded once and only their lengths are kept, counted by length wi
 sum in every task. Sums from the longest length down then answer, for every context limit that
 is a length in the corpus: documents and tokens at or above it, tokens that remain when every
 document is cut at the limit, and the share of documents that fit. Between two lengths the answers
-follow by one multiplication.
+follow by one multiplication. The percentiles whose rank lies in a row of the histogram are its quantiles; any others are found the same way.
 
 The running sums go over blocks of lengths and then within each block, so that no task orders
 all lengths; the blocks' own sums are one row per BLOCK lengths.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bankmail.llm.base import bounded_batches, materialize
@@ -41,9 +41,10 @@ def token_lengths(docs: DataFrame, text: str = "text", ids_of: Callable[[str], b
 
 
 def length_histogram(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """A row for each length: n_tokens, n_docs, docs_at_least, tokens_at_least, tokens_truncated, share_within.
+    """A row for each length: n_tokens, n_docs, docs_at_least, tokens_at_least, tokens_truncated, share_within, percentiles.
 
     tokens_truncated: all tokens left when documents are cut at n_tokens. share_within: documents no longer than that.
+    percentiles: the whole percents, 0 to 100, whose quantile this length is; each percent stands in one row.
     """
     counted = token_lengths(docs, text, **how).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
     hist = materialize(counted, "lengths").withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
@@ -62,9 +63,23 @@ def length_histogram(docs: DataFrame, text: str = "text", **how) -> DataFrame:
         "n_tokens", "n_docs", "docs_at_least", "tokens_at_least",
         (F.col("t_all") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")).alias("tokens_truncated"),
         ((F.col("d_all") - F.col("docs_at_least") + F.col("n_docs")) / F.col("d_all")).alias("share_within"),
+        F.filter(F.sequence(F.lit(0), F.lit(100)), lambda q: _inside(q / 100, F.col("d_all"))).alias("percentiles"),
     )
 
 
+def _inside(share: Column, docs: Column) -> Column:
+    """Whether the document of this share's rank, the least that holds it, is one of the row's."""
+    rank, upto = F.greatest(F.lit(1), F.ceil(share * docs)), docs - F.col("docs_at_least") + F.col("n_docs")
+    return (rank <= upto) & (rank > upto - F.col("n_docs"))
+
+
+def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens) for shares of the documents from 0 to 1: the shortest length within which that many lie."""
+    all_docs = histogram.agg(F.sum("n_docs")).first()[0]
+    asked = F.array(*[F.lit(float(q)) for q in sorted(set(shares))])
+    return histogram.select(F.explode(F.filter(asked, lambda q: _inside(q, F.lit(all_docs)))).alias("share"), "n_tokens")
+
+
 def at_limits(histogram: DataFrame, limits: DataFrame, limit: str = "limit") -> DataFrame:
     """Answers for any context limits: documents cut and tokens left, for each row of `limits`.
 

@@ -1,5 +1,6 @@
 """Mixing, packing, token counts and the pipeline."""
 
+import math
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -14,7 +15,7 @@ import corpus_pipeline
 from bankmail.llm import packing
 from bankmail.llm.mixing import mix, mixed
 from bankmail.llm.packing import pack
-from bankmail.llm.token_counts import at_limits, length_histogram
+from bankmail.llm.token_counts import at_limits, length_histogram, quantiles
 from bankmail.llm.tokens import encoder, vocabulary
 from compare import TESTDATA
 
@@ -140,6 +141,11 @@ def test_token_counts(odd, rows, none, spark):
         n = r.n_tokens
         assert (r.n_docs, r.docs_at_least, r.tokens_at_least) == (lengths.count(n), sum(x >= n for x in lengths), sum(x for x in lengths if x >= n))
         assert r.tokens_truncated == sum(min(x, n) for x in lengths) and r.share_within == pytest.approx(np.mean([x <= n for x in lengths]))
+    ordered, n = sorted(lengths), len(lengths)
+    at = {q: r.n_tokens for r in found.collect() for q in r.percentiles}
+    assert at == {q: ordered[max(1, math.ceil(q / 100 * n)) - 1] for q in range(101)}
+    shares = [0.0, 0.001, 0.333, 0.5, 0.999, 1.0]
+    assert {r.share: r.n_tokens for r in quantiles(found, shares).collect()} == {q: ordered[max(1, math.ceil(q * n)) - 1] for q in shares}
     limits = spark.createDataFrame([(k,) for k in (0, 1, 17, 512, 10**6)], "limit long")
     for r in at_limits(found, limits).collect():
         assert r.tokens_truncated == sum(min(x, r.limit) for x in lengths) and r.docs_at_least == sum(x >= r.limit for x in lengths)
