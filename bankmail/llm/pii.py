@@ -232,7 +232,7 @@ def occurrences(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "pattern"):
-            one, two, starts = _keys([p[1:] for p in batch.column("pattern").to_pylist()])
+            one, two, starts = _keys(batch.column("pattern").to_pylist())
             n = np.diff(starts)
             key = one[starts[:-1]]
             key[n == 2] = two
@@ -297,7 +297,9 @@ def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     edges = materialize(uses.groupBy("kind", "pattern", "instance", "seed").agg(F.sum("n").alias("n")), "uses")
     support = edges.groupBy("kind", "pattern").agg(F.count("*").alias("instances"), F.count_if(~F.col("seed")).alias("others"))
     support = materialize(support.where((F.col("instances") >= SEEDS) & (F.col("others") > 0)).select("kind", "pattern"), "supported")
-    seen = support.join(occurrences(rows, support), "pattern", "left").select("kind", "pattern", F.coalesce("seen", F.lit(0)).alias("seen"))
+    words = support.withColumn("words", F.substr("pattern", F.lit(2)))
+    counted = occurrences(rows, words.select(F.col("words").alias("pattern"))).withColumnRenamed("pattern", "words")
+    seen = words.join(counted, "words", "left").select("kind", "pattern", F.coalesce("seen", F.lit(0)).alias("seen"))
     good = patterns(edges.join(small(materialize(seen, "occurrences")), ["kind", "pattern"]))
 
     places = found.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.start", "c.end", "c.kind", F.explode("c.contexts").alias("pattern"))

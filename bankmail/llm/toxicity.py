@@ -7,10 +7,11 @@ of hashes that few documents of the sample have are zero. One embedding dimensio
 smoothed log-odds of a hash among the labels, the others and the filters from random numbers.
 
 Thresholds are calibrated by language: the language is guessed from function words in the text
-itself, a threshold for each is chosen on a part of the sample kept from training, and scores
-are shifted so that each language's threshold lies at THRESHOLD.
+itself. A quarter of all labelled rows, told by a hash of the id, never trains; all of these are scored on the executors, counted by language,
+label and score, and the threshold of each language is chosen from the counts. Scores are shifted so that each
+language's threshold lies at THRESHOLD; a language with fewer than POSITIVES such rows of either label has the threshold of all.
 
-Fitting takes a bounded sample (learn.SAMPLE rows of at most learn.LONGEST characters) on the driver;
+Fitting takes a bounded sample (learn.SAMPLE rows of at most learn.LONGEST characters) of the others on the driver;
 the model, broadcast, is bounded by VOCABULARY vectors. Every text is scored whole, on the executors.
 
 Defined cases: null, empty and wordless texts get the score of the model's bias, below the
@@ -25,10 +26,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bankmail.llm.base import bounded_batches
+from bankmail.llm.base import bounded_batches, materialize, small
 from bankmail.llm.hashing import NOT_ALNUM, U64, Words, portions, text_buffers, words_of
 from bankmail.llm.learn import Adam, best_threshold, labelled_sample, sigmoid
 
@@ -36,6 +37,8 @@ THRESHOLD = 0.3
 HEAD, WIDTHS, FILTERS, DIMENSIONS = 4, (1, 2, 3), 6, 8
 VOCABULARY, LEAST_DOCS, SLOTS = 200_000, 5, 1 << 20
 EPOCHS, STEPS, BATCH, RATE, KEPT_BACK = 6, 100, 128, 0.02, 0.25
+#: Labelled rows of each label that a language's own threshold needs; bins of a logit, from -EDGE to EDGE.
+POSITIVES, BINS, EDGE = 5, 32, 20
 #: Function words by which a text's language is guessed.
 LANGUAGES = {
     "en": "the of and to in is that for with was from this are on it as",
@@ -114,12 +117,16 @@ class Model:
         _, language = _language_hashes()
         return np.concatenate([[-1], language, [-1]])
 
+    def judged(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The logit of each text before its language's shift, and its language."""
+        a, b = map(self.rows, _parsed(words))
+        return self.logits(self.pooled(a, b, words.starts)[0]), self.language(a, words.starts)
+
     def score(self, words: Words) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(words.counts), self.constant)
-        a, b = map(self.rows, _parsed(words))
-        most, _ = self.pooled(a, b, words.starts)
-        logit = self.logits(most) - self.shift[self.language(a, words.starts)] + np.log(THRESHOLD / (1 - THRESHOLD))
+        logit, language = self.judged(words)
+        logit = logit - self.shift[language] + np.log(THRESHOLD / (1 - THRESHOLD))
         return sigmoid(np.where(words.counts > 0, logit, np.minimum(logit, -3)))
 
 
@@ -141,8 +148,8 @@ def _vocabulary(hashes: list[np.ndarray], bounds: list[np.ndarray], labels: np.n
     return known[keep], odds[keep]
 
 
-def fit(sample: pa.Table, seed: int = 11) -> Model:
-    """A model of (text, label) rows."""
+def fit(sample: pa.Table, seed: int = 11, kept_back: float = KEPT_BACK) -> Model:
+    """A model of (text, label) rows. Its thresholds come from the part of them that is kept from training, if any."""
     labels = np.asarray(sample["label"], np.float64)
     empty = np.zeros(1, np.int64), np.zeros(1, U64)
     if not 0 < labels.sum() < len(labels):
@@ -151,7 +158,7 @@ def fit(sample: pa.Table, seed: int = 11) -> Model:
     starts = np.cumsum(np.concatenate([[0], *(p.counts for p in parts)]))
     a, b = (np.concatenate(x) for x in zip(*map(_parsed, parts), strict=True))
     del parts
-    train = int(len(labels) * (1 - KEPT_BACK))
+    train = int(len(labels) * (1 - kept_back))
     upto, bounds = starts[train], starts[: train + 1]
     known, odds = _vocabulary([a[:upto], b[:upto]], [bounds, bounds], labels[:train])
 
@@ -187,6 +194,8 @@ def fit(sample: pa.Table, seed: int = 11) -> Model:
             own = np.concatenate([[0], np.cumsum(n_words)])
             place = np.repeat(starts[docs] - own[:-1], n_words) + np.arange(own[-1])
             adam.step(_gradients(model, ra[place], rb[place], own, labels[docs]))
+    if train == len(labels):
+        return model
     left = range(train, len(labels), BATCH)
     most = np.concatenate([model.pooled(ra[starts[k] : starts[e]], rb[starts[k] : starts[e]], starts[k : e + 1] - starts[k])[0] for k in left for e in [min(k + BATCH, len(labels))]])
     logits, kept = model.logits(most), labels[train:]
@@ -229,9 +238,55 @@ def _gradients(model: Model, a: np.ndarray, b: np.ndarray, bounds: np.ndarray, l
     return g
 
 
+def _thresholds(counts: np.ndarray) -> np.ndarray:
+    """From rows counted by language, label and bin: the logit of each language at which the F1 of label 1 is largest."""
+
+    def best(zeros: np.ndarray, ones: np.ndarray) -> float:
+        if not ones.sum() or not zeros.sum():
+            return 0.0
+        hit, told = np.cumsum(ones[::-1])[::-1], np.cumsum((zeros + ones)[::-1])[::-1]
+        f1 = 2 * hit / (told + ones.sum())
+        first = int(np.argmax(f1))
+        same = np.flatnonzero(f1[first:] != f1[first])
+        last = first + (int(same[0]) if len(same) else len(f1) - first) - 1  # the middle of the bins that tell alike
+        return (first + last) / 2 / BINS - EDGE
+
+    overall = best(*counts.sum(0))
+    return np.array([best(*own) if own.sum(1).min() >= POSITIVES else overall for own in counts])
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id: str, text: str) -> Model:
+    """A model of a sample, with thresholds from all labelled rows that never train."""
+    part = F.pmod(F.xxhash64(F.col(id).cast("string"), F.lit("calibrate")), F.lit(round(1 / KEPT_BACK)))
+    model = fit(labelled_sample(docs, labels, label, learn & (part != 0), id, text), kept_back=0)
+    if model.constant is not None:
+        return model
+    known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).where(learn & (part == 0))
+    known = known.groupBy(F.col(id).alias("_id")).agg(F.max(label).cast("int").alias("label"))
+    rows = bounded_batches(docs).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.join(small(materialize(known, "calibrate")), F.col("id") == F.col("_id")).select("text", "label")
+    shared, size = docs.sparkSession.sparkContext.broadcast(model), 2 * EDGE * BINS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(LANGUAGES) + 1) * 2 * size, np.int64)
+        for batch in portions(batches):
+            logit, language = shared.value.judged(words_of(batch, lower=True, between=NOT_ALNUM))
+            at = np.clip((logit + EDGE) * BINS, 0, size - 1).astype(np.int64)
+            one = np.asarray(batch.column("label")) == 1
+            np.add.at(total, (language * 2 + one) * size + at, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    cells = rows.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(LANGUAGES) + 1) * 2 * size, np.int64)
+    counts[np.asarray(cells["cell"])] = np.asarray(cells["n"])
+    model.shift = _thresholds(counts.reshape(len(LANGUAGES) + 1, 2, size))
+    return model
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, learn=None, label: str = "toxic", id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: id, score, predicted. `learn` is the condition on rows of `labels` to learn from."""
-    model = fit(labelled_sample(docs, labels, label, F.lit(True) if learn is None else learn, id, text))
+    model = _fitted(docs, labels, label, F.lit(True) if learn is None else learn, id, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +301,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn=None, label: str = "toxic
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that are not predicted toxic, with all their columns; a filter as they are read."""
-    model = fit(labelled_sample(docs, labels, label, F.lit(True), id, text))
+    model = _fitted(docs, labels, label, F.lit(True), id, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

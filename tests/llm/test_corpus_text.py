@@ -279,3 +279,37 @@ def test_fingerprints_equal_a_plain_version(spark):
         assert r.fingerprint == f"{own[k][0]}:" + "".join(f"{h:016x}" for h in sorted(own[k][1]))
         assert r.edited_fingerprint == f"{other[k][0]}:" + "".join(f"{h:016x}" for h in sorted(other[k][1]))
         assert r.near_edited == pytest.approx(like(own[k], other[k])) and r.near_next == pytest.approx(like(own[k], own[(k + 1) % len(texts)]))
+
+
+def test_thresholds_from_counts():
+    rng = np.random.default_rng(3)
+    logits, language = rng.normal(0, 3, 4000), rng.integers(0, 3, 4000)
+    labels = (logits + rng.normal(0, 1, 4000) > language).astype(int)
+    size = 2 * t.EDGE * t.BINS
+    counts = np.zeros((len(t.LANGUAGES) + 1, 2, size), np.int64)
+    np.add.at(counts, (language, labels, ((logits + t.EDGE) * t.BINS).astype(int)), 1)
+    counts[3, 1, 700] = 2  # too few for a threshold of its own
+    found = t._thresholds(counts)
+    for k in range(3):
+        own, y = logits[language == k], labels[language == k]
+        f1 = lambda x: 2 * y[own >= x].sum() / ((own >= x).sum() + y.sum())
+        assert f1(found[k]) >= max(map(f1, own)) - 0.01
+    assert found[3] == found[4] and found[0] < found[1] < found[2]
+
+
+def test_pooling_equals_a_plain_forward_pass():
+    rng = random.Random(5)
+    rows = [" ".join(rng.choice(["bad", "good", "so", "very", "x", "yes", "no"]) for _ in range(rng.randrange(1, 30))) for _ in range(80)]
+    model = t.fit(pa.table({"text": rows, "label": [float("bad" in r) for r in rows]}))
+    for text in [*rows[:20], "", "bad"]:
+        words = Words(*text_buffers(pa.array([text])), lower=True, between=NOT_ALNUM)
+        a, b = map(model.rows, t._parsed(words))
+        w = model.weights
+        x = [w["embed"][i] + w["embed"][j] for i, j in zip(a, b)]
+        active = []
+        for k, width in enumerate(t.WIDTHS):
+            for f in range(t.FILTERS):
+                answers = [sum(float(x[at + j] @ w[f"filter{k}_{j}"][:, f]) for j in range(width) if at + j < len(x)) for at in range(len(x))]
+                active.append(max(0.0, max(answers, default=0.0) + float(w["offset"][k * t.FILTERS + f])))
+        logit = float(np.dot(active, w["out"]) + w["bias"][0])
+        assert model.judged(words)[0][0] == pytest.approx(logit, abs=1e-4)
