@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 #: Bytes of texts that a Python worker is handed at a time; a longer text comes alone.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 __all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "WORD", "bounded_batches", "documents", "forget", "fresh", "materialize", "n_words", "small"]
 
