@@ -45,3 +45,14 @@ def folders_with(spark: SparkSession, root: str, batch: DataFrame, key: list[str
     if set(state.folders(EMAILS.name)) - known:
         return None
     return {r.folder for r in found if r.hit}
+
+
+def stored_keys(spark: SparkSession, root: str, batch: DataFrame, key: list[str], state: State | None = None) -> DataFrame:
+    """The mails' partition columns and key, of the stored mails that have a key of the batch.
+
+    Filters say yes by chance too, the more so the more keys are asked for; so the keys of the folders that they name are compared.
+    """
+    state = state or current(spark, root)
+    hit = folders_with(spark, root, batch, key, state)
+    rows = tables.read(spark, root, EMAILS, state, folders=hit).select(*EMAILS.partition_by, *key)
+    return rows.join(batch.select(*key).distinct(), key, "left_semi")

@@ -339,6 +339,16 @@ def test_filters_never_miss_a_key(spark, tmp_path):
     assert K.folders_with(spark, root, unknown.limit(0), I.KEY) == set()
 
 
+def test_folders_of_keys_are_exact_however_full_the_filters(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from bankmail.plans import keys as K
+    from compare import TESTDATA, difference
+
+    monkeypatch.setattr(K, "PLACES", 1 << 10)
+    name, sf = "j6_keys_of_known_folders", f"{TESTDATA}/sf0.001"
+    assert difference(entry.queries()[name](spark, sf), entry.oracle_sql()[name], sf) is None
+
+
 def test_stream_sums_are_repeatable_and_bounded(spark, tmp_path):
     from bankmail.streaming import trend as D
 
