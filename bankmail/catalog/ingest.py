@@ -12,6 +12,7 @@ from bankmail.functions import text as X
 from bankmail.operators import ingest as I
 from bankmail.operators.joins import first_per_key
 from bankmail.plans import sync as Y
+from bankmail.session import materialize
 from bankmail.sources import mail as M
 from bankmail.sources import tables
 from bankmail.sources.derived import base, ctes, view
@@ -52,7 +53,9 @@ def stored(spark, sf):
 
 
 def inserted(spark, sf):
-    return I.insert_new(records(spark, sf), stored(spark, sf))
+    """The mail that is not stored yet. Records are made once and written; the check for repeated and stored keys reads them there."""
+    made = materialize(records(spark, sf), "records")
+    return I.insert_new(made, made.filter(F.col("received_date") < X.ntz(HISTORY_END)))
 
 
 @check("s1_landed_mail_of_folders", f"{ctes('emails')} select id, folder, subject from emails where folder in ('INBOX', 'Bulk Mail')")

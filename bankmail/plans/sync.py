@@ -111,7 +111,7 @@ class SyncResult:
 
 def sync(
     mail: DataFrame,
-    stored: DataFrame,
+    stored: DataFrame | Callable[[DataFrame], DataFrame],
     as_of,
     marks: DataFrame | None = None,
     read_images: Callable[[DataFrame], DataFrame] | None = None,
@@ -124,10 +124,11 @@ def sync(
 ) -> SyncResult:
     """One run over the mail of any number of accounts.
 
+    `stored` are the mails that are there, or a function that reads those which may have a key of the records it is given.
     `read_images` turns (email_id, pos, url) of the flagged mails into (email_id, pos, text).
     With `marks` (account, folder, latest) only mail from the mark's day on is read. `stage`
-    writes the new mails, the image texts and the replies once to the shared folder, so the several
-    outputs do not repeat the scan, the duplicate check or a costly function; `release` removes these folders.
+    writes the records, the new mails, the image texts and the replies once to the shared folder, so the duplicate check and the
+    several outputs do not repeat the scan, the making of texts or a costly function; `release` removes these folders.
     `caps` cuts texts; whole ones are kept without it. `models` are asked where the plan needs them, each request once;
     their replies are kept in the tables under `root`.
     """
@@ -135,7 +136,6 @@ def sync(
     if marks is not None:
         mail = I.newer_than_mark(mail, marks, as_of)
     scanned = I.with_bank(mail)
-    inserted = I.insert_new(I.email_records(scanned, as_of, caps.body, key=key), stored, key)
     folders = []
 
     def staged(df: DataFrame, purpose: str) -> DataFrame:
@@ -144,7 +144,8 @@ def sync(
         folders.append(work_dir(df.sparkSession, purpose))
         return materialize(df, purpose, folders[-1])
 
-    inserted = staged(inserted, "new-mails")
+    records = staged(I.email_records(scanned, as_of, caps.body, key=key), "records")
+    inserted = staged(I.insert_new(records, stored(records) if callable(stored) else stored, key), "new-mails")
     ocr = None
     if read_images:
         texts = staged(read_images(image_list(inserted.filter("vision_needed"))), "image-texts")
@@ -162,7 +163,7 @@ def store(spark: SparkSession, result: SyncResult, root: str, batch: str, as_of)
     """Add a run to the tables, the marks and the search index; the same `batch` replaces what it stored before.
 
     All become visible in one step, or nothing does. `result` must not have counted the batch's own rows as
-    stored; `sync_batch` sees to that.
+    stored; `sync_batch` sees to that. What is kept of the mails and transactions is made from their rows as written.
     """
     mails = result.emails().withColumn("synced_at", ntz(as_of).cast("timestamp"))
     with Commit(spark, root, batch) as c:
@@ -170,9 +171,10 @@ def store(spark: SparkSession, result: SyncResult, root: str, batch: str, as_of)
         c.add(result.processed.transactions, TRANSACTIONS)
         c.add(result.processed.offers, OFFERS)
         c.add(mails, EMAILS)
+        mails = c.written(EMAILS)
         add_filters(c, mails, I.KEY)
         c.add(I.high_water_mark(mails), MARKS)
-        c.add(S.day_sums(result.processed.transactions, mails), DAY_SUMS)
+        c.add(S.day_sums(c.written(TRANSACTIONS), mails), DAY_SUMS)
         SearchIndex(spark, root).add(c, mails)
 
 
@@ -249,13 +251,12 @@ def sync_batch(spark: SparkSession, mail: DataFrame, root: str, batch: str, as_o
     """
     state = current(spark, root)
     key = options.get("key") or I.KEY
-    hit = None
-    if key == I.KEY and state.folders(EMAILS.name):
-        known = I.email_keys(I.with_bank(dated(mail, as_of)))
-        hit = folders_with(spark, root, known, key, state)
-    stored = tables.read(spark, root, EMAILS, state, batches=lambda b: b != batch, folders=hit)
-    if history is not None:
-        stored = stored.filter(history)
+
+    def stored(records: DataFrame) -> DataFrame:
+        hit = folders_with(spark, root, records, key, state) if key == I.KEY and state.folders(EMAILS.name) else None
+        rows = tables.read(spark, root, EMAILS, state, batches=lambda b: b != batch, folders=hit)
+        return rows if history is None else rows.filter(history)
+
     result = sync(mail, stored, as_of, stage=True, root=root, **options)
     store(spark, result, root, batch, as_of)
     result.release()

@@ -176,3 +176,15 @@ def test_a_cluster_needs_a_shared_folder(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_dir(Elsewhere, "x")
     assert "bankmail" in work_dir(spark, "x")
+
+
+def test_records_are_made_once_and_compared_as_written(spark):
+    """Neither the duplicate check nor the choice of stored folders makes the texts again."""
+    from bankmail.catalog import ingest as G
+    from compare import TESTDATA
+
+    made = lambda df: "EvalPython" in df._jdf.queryExecution().executedPlan().toString()
+    sf, seen = f"{TESTDATA}/sf0.001", []
+    assert made(G.records(spark, sf)) and not made(G.inserted(spark, sf))
+    Y.sync(raw(spark), lambda records: seen.append(made(records)) or none_stored(spark), AS_OF, stage=True).release()
+    assert seen == [False]
