@@ -42,19 +42,21 @@ def fold(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits, folded."""
-    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Runs of letters and digits, folded. The pattern names plain letters first, which spares most characters a look-up."""
+    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^a-z0-9\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(docs: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(doc_id, field, pos, token, doc_len); doc_len counts the words of all fields."""
+def postings(docs: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS, with_empty: bool = False) -> DataFrame:
+    """(doc_id, field, pos, token, doc_len); doc_len counts the words of all fields.
+
+    `with_empty` adds the empty word once to every document, in a field without a name.
+    """
     split = docs.select(F.col(id_col).alias("doc_id"), *[words(F.col(f)).alias(f) for f in fields])
     length = sum((F.size(f) for f in fields[1:]), F.size(fields[0]))
-    spread = split.select(
-        "doc_id",
-        length.alias("doc_len"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])).alias("f"),
-    )
+    parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields]
+    if with_empty:
+        parts.append(F.struct(F.lit("").alias("field"), F.array(F.lit("")).alias("words")))
+    spread = split.select("doc_id", length.alias("doc_len"), F.explode(F.array(*parts)).alias("f"))
     return spread.select("doc_id", F.col("f.field").alias("field"), "doc_len", F.posexplode("f.words").alias("pos", "token"))
 
 

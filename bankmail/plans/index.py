@@ -2,7 +2,8 @@
 
 Segments of postings are only ever added. Each row carries the place of its batch in the order of changes; a document that is changed or
 deleted is noted as removed at such a place, and its older rows no longer count. Postings lie in folders by a hash of their word, sorted
-by word within, so a query reads the folders and row groups of its own words.
+by word within, so a query reads the folders and row groups of its own words. The empty word stands once in each document of a
+segment: the documents' lengths are read from its rows as written, so that texts are split once.
 """
 
 from __future__ import annotations
@@ -39,9 +40,11 @@ class SearchIndex:
         """Index new documents in a commit."""
         postings, lengths, _ = self.tables
         seq = F.lit(c.sequence).cast("long").alias("seq")
-        rows = Q.postings(docs, id_col, self.fields)
+        before = len(c.added.get(postings.name, ()))
+        rows = Q.postings(docs, id_col, self.fields, with_empty=True)
         c.add(rows.select("token", "doc_id", "field", "pos", "doc_len", seq, Q.bucket(F.col("token"), self.buckets).alias("bucket")), postings)
-        c.add(Q.doc_lengths(docs, id_col, self.fields).select("doc_id", "doc_len", seq), lengths)
+        empty = c.written(postings, before).filter((F.col("bucket") == Q.bucket(F.lit(""), self.buckets)) & (F.col("token") == ""))
+        c.add(empty.select("doc_id", "doc_len", "seq"), lengths)
 
     def remove(self, c: Commit, ids: DataFrame, id_col: str = "id") -> None:
         """Take documents out in a commit."""
@@ -56,6 +59,8 @@ class SearchIndex:
     def _living(self, table: Table) -> DataFrame:
         state = current(self.spark, self.root)
         rows = tables.read(self.spark, self.root, table, state)
+        if table.name == self.tables[0].name:
+            rows = rows.filter("token <> ''")
         if not state.folders(self.tables[2].name):
             return rows
         gone = tables.read(self.spark, self.root, self.tables[2], state).groupBy(F.col("doc_id").alias("__k")).agg(F.max("seq").alias("__gone"))

@@ -150,7 +150,7 @@ def index_tables(id_type: T.DataType, name: str = "index") -> tuple[Table, Table
             ("doc_len", T.IntegerType(), False), ("seq", T.LongType(), False), ("bucket", T.IntegerType(), False),
         ),
         partition_by=("bucket",),
-        sort_by=("token", "doc_id"),
+        sort_by=("token",),
     )
     lengths = Table(f"{name}_lengths", _struct(("doc_id", id_type, False), ("doc_len", T.IntegerType(), False), ("seq", T.LongType(), False)))
     removed = Table(f"{name}_removed", _struct(("doc_id", id_type, False), ("seq", T.LongType(), False)))

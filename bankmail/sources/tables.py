@@ -57,9 +57,9 @@ class Commit:
         folders = [f"{name}/{c}" for c in commits.children(self.spark, path) if "=" in c] if table.partition_by else [name]
         self.added.setdefault(table.name, []).extend(folders)
 
-    def written(self, table: Table) -> DataFrame:
-        """The rows that this commit has written to a table so far, as they lie there."""
-        return stored(self.spark, self.root, table, self.added.get(table.name, []))
+    def written(self, table: Table, since: int = 0) -> DataFrame:
+        """The rows that this commit has written to a table so far, but for its first `since` folders, as they lie there."""
+        return stored(self.spark, self.root, table, self.added.get(table.name, [])[since:])
 
     def folders_of(self, table: Table) -> DataFrame:
         """(folder, and the table's partition columns) of what this commit has written to a table so far."""

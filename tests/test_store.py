@@ -366,3 +366,21 @@ def test_stream_sums_are_repeatable_and_bounded(spark, tmp_path):
         assert sums[f"2025-06-{day:02d}"] == (sum(n for _, n, k in own if k == "debit"), sum(n for _, n, k in own if k == "credit"), len(own))
     assert tuple(D.counts(spark, root).first()) == (60, 0)
     assert {r.day for r in D.days(spark, root, "2 days").collect()} == {f"2025-06-{d:02d}" for d in range(1, 7)}
+
+
+def test_index_reads_its_documents_once(spark, root):
+    read = spark.sparkContext.accumulator(0)
+
+    def mail(k):
+        read.add(1)
+        return (f"m{k}", "Debit alert", "" if k % 4 else "Rs 5 debited", None)
+
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(range(40), 2).map(mail), "id string, subject string, body_text string, bank_name string")
+    docs = docs.unionByName(spark.createDataFrame([("none", "", None, "-")], docs.schema))
+    index = SearchIndex(spark, root)
+    with Commit(spark, root, "b1") as c:
+        index.add(c, docs)
+    assert read.value == 40
+    assert sorted(r.doc_len for r in index.lengths().collect()) == [0] + 30 * [2] + 10 * [5]
+    assert index.postings().filter("token = ''").isEmpty() and index.postings().count() == 110
+    assert sorted(index.lengths().collect()) == sorted(Q.doc_lengths(docs).collect())
