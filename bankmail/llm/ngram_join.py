@@ -15,7 +15,7 @@ Front parts that still hold frequent shingles belong to large groups of near cop
 held against two members of each shingle's group, those with the fewest rare shingles, and the links found make first components.
 Only then do rare shingles' documents meet, and two of one component never do. Of the pairs within the bound, each document is first
 held against its likeliest partner, then only pairs that the links found so far leave in different components
-are compared. That finds the same components as all pairs would. Equal sets are one node with members.
+are compared, and of those that share frequent shingles only those whose bits (`held`) allow enough shared ones. That finds the same components as all pairs would. Equal sets are one node with members.
 
 What moves: one pass counts shingles (as packed arrays that are counted before and after the shuffle), one pass writes front parts, and one pass reads again the
 texts of documents in pairs within the bound. The frequent shingles are broadcast, MOST_FREQUENT
@@ -46,6 +46,8 @@ SHINGLE = 5
 FREQUENT, MOST_FREQUENT, LARGE = 32, 1_000_000, 256
 #: Shingles that a task gathers before it deals them out; fragments in which a pair's exact overlap is counted.
 GATHER, FRAGMENTS = 1 << 20, 4
+#: Numbers of 64 bits that say which frequent shingles a set holds, by their last bits.
+HELD = 8
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +60,15 @@ def _front(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - -(-3 * n // 4) + 1, 0)
 
 
+def _held(h: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """For each list within the bounds, a bit for the last bits of each hash in it."""
+    slot = h & U64(64 * HELD - 1)
+    bit = U64(1) << (slot & U64(63))
+    out = np.zeros((len(bounds) - 1, HELD), U64)
+    np.bitwise_or.at(out, (np.repeat(np.arange(len(out)), np.diff(bounds)), (slot >> U64(6)).astype(np.int64)), bit)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, HELD, dtype=np.int32)), pa.array(out.ravel().view(np.int64)))
+
+
 def frequent(rows: DataFrame, bits: int) -> np.ndarray:
     """The leading bits + 32 bits of shingle hashes that more than FREQUENT documents have, ascending."""
 
@@ -97,9 +108,10 @@ def frequent(rows: DataFrame, bits: int) -> np.ndarray:
 
 
 def _fronts(rows: DataFrame, often: np.ndarray, bits: int, id_type: str) -> DataFrame:
-    """Written: row, id, n, two hashes of the set, n_hot, and the front part, rare and frequent.
+    """Written: row, id, n, two hashes of the set, n_hot, the front part, rare and frequent, and held.
 
     n_hot is the number of all frequent shingles if the front part has any, and with it all rare ones; else 0.
+    held has bits for all frequent shingles: one that is set here and not there stands for at least one shingle that is here and not there.
     """
     shared = rows.sparkSession.sparkContext.broadcast(often)
 
@@ -125,11 +137,12 @@ def _fronts(rows: DataFrame, often: np.ndarray, bits: int, id_type: str) -> Data
             lists = []
             for part in (front & ~hot, front & hot):
                 lists.append((np.append(0, np.cumsum(part))[bounds].astype(np.int32), h[part].view(np.int64)))
-            n_hot = np.diff(np.append(0, np.cumsum(hot))[bounds]) * (np.diff(lists[1][0]) > 0)
-            columns = [batch.column("row"), batch.column("id"), batch.column("mark"), pa.array(n), *map(pa.array, signs), pa.array(n_hot), *(pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in lists)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "mark", "n", "sign1", "sign2", "n_hot", "rare", "hot"])
+            all_hot = np.append(0, np.cumsum(hot))[bounds]
+            n_hot = np.diff(all_hot) * (np.diff(lists[1][0]) > 0)
+            columns = [batch.column("row"), batch.column("id"), batch.column("mark"), pa.array(n), *map(pa.array, signs), pa.array(n_hot), *(pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in lists), _held(h[hot], all_hot)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "mark", "n", "sign1", "sign2", "n_hot", "rare", "hot", "held"])
 
-    schema = f"row long, id {id_type}, mark long, n long, sign1 long, sign2 long, n_hot long, rare array<long>, hot array<long>"
+    schema = f"row long, id {id_type}, mark long, n long, sign1 long, sign2 long, n_hot long, rare array<long>, hot array<long>, held array<long>"
     return materialize(rows.mapInArrow(fronts, schema), "fronts")
 
 
@@ -256,17 +269,31 @@ def _likely(met: DataFrame, many: DataFrame) -> DataFrame:
     return materialize(sums.where(7 * bound >= 3 * total).select("x", "y", "n_x", "n_y", (bound / total).alias("share")), "likely")
 
 
-def _crossing(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components that share a frequent shingle, one of the first of the smaller set, and are near enough in size."""
+def _shared(hot_x: str, hot_y: str, held_x: str, held_y: str) -> Column:
+    """The most frequent shingles that two sets can share: all of one but those that the bits show to be missing in the other."""
+
+    def most(own: str, one: str, other: str) -> Column:
+        missing = sum(F.bit_count(F.col(one)[k].bitwiseAND(F.bitwise_not(F.col(other)[k]))) for k in range(HELD))
+        return F.col(own) - F.coalesce(missing, F.lit(0))
+
+    return F.least(most(hot_x, held_x, held_y), most(hot_y, held_y, held_x))
+
+
+def _crossing(hot: DataFrame, roots: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of different components that share a frequent shingle, one of the first of the smaller set, and can share enough of them.
+
+    `held` has the bits of each node's frequent shingles; pairs that they show to be too different are not made.
+    """
     apart = hot.join(roots, "node", "left").select("h", "node", "n", "n_hot", F.coalesce("root", "node").alias("root"), "first")
     apart = materialize(apart, "apart")
     mixed = apart.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("first").alias("first"))
-    apart = apart.join(materialize(mixed.where("lo < hi and first").select("h"), "mixed"), "h", "left_semi")
+    apart = apart.join(materialize(mixed.where("lo < hi and first").select("h"), "mixed"), "h", "left_semi").join(held, "node", "left")
     # sizes at most 4 / 3 apart lie in one band or the next
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("band")
-    one = apart.where("first").select("h", "node", "n", "n_hot", "root", F.explode(F.array(band, band + 1))).toDF("h", "s", "n_s", "hot_s", "root_s", "band")
-    other = apart.select("h", "node", "n", "n_hot", "root", band).toDF("h", "l", "n_l", "hot_l", "root_l", "band")
+    one = apart.where("first").select("h", "node", "n", "n_hot", "root", "held", F.explode(F.array(band, band + 1))).toDF("h", "s", "n_s", "hot_s", "root_s", "held_s", "band")
+    other = apart.select("h", "node", "n", "n_hot", "root", "held", band).toDF("h", "l", "n_l", "hot_l", "root_l", "held_l", "band")
     met = one.join(other, ["h", "band"]).where("root_s <> root_l and (n_s < n_l or n_s = n_l and s < l)").where(_enough("n_s", "n_l", "hot_s", "hot_l"))
+    met = met.where(7 * _shared("hot_s", "hot_l", "held_s", "held_l") >= 3 * (F.col("n_s") + F.col("n_l")))
     return _ordered(met, "s", "l", "n_s", "n_l")
 
 
@@ -281,7 +308,7 @@ def _components(docs: DataFrame, id: str, text: str) -> DataFrame:
     members = materialize(fronts.select("row", "id", "mark", "n", "sign1", "sign2").join(classes, ["sign1", "sign2", "n"], "left").select("row", "id", "mark", "n", F.coalesce("node", "row").alias("node")), "members")
     copies = small(materialize(members.where("row <> node").select("row"), "copies"))
     size = (F.shiftleft("n", 32) + F.col("n_hot")).alias("size")
-    nodes = fronts.where("n > 0").join(copies, "row", "left_anti").select("row", "id", "n", "n_hot", "sign1", "sign2", size, "rare", "hot")
+    nodes = fronts.where("n > 0").join(copies, "row", "left_anti").select("row", "id", "n", "n_hot", "sign1", "sign2", size, "rare", "hot", "held")
 
     # a pair shares one of the first n - ceil(6 n / 7) + 1 shingles of its smaller set; rare ones come before these
     first = F.col("at") < F.col("n") - F.ceil(6 * F.col("n") / 7) + 1 - (F.col("n") - F.col("n_hot"))
@@ -306,7 +333,7 @@ def _components(docs: DataFrame, id: str, text: str) -> DataFrame:
     # the other pairs, and those of frequent shingles' groups, as far as they are still apart
     root = lambda node: roots.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
     others = likely.join(root("x"), "x", "left").join(root("y"), "y", "left").where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y"))
-    pairs = others.select("x", "y", "n_x", "n_y").union(_crossing(hot.unionByName(more), roots)).distinct()
+    pairs = others.select("x", "y", "n_x", "n_y").union(_crossing(hot.unionByName(more), roots, nodes.select(F.col("row").alias("node"), "held"))).distinct()
     pairs = materialize(pairs.join(tried.union(best), ["x", "y"], "left_anti").select("x", "y", "n_x", "n_y"), "crossing")
     if not pairs.isEmpty():
         roots = materialize(components(links.union(_links(docs, id, text, nodes, pairs))), "roots")

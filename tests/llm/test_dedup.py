@@ -168,6 +168,19 @@ def test_pairs_of_one_component_do_not_meet(spark, monkeypatch):
     assert met[0].where("y is not null").count() < 300
 
 
+def test_pairs_that_hold_too_few_common_shingles_are_not_made(spark):
+    """Forty sets share one frequent shingle of ten; the last two share nine."""
+    sets = [[0, *range(9 * k + 1, 9 * k + 10)] for k in range(40)]
+    sets[39] = [*sets[38][:9], 999]
+    lists = [mix(np.array(s, np.uint64)) for s in sets]
+    bounds = np.arange(0, 401, 10)
+    held = spark.createDataFrame(list(enumerate(ngram_join._held(np.concatenate(lists), bounds).to_pylist())), "node long, held array<long>")
+    hot = [(int(h), k, 10, 10, True) for k, s in enumerate(lists) for h in s.view(np.int64)]
+    hot = spark.createDataFrame(hot, "h long, node long, n long, n_hot long, first boolean")
+    made = ngram_join._crossing(hot, spark.createDataFrame([], "node long, root long"), held).distinct().collect()
+    assert (38, 39, 10, 10) in made and len(made) < 5  # 780 pairs share the one
+
+
 def test_one_of_each(odd, rows):
     left = one_of_each(odd)
     expected = Counter(d for d, _, c in join_plain(rows).elements() if d is None and c is None or d == c)
