@@ -145,18 +145,15 @@ def _(spark, sf):
         return urls.select("email_id", "pos", F.concat(F.lit("BANNER "), "url").alias("text"))
 
     out = Y.sync(view(spark, sf, "raw_mail", costly=True), G.stored(spark, sf), G.AS_OF, read_images=read_images, stage=True, caps=PARITY)
-    summary = out.summary(by=["account"])
     one = F.count(F.lit(1)).alias("value")
-
-    def measure(df, name, value):
-        return df.select(name.alias("measure"), value.cast("bigint").alias("value"))
-
+    # one summary for the three measures, so that the landed mail is read for them once
+    named = {"flagged": "vision_flagged", "skipped": "emails_skipped"}
+    measures = [F.struct(F.concat(F.lit("fetched "), "account").alias("measure"), F.col("emails_fetched").alias("value"))]
+    measures += [F.struct(F.lit(name).alias("measure"), F.col(c).alias("value")) for name, c in named.items()]
+    summary = out.summary(by=["account"]).select(F.inline(F.array(*measures))).groupBy("measure").agg(F.sum("value").alias("value"))
     labels = out.processed.classified.groupBy(F.concat(F.lit("label "), "label").alias("measure")).agg(one)
     return (
-        measure(summary, F.concat(F.lit("fetched "), "account"), F.col("emails_fetched"))
-        .unionByName(measure(summary.agg(F.sum("vision_flagged").alias("n")), F.lit("flagged"), F.col("n")))
-        .unionByName(measure(summary.agg(F.sum("emails_skipped").alias("n")), F.lit("skipped"), F.col("n")))
-        .unionByName(labels)
+        summary.unionByName(labels)
         .unionByName(out.processed.transactions.agg(one).select(F.lit("transactions").alias("measure"), "value"))
         .unionByName(out.processed.offers.agg(one).select(F.lit("offers").alias("measure"), "value"))
     )

@@ -87,7 +87,7 @@ def insert_new(
     Rows with a NULL in a required column are left out, the first of equal keys
     wins, and keys already stored are left out. Only the key columns of the stored
     table are read; they are first reduced to the batch's own keys, so a small
-    batch is broadcast and the stored table is not shuffled.
+    batch is broadcast and the stored table is not shuffled. Both are settled on keys alone, before rows are looked at.
     """
     key = KEY if key is None else key
     order = ["received_date", "id"] if order is None else order
@@ -98,9 +98,7 @@ def insert_new(
     # rows equal in `order` are told apart by their content, so a rerun keeps the same one
     ties = F.xxhash64(*batch.columns)
     valid = batch.filter(complete)
-    fresh = first_per_key(valid, key, [*[F.col(c) for c in order], ties])
-    seen = stored.select(*key).join(valid.select(*key).distinct(), key, "left_semi")
-    return fresh.join(seen, key, "left_anti")
+    return first_per_key(valid, key, [*[F.col(c) for c in order], ties], without=stored)
 
 
 def rejected(batch: DataFrame, required: list[str] | None = None) -> DataFrame:

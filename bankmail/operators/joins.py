@@ -41,20 +41,29 @@ def bounded_lookup(top: DataFrame, wide: DataFrame, top_key: str, wide_key: str,
     return top.join(few(found), F.col(top_key) == F.col("__w"), "left").drop("__w")
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the smallest by `order`.
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column], without: DataFrame | None = None) -> DataFrame:
+    """One row per key: the smallest by `order`. Keys that `without` holds give none; a key with a NULL is never held.
 
     Keys are counted first, alone. Rows whose key stands once pass straight through and never shuffle; only
     rows of repeated keys are compared, by an aggregate that keeps one row per key in each task before the shuffle, so
     a key with a third of all rows sends one row per task. A key of many repeats is one row of the counted side, which Spark
-    broadcasts while it is small.
+    broadcasts while it is small. Repeated keys and keys of `without` are settled together, so that where rows do shuffle they do so
+    once. Joins compare a hash of the key first: keys that begin alike would make the sorts compare whole texts.
     """
-    same = F.lit(True)
+    hashed = F.xxhash64(*keys).alias("__h")
+    named = [hashed, *[F.col(k).alias(f"__{k}") for k in keys]]
+    rows = df.select("*", hashed.alias("__own"))
+    same = rows["__own"] == F.col("__h")
     for k in keys:
-        same = same & df[k].eqNullSafe(F.col(f"__{k}"))
-    again = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+        same = same & rows[k].eqNullSafe(F.col(f"__{k}"))
+    names = ["__h", *[f"__{k}" for k in keys]]
+    counted = df.groupBy(*named).agg(F.count(F.lit(1)).alias("__n"))
+    again = settled = counted.filter("__n > 1").drop("__n")
     row = F.struct(*[F.col(c) for c in df.columns])
-    best = df.join(again, same, "left_semi").groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
+    best = rows.join(again, same, "left_semi").groupBy(*named).agg(
         F.min_by(row, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("r")
     )
-    return df.join(again, same, "left_anti").unionByName(best.select("r.*"))
+    if without is not None:
+        held = without.dropna(subset=keys).select(*named).join(counted.select(*names), names, "left_semi")
+        settled, best = again.unionByName(held), best.join(held, names, "left_anti")
+    return rows.join(settled, same, "left_anti").drop("__own").unionByName(best.select("r.*"))

@@ -316,11 +316,16 @@ def process(
     strict: bool = False,
     validate: bool = True,
     caps: Caps = WHOLE,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Processed:
-    """Label and read a batch; with `new_ids` (column `id`) only those mails. `caps` cuts what is kept."""
+    """Label and read a batch; with `new_ids` (column `id`) only those mails. `caps` cuts what is kept.
+
+    `stage` may write the labelled mails and read them back, so that transactions and offers do not label them again.
+    """
     if new_ids is not None:
         emails = emails.join(new_ids.select("id"), "id", "left_semi")
     done = classify(emails, label_replies, validate)
+    done = stage(done) if stage else done
     return Processed(done, transactions(done, txn_replies, strict, max_raw=caps.raw), offers(done, offer_replies, as_of, caps))
 
 

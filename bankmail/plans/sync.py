@@ -127,8 +127,8 @@ def sync(
     `stored` are the mails that are there, or a function that reads those which may have a key of the records it is given.
     `read_images` turns (email_id, pos, url) of the flagged mails into (email_id, pos, text).
     With `marks` (account, folder, latest) only mail from the mark's day on is read. `stage`
-    writes the records, the new mails, the image texts and the replies once to the shared folder, so the duplicate check and the
-    several outputs do not repeat the scan, the making of texts or a costly function; `release` removes these folders.
+    writes the records, the new mails, the image texts, the replies and the labelled mails once to the shared folder, so the duplicate
+    check and the several outputs do not repeat the scan, the making of texts, the labels or a costly function; `release` removes these folders.
     `caps` cuts texts; whole ones are kept without it. `models` are asked where the plan needs them, each request once;
     their replies are kept in the tables under `root`.
     """
@@ -155,7 +155,7 @@ def sync(
         done = process_with(mail.sparkSession, root, mails, models, as_of=as_of, caps=caps, **replies)
         return SyncResult(scanned, inserted, ocr, done, tuple(folders))
     replies = {k: staged(v, "replies") if isinstance(v, DataFrame) and k.endswith("_replies") else v for k, v in replies.items()}
-    done = process(ocr.emails if ocr else inserted, as_of=as_of, caps=caps, **replies)
+    done = process(ocr.emails if ocr else inserted, as_of=as_of, caps=caps, stage=lambda df: staged(df, "labelled"), **replies)
     return SyncResult(scanned, inserted, ocr, done, tuple(folders))
 
 

@@ -52,6 +52,14 @@ def test_any_split_gives_the_same_keys(spark, cut):
     assert sorted(k[:3] for k in keys(a.unionByName(b))) == sorted(k[:3] for k in keys(whole))
 
 
+def test_a_key_with_a_null_is_compared_but_never_stored(spark):
+    rows = [("a", None, 2, "p"), ("a", None, 1, "q"), ("b", "x", 1, "r"), ("b", "x", 0, "s"), ("c", "x", 0, "t"), ("d", "y", 0, "u"), ("d", "y", 0, "u")]
+    batch = spark.createDataFrame(rows, "account string, folder string, at int, body_text string")
+    stored = spark.createDataFrame([("a", None), ("b", "x"), ("b", "x"), ("e", "x")], "account string, folder string")
+    new = I.insert_new(batch, stored, key=["account", "folder"], order=["at"], required=["account"])
+    assert sorted(map(tuple, new.collect()), key=repr) == [("a", None, 1, "q"), ("c", "x", 0, "t"), ("d", "y", 0, "u")]
+
+
 def test_key_columns_are_a_choice(spark):
     batch = records(raw(spark))
     by_uid = I.insert_new(batch, none_stored(spark), key=["message_id"])

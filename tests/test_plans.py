@@ -5,10 +5,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from bankmail.operators import browse as W
+from bankmail.operators import ingest as I
 from bankmail.operators import spending as S
 from bankmail.operators.joins import left_join
 from bankmail.plans import reports as P
+from bankmail.plans import sync as Y
 from bankmail.sources.derived import base, view
 from compare import TESTDATA
 
@@ -24,6 +27,27 @@ def final_plan(df) -> str:
     return plan(df)
 
 
+def shuffled(df) -> list[list[str]]:
+    """Column names of every shuffle of the final plan; one that is read again counts once."""
+    df.collect()
+    found = []
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            found.append([node.output().apply(i).name() for i in range(node.output().size())])
+        if kind == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            walk(node.plan())
+        else:
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
 @pytest.fixture
 def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -94,3 +118,29 @@ def test_offer_lookup_never_shuffles_the_mails(spark, no_broadcast):
 def test_report_scans_the_transactions_once_for_all_groups(spark):
     report = P.spending_report(view(spark, SF, "transactions"), view(spark, SF, "emails"))
     assert final_plan(report).count("ReusedExchange") >= 3
+
+
+def test_new_rows_shuffle_once_however_many_keys_are_stored(spark, no_broadcast, tmp_path):
+    rows = spark.range(600).select(
+        F.lit("a").alias("account"), F.lit("f").alias("folder"), (F.col("id") % 500).cast("string").alias("message_id"), F.col("id").alias("received_date"),
+        F.col("id").cast("string").alias("id"), F.repeat(F.lit("x"), 50).alias("body_text"),
+    )
+    rows.write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    new = I.insert_new(batch, batch.filter("message_id < '3'").select(*I.KEY))
+    assert sum("body_text" in columns for columns in shuffled(new)) == 1
+    want = sorted(k for k in range(500) if str(k) >= "3")
+    assert sorted(int(r.message_id) for r in new.collect()) == want and all(r.received_date == int(r.message_id) for r in new.collect())
+
+
+def test_the_outputs_of_a_sync_label_its_mails_once(spark):
+    mail = view(spark, SF, "raw_mail")
+    none = spark.createDataFrame([], "account string, folder string, message_id string")
+    out = Y.sync(mail, none, "2001-01-01 00:00:00", stage=True)
+    for rows in (out.processed.classified, out.processed.transactions, out.processed.offers):
+        assert all("/labelled-" in f for f in rows.inputFiles()) and rows.count() > 0
+    out.release()
+
+
+def test_whole_sync_reads_the_landed_mail_once_for_its_counts(spark):
+    assert plan(entry.queries()["c2_whole_sync"](spark, SF)).count("orders.parquet") == 1
