@@ -46,18 +46,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^a-z0-9\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(docs: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS, with_empty: bool = False) -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS, with_empty: bool = False, with_distinct: bool = False) -> DataFrame:
     """(doc_id, field, pos, token, doc_len); doc_len counts the words of all fields.
 
-    `with_empty` adds the empty word once to every document, in a field without a name.
+    `with_empty` adds the empty word once to every document, in a field without a name. `with_distinct` adds `field_words`, the
+    number of different words of the field: known where a text is split, it spares who asks for it a shuffle of all words.
     """
     split = docs.select(F.col(id_col).alias("doc_id"), *[words(F.col(f)).alias(f) for f in fields])
     length = sum((F.size(f) for f in fields[1:]), F.size(fields[0]))
-    parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields]
+    # counted here, once a text: beside `posexplode` it would be counted again for every word
+    part = lambda name, words: F.struct(
+        F.lit(name).alias("field"), words.alias("words"), *([F.size(F.array_distinct(words)).alias("distinct")] if with_distinct else [])
+    )
+    parts = [part(f, F.col(f)) for f in fields]
     if with_empty:
-        parts.append(F.struct(F.lit("").alias("field"), F.array(F.lit("")).alias("words")))
+        parts.append(part("", F.array(F.lit(""))))
     spread = split.select("doc_id", length.alias("doc_len"), F.explode(F.array(*parts)).alias("f"))
-    return spread.select("doc_id", F.col("f.field").alias("field"), "doc_len", F.posexplode("f.words").alias("pos", "token"))
+    distinct = [F.col("f.distinct").alias("field_words")] if with_distinct else []
+    return spread.select("doc_id", F.col("f.field").alias("field"), "doc_len", *distinct, F.posexplode("f.words").alias("pos", "token"))
 
 
 def doc_lengths(docs: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -87,6 +93,18 @@ def reindexed(rows: DataFrame, changed: DataFrame, docs: DataFrame, id_col: str
     return kept.unionByName(postings(now, id_col, fields))
 
 
+def reindexed_from(before: DataFrame, changed: DataFrame, docs: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS, with_distinct: bool = False) -> DataFrame:
+    """`reindexed` where no postings are stored and `before` is the table before the change.
+
+    Which documents count is settled before any is split: a changed one is not split for nothing, and no join meets a row per word.
+    """
+    ids = changed.select(F.col(id_col).alias("__k")).distinct()
+    same = F.col(id_col) == F.col("__k")
+    columns = [id_col, *fields]
+    rows = before.select(*columns).join(ids, same, "left_anti").unionByName(docs.select(*columns).join(ids, same, "left_semi"))
+    return postings(rows, id_col, fields, with_distinct=with_distinct)
+
+
 def _tokens(text: str) -> list[str]:
     """Words of a query argument, folded as the documents are."""
     folded = "".join(

@@ -144,3 +144,8 @@ def test_the_outputs_of_a_sync_label_its_mails_once(spark):
 
 def test_whole_sync_reads_the_landed_mail_once_for_its_counts(spark):
     assert plan(entry.queries()["c2_whole_sync"](spark, SF)).count("orders.parquet") == 1
+
+
+def test_reindexing_documents_shuffles_no_words(spark, no_broadcast):
+    found = shuffled(entry.queries()["s17_reindexed_documents"](spark, SF))
+    assert found and not any({"token", "pos"} & set(columns) for columns in found)

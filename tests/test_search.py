@@ -104,3 +104,13 @@ def test_offer_mails(mails):
     assert [r.id for r in Q.search_emails(labelled, found).collect()] == [2]
     hits = Q.search(Q.postings(mails), Q.doc_lengths(mails), all=["debit"])
     assert sorted(r.id for r in Q.search_emails(mails, hits).collect()) == [1, 2]
+
+
+def test_reindexing_from_the_documents_is_reindexing_their_postings(spark, mails):
+    after = mails.filter("id <> 3").withColumn("body_text", F.when(F.col("id") == 2, "now now then").otherwise(F.col("body_text")))
+    changed = spark.createDataFrame([(2,), (3,), (3,), (9,)], "id long")
+    rows = Q.reindexed_from(mails, changed, after, with_distinct=True)
+    want = Q.reindexed(Q.postings(mails), changed, after)
+    assert sorted(map(tuple, rows.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    counted = rows.groupBy("doc_id", "field").agg(F.count_distinct("token").alias("n"), F.min("field_words").alias("a"), F.max("field_words").alias("b")).collect()
+    assert len(counted) == 6 and all(r.n == r.a == r.b for r in counted)
