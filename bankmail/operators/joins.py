@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 SPREAD = 1024
 #: Most rows of a limit that are broadcast, with their texts.
 LOOKUP = 1000
+#: Most rows of a narrow table that are broadcast after a count.
+NARROW = 2_000_000
 
 
 def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread_by: str) -> DataFrame:
@@ -41,6 +43,14 @@ def bounded_lookup(top: DataFrame, wide: DataFrame, top_key: str, wide_key: str,
     return top.join(few(found), F.col(top_key) == F.col("__w"), "left").drop("__w")
 
 
+def counted(narrow: DataFrame) -> DataFrame:
+    """A table of a key and few columns, marked for broadcast if it has at most NARROW rows, so that whole texts do not move to meet it.
+
+    Larger ones are joined as Spark sees fit.
+    """
+    return F.broadcast(narrow) if narrow.count() <= NARROW else narrow
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], without: DataFrame | None = None) -> DataFrame:
     """One row per key: the smallest by `order`. Keys that `without` holds give none; a key with a NULL is never held.
 
@@ -57,13 +67,13 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], without:
     for k in keys:
         same = same & rows[k].eqNullSafe(F.col(f"__{k}"))
     names = ["__h", *[f"__{k}" for k in keys]]
-    counted = df.groupBy(*named).agg(F.count(F.lit(1)).alias("__n"))
-    again = settled = counted.filter("__n > 1").drop("__n")
+    tally = df.groupBy(*named).agg(F.count(F.lit(1)).alias("__n"))
+    again = settled = tally.filter("__n > 1").drop("__n")
     row = F.struct(*[F.col(c) for c in df.columns])
     best = rows.join(again, same, "left_semi").groupBy(*named).agg(
         F.min_by(row, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("r")
     )
     if without is not None:
-        held = without.dropna(subset=keys).select(*named).join(counted.select(*names), names, "left_semi")
+        held = without.dropna(subset=keys).select(*named).join(tally.select(*names), names, "left_semi")
         settled, best = again.unionByName(held), best.join(held, names, "left_anti")
     return rows.join(settled, same, "left_anti").drop("__own").unionByName(best.select("r.*"))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from bankmail.operators.joins import counted
+
 FIELDS = ("subject", "body_text", "bank_name")
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Folders that the words of a stored index are dealt to.
@@ -98,7 +100,7 @@ def reindexed_from(before: DataFrame, changed: DataFrame, docs: DataFrame, id_co
 
     Which documents count is settled before any is split: a changed one is not split for nothing, and no join meets a row per word.
     """
-    ids = changed.select(F.col(id_col).alias("__k")).distinct()
+    ids = counted(changed.select(F.col(id_col).alias("__k")).distinct())
     same = F.col(id_col) == F.col("__k")
     columns = [id_col, *fields]
     rows = before.select(*columns).join(ids, same, "left_anti").unionByName(docs.select(*columns).join(ids, same, "left_semi"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from bankmail.operators import browse as W
 from bankmail.operators import ingest as I
+from bankmail.operators import joins
 from bankmail.operators import spending as S
 from bankmail.operators.joins import left_join
 from bankmail.plans import reports as P
@@ -146,6 +147,10 @@ def test_whole_sync_reads_the_landed_mail_once_for_its_counts(spark):
     assert plan(entry.queries()["c2_whole_sync"](spark, SF)).count("orders.parquet") == 1
 
 
-def test_reindexing_documents_shuffles_no_words(spark, no_broadcast):
+@pytest.mark.parametrize("narrow", [joins.NARROW, 0])
+def test_reindexing_documents_shuffles_no_words(spark, no_broadcast, monkeypatch, narrow):
+    monkeypatch.setattr(joins, "NARROW", narrow)
     found = shuffled(entry.queries()["s17_reindexed_documents"](spark, SF))
     assert found and not any({"token", "pos"} & set(columns) for columns in found)
+    # few marks go to the texts, many meet them in a shuffle
+    assert any({"body_text", "text"} & set(columns) for columns in found) == (narrow == 0)
