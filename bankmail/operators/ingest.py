@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,13 +83,15 @@ def insert_new(
     key: list[str] | None = None,
     order: list[str] | None = None,
     required: list[str] | None = None,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Rows of the batch that an insert-or-ignore would add.
 
     Rows with a NULL in a required column are left out, the first of equal keys
     wins, and keys already stored are left out. Only the key columns of the stored
     table are read; they are first reduced to the batch's own keys, so a small
-    batch is broadcast and the stored table is not shuffled. Both are settled on keys alone, before rows are looked at.
+    batch is broadcast and the stored table is not shuffled. Both are settled on keys alone, before rows are looked at;
+    `stage` may write these keys and read them back.
     """
     key = KEY if key is None else key
     order = ["received_date", "id"] if order is None else order
@@ -98,7 +102,7 @@ def insert_new(
     # rows equal in `order` are told apart by their content, so a rerun keeps the same one
     ties = F.xxhash64(*batch.columns)
     valid = batch.filter(complete)
-    return first_per_key(valid, key, [*[F.col(c) for c in order], ties], without=stored)
+    return first_per_key(valid, key, [*[F.col(c) for c in order], ties], without=stored, stage=stage)
 
 
 def rejected(batch: DataFrame, required: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,9 @@ def counted(narrow: DataFrame) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= NARROW else narrow
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column], without: DataFrame | None = None) -> DataFrame:
+def first_per_key(
+    df: DataFrame, keys: list[str], order: list[Column], without: DataFrame | None = None, stage: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """One row per key: the smallest by `order`. Keys that `without` holds give none; a key with a NULL is never held.
 
     Keys are counted first, alone. Rows whose key stands once pass straight through and never shuffle; only
@@ -59,6 +63,9 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], without:
     a key with a third of all rows sends one row per task. A key of many repeats is one row of the counted side, which Spark
     broadcasts while it is small. Repeated keys and keys of `without` are settled together, so that where rows do shuffle they do so
     once. Joins compare a hash of the key first: keys that begin alike would make the sorts compare whole texts.
+
+    `stage` may write keys and read them back. Then only hashes are counted, and those that stand twice or are held are themselves
+    counted before the rows meet them: few are broadcast whatever Spark's estimate was. Whole keys are compared where the hash is one of these.
     """
     hashed = F.xxhash64(*keys).alias("__h")
     named = [hashed, *[F.col(k).alias(f"__{k}") for k in keys]]
@@ -67,12 +74,24 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], without:
     for k in keys:
         same = same & rows[k].eqNullSafe(F.col(f"__{k}"))
     names = ["__h", *[f"__{k}" for k in keys]]
-    tally = df.groupBy(*named).agg(F.count(F.lit(1)).alias("__n"))
-    again = settled = tally.filter("__n > 1").drop("__n")
     row = F.struct(*[F.col(c) for c in df.columns])
-    best = rows.join(again, same, "left_semi").groupBy(*named).agg(
-        F.min_by(row, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("r")
-    )
+    least = F.min_by(row, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("r")
+    n = F.count(F.lit(1)).alias("__n")
+    if stage:
+        settled = stage(df.groupBy(hashed).agg(n).filter("__n > 1").select("__h"))
+        if without is not None:
+            held = stage(without.dropna(subset=keys).select(*named).join(df.select(*named), names, "left_semi"))
+            settled = settled.unionByName(held.select("__h"))
+        settled = counted(settled)
+        among = rows["__own"] == F.col("__h")
+        rest = rows.join(settled, among, "left_semi")
+        if without is not None:
+            rest = rest.join(held, same, "left_anti")
+        best = rest.groupBy(*named).agg(least)
+        return rows.join(settled, among, "left_anti").drop("__own").unionByName(best.select("r.*"))
+    tally = df.groupBy(*named).agg(n)
+    again = settled = tally.filter("__n > 1").drop("__n")
+    best = rows.join(again, same, "left_semi").groupBy(*named).agg(least)
     if without is not None:
         held = without.dropna(subset=keys).select(*named).join(tally.select(*names), names, "left_semi")
         settled, best = again.unionByName(held), best.join(held, names, "left_anti")

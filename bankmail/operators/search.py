@@ -19,8 +19,8 @@ from bankmail.operators.joins import counted
 
 FIELDS = ("subject", "body_text", "bank_name")
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-#: Folders that the words of a stored index are dealt to.
-BUCKETS = 32
+#: Folders that the words of a stored index are dealt to, groups of folders that are written by the same tasks, and parts of the documents, which bound such a task.
+BUCKETS, GROUPS, PARTS = 32, 4, 8
 
 
 def _accents() -> tuple[str, str]:
@@ -48,21 +48,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^a-z0-9\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(docs: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS, with_empty: bool = False, with_distinct: bool = False) -> DataFrame:
+def _split(docs: DataFrame, id_col: str, fields: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """The words of each field of a document, and their number in all."""
+    split = docs.select(F.col(id_col).alias("doc_id"), *[words(F.col(f)).alias(f) for f in fields])
+    return split, sum((F.size(f) for f in fields[1:]), F.size(fields[0]))
+
+
+def postings(docs: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS, with_distinct: bool = False) -> DataFrame:
     """(doc_id, field, pos, token, doc_len); doc_len counts the words of all fields.
 
-    `with_empty` adds the empty word once to every document, in a field without a name. `with_distinct` adds `field_words`, the
-    number of different words of the field: known where a text is split, it spares who asks for it a shuffle of all words.
+    `with_distinct` adds `field_words`, the number of different words of the field: known where a text is split, it spares who
+    asks for it a shuffle of all words.
     """
-    split = docs.select(F.col(id_col).alias("doc_id"), *[words(F.col(f)).alias(f) for f in fields])
-    length = sum((F.size(f) for f in fields[1:]), F.size(fields[0]))
+    split, length = _split(docs, id_col, fields)
     # counted here, once a text: beside `posexplode` it would be counted again for every word
     part = lambda name, words: F.struct(
         F.lit(name).alias("field"), words.alias("words"), *([F.size(F.array_distinct(words)).alias("distinct")] if with_distinct else [])
     )
     parts = [part(f, F.col(f)) for f in fields]
-    if with_empty:
-        parts.append(part("", F.array(F.lit(""))))
     spread = split.select("doc_id", length.alias("doc_len"), F.explode(F.array(*parts)).alias("f"))
     distinct = [F.col("f.distinct").alias("field_words")] if with_distinct else []
     return spread.select("doc_id", F.col("f.field").alias("field"), "doc_len", *distinct, F.posexplode("f.words").alias("pos", "token"))
@@ -79,6 +82,25 @@ def bucket(token: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def bucketed_postings(docs: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FIELDS, buckets: int = BUCKETS) -> DataFrame:
+    """`postings` with their folder, and the empty word once for every document in a field without a name; the words of a folder lie in few tasks.
+
+    A row per document and group of folders is shuffled, not one per word: the id is sent once for all the words in it.
+    """
+    split, length = _split(docs, id_col, fields)
+    word = lambda k, token, pos: F.struct(F.lit(k).cast("byte").alias("k"), pos.alias("pos"), token.alias("token"), bucket(token, buckets).alias("bucket"))
+    placed = lambda k: lambda w, i: word(k, w, i)
+    found = F.concat(F.array(word(len(fields), F.lit(""), F.lit(0))), *[F.transform(f, placed(k)) for k, f in enumerate(fields)])
+    size = -(-buckets // GROUPS)
+    of = lambda g: lambda w: (w["bucket"] >= g * size) & (w["bucket"] < (g + 1) * size)
+    groups = [F.struct(F.lit(g).alias("group"), F.filter("found", of(g)).alias("words")) for g in range(GROUPS)]
+    rows = split.select("doc_id", length.alias("doc_len"), found.alias("found")).select("doc_id", "doc_len", F.explode(F.array(*groups)).alias("g"))
+    rows = rows.select("doc_id", "doc_len", "g.group", "g.words", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
+    dealt = rows.filter(F.size("words") > 0).hint("rebalance", F.col("group"), F.col("part"))
+    name = F.element_at(F.array(*[F.lit(f) for f in (*fields, "")]), F.col("k") + 1)
+    return dealt.select("doc_id", "doc_len", F.inline("words")).select("doc_id", name.alias("field"), "doc_len", "pos", "token", "bucket")
+
+
 def index_layout(rows: DataFrame, files: int) -> DataFrame:
     """Postings in range partitions of (token, doc_id), sorted: a frequent word spans many files."""
     return rows.repartitionByRange(files, "token", "doc_id").sortWithinPartitions("token", "doc_id")

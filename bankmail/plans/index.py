@@ -8,7 +8,7 @@ segment: the documents' lengths are read from its rows as written, so that texts
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +41,8 @@ class SearchIndex:
         postings, lengths, _ = self.tables
         seq = F.lit(c.sequence).cast("long").alias("seq")
         before = len(c.added.get(postings.name, ()))
-        rows = Q.postings(docs, id_col, self.fields, with_empty=True)
-        c.add(rows.select("token", "doc_id", "field", "pos", "doc_len", seq, Q.bucket(F.col("token"), self.buckets).alias("bucket")), postings)
+        rows = Q.bucketed_postings(docs, id_col, self.fields, self.buckets)
+        c.add(rows.select("token", "doc_id", "field", "pos", "doc_len", seq, "bucket"), replace(postings, dealt=True))
         empty = c.written(postings, before).filter((F.col("bucket") == Q.bucket(F.lit(""), self.buckets)) & (F.col("token") == ""))
         c.add(empty.select("doc_id", "doc_len", "seq"), lengths)
 

@@ -21,7 +21,7 @@ from bankmail.plans.index import SearchIndex
 from bankmail.plans.keys import add_filters, folders_with
 from bankmail.plans.models import Models, process_with
 from bankmail.schemas import DAY_SUMS, EMAIL_CHANGES, EMAILS, MARKS, OFFERS, SYNC_EVENTS, TRANSACTIONS
-from bankmail.session import materialize, remove, work_dir
+from bankmail.session import remove, work_dir, write
 from bankmail.sources import tables
 from bankmail.sources.commits import current
 from bankmail.sources.mail import dated
@@ -129,6 +129,7 @@ def sync(
     With `marks` (account, folder, latest) only mail from the mark's day on is read. `stage`
     writes the records, the new mails, the image texts, the replies and the labelled mails once to the shared folder, so the duplicate
     check and the several outputs do not repeat the scan, the making of texts, the labels or a costly function; `release` removes these folders.
+    New mails are written with their labels where nothing else reads them first, and records and keys go as soon as the new mails are written.
     `caps` cuts texts; whole ones are kept without it. `models` are asked where the plan needs them, each request once;
     their replies are kept in the tables under `root`.
     """
@@ -137,15 +138,32 @@ def sync(
         mail = I.newer_than_mark(mail, marks, as_of)
     scanned = I.with_bank(mail)
     folders = []
+    written = lambda df: staged(df, "labelled")
 
     def staged(df: DataFrame, purpose: str) -> DataFrame:
         if not stage:
             return df
         folders.append(work_dir(df.sparkSession, purpose))
-        return materialize(df, purpose, folders[-1])
+        write(df, folders[-1])
+        return df.sparkSession.read.schema(df.schema).parquet(folders[-1])
+
+    def release(count: int) -> None:
+        """Remove the first folders; nothing reads them any more."""
+        for folder in folders[:count]:
+            remove(mail.sparkSession, folder)
+        del folders[:count]
 
     records = staged(I.email_records(scanned, as_of, caps.body, key=key), "records")
-    inserted = staged(I.insert_new(records, stored(records) if callable(stored) else stored, key), "new-mails")
+    held = stored(records) if callable(stored) else stored
+    inserted = I.insert_new(records, held, key, stage=(lambda df: staged(df, "keys")) if stage else None)
+    made = len(folders)
+    if not read_images and models is None and "new_ids" not in replies:
+        replies = {k: staged(v, "replies") if isinstance(v, DataFrame) and k.endswith("_replies") else v for k, v in replies.items()}
+        done = process(inserted, as_of=as_of, caps=caps, stage=written, **replies)
+        release(made)
+        return SyncResult(scanned, done.classified.select(*inserted.columns) if stage else inserted, None, done, tuple(folders))
+    inserted = staged(inserted, "new-mails")
+    release(made)
     ocr = None
     if read_images:
         texts = staged(read_images(image_list(inserted.filter("vision_needed"))), "image-texts")
@@ -155,7 +173,7 @@ def sync(
         done = process_with(mail.sparkSession, root, mails, models, as_of=as_of, caps=caps, **replies)
         return SyncResult(scanned, inserted, ocr, done, tuple(folders))
     replies = {k: staged(v, "replies") if isinstance(v, DataFrame) and k.endswith("_replies") else v for k, v in replies.items()}
-    done = process(ocr.emails if ocr else inserted, as_of=as_of, caps=caps, stage=lambda df: staged(df, "labelled"), **replies)
+    done = process(ocr.emails if ocr else inserted, as_of=as_of, caps=caps, stage=written, **replies)
     return SyncResult(scanned, inserted, ocr, done, tuple(folders))
 
 

@@ -19,7 +19,8 @@ def _struct(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
 class Table:
     """A table: its columns, what must be unique, and values used when a column is missing.
 
-    `parent` is (own column, table): rows go when the row of that table with this id is deleted.
+    `parent` is (own column, table): rows go when the row of that table with this id is deleted. Rows that are `dealt` come by the table's
+    partitions already, and a write only sorts them.
     """
 
     name: str
@@ -29,6 +30,7 @@ class Table:
     partition_by: tuple[str, ...] = ()
     sort_by: tuple[str, ...] = ()
     parent: tuple[str, str] | None = None
+    dealt: bool = False
 
 
 EMAILS = Table(

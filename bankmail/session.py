@@ -18,6 +18,10 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+#: How tables and the rows of a sync are written. Half of a posting is its id, random digits that the default codec keeps at full length.
+STORED = {"compression": "zstd"}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "bankmail", **settings: str) -> SparkSession:
     """Session with the settings above; master and sizes come from spark-submit or `settings`."""
@@ -52,6 +56,18 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def write(df, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Write rows as tables and the steps of a sync have them. The shuffles that made them are removed at once, not when the driver next collects its garbage."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**STORED).mode("error").partitionBy(*partition_by).parquet(path)
+    finally:
+        # a thread that finds it set leaves it so for the one that set it
+        if before != "true":
+            conf.set(CLEANUP, before)
+
+
 def materialize(df, purpose: str, path: str | None = None):
     """Write `df` once to the shared folder and read it back.
 

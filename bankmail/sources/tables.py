@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from bankmail.operators.maintain import merged_changes, without_deleted
 from bankmail.schemas import CHANGES, KEPT, TABLES, Table, conform
-from bankmail.session import materialize, remove, work_dir
+from bankmail.session import materialize, remove, work_dir, write
 from bankmail.sources import commits
 from bankmail.sources.commits import State, current
 
@@ -50,10 +50,10 @@ class Commit:
         rows, name = conform(df, table), f"w={uuid.uuid4().hex}"
         if table.partition_by:
             # a folder per value gets a few well-sized files instead of one from every task
-            rows = rows.hint("rebalance", *[F.col(c) for c in table.partition_by])
+            rows = rows if table.dealt else rows.hint("rebalance", *[F.col(c) for c in table.partition_by])
             rows = rows.sortWithinPartitions(*table.partition_by, *table.sort_by)
         path = f"{self.root}/{table.name}/{name}"
-        rows.write.mode("error").partitionBy(*table.partition_by).parquet(path)
+        write(rows, path, table.partition_by)
         folders = [f"{name}/{c}" for c in commits.children(self.spark, path) if "=" in c] if table.partition_by else [name]
         self.added.setdefault(table.name, []).extend(folders)
 

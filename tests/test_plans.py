@@ -1,6 +1,8 @@
 """Plan shapes that matter at scale."""
 
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,10 +11,12 @@ import __spark_entry__ as entry
 from bankmail.operators import browse as W
 from bankmail.operators import ingest as I
 from bankmail.operators import joins
+from bankmail.operators import search as Q
 from bankmail.operators import spending as S
 from bankmail.operators.joins import left_join
 from bankmail.plans import reports as P
 from bankmail.plans import sync as Y
+from bankmail.session import CLEANUP, materialize, write
 from bankmail.sources.derived import base, view
 from compare import TESTDATA
 
@@ -134,6 +138,60 @@ def test_new_rows_shuffle_once_however_many_keys_are_stored(spark, no_broadcast,
     assert sorted(int(r.message_id) for r in new.collect()) == want and all(r.received_date == int(r.message_id) for r in new.collect())
 
 
+def test_rows_of_single_keys_do_not_shuffle_where_keys_are_staged(spark, no_broadcast, tmp_path):
+    rows = spark.range(600).select(
+        F.lit("a").alias("account"), F.lit("f").alias("folder"), (F.col("id") % 500).cast("string").alias("message_id"), F.col("id").alias("received_date"),
+        F.col("id").cast("string").alias("id"), F.repeat(F.lit("x"), 50).alias("body_text"),
+    )
+    rows.write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    stage = lambda df: materialize(df, "keys", str(tmp_path / f"keys-{len(list(tmp_path.iterdir()))}"))
+    for least in ("0", "3"):
+        stored = batch.filter(F.col("message_id") < least).select(*I.KEY)
+        new = I.insert_new(batch, stored, stage=stage)
+        # rows of stored keys meet them in a shuffle if Spark broadcasts nothing of itself
+        assert sum("body_text" in columns for columns in shuffled(new)) == (0 if least == "0" else 1)
+        assert sorted(map(str, new.collect())) == sorted(map(str, I.insert_new(batch, stored).collect()))
+
+
+def test_keys_of_one_hash_are_told_apart_where_keys_are_staged(spark, tmp_path):
+    # a NULL leaves a hash as it was
+    batch = spark.createDataFrame([("a", None, 1), (None, "a", 2), (None, "a", 3), ("b", "c", 4)], "account string, folder string, at int")
+    held = spark.createDataFrame([("a", None), ("b", "c")], "account string, folder string")
+    stage = lambda df: materialize(df, "keys", str(tmp_path / f"keys-{len(list(tmp_path.iterdir()))}"))
+    new = joins.first_per_key(batch, ["account", "folder"], [F.col("at")], held, stage)
+    assert sorted(r.at for r in new.collect()) == [1, 2]
+
+
+def test_a_staged_sync_keeps_only_the_labelled_mails(spark, tmp_path):
+    mail = view(spark, SF, "raw_mail")
+    none = spark.createDataFrame([], "account string, folder string, message_id string")
+    out = Y.sync(mail, none, "2001-01-01 00:00:00", stage=True)
+    assert [f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in out.folders] == ["labelled"]
+    plain = Y.sync(mail, none, "2001-01-01 00:00:00")
+    assert out.inserted.columns == plain.inserted.columns and out.inserted.exceptAll(plain.inserted).isEmpty() and out.inserted.count() == plain.inserted.count()
+    out.release()
+
+
+def test_indexing_shuffles_a_row_per_document_and_group_of_folders(spark, tmp_path):
+    mails = view(spark, SF, "emails")
+    rows = Q.bucketed_postings(mails)
+    assert not any({"token", "pos"} & set(columns) for columns in shuffled(rows))
+    got = rows.filter("token <> ''").select(*Q.postings(mails).columns)
+    assert got.exceptAll(Q.postings(mails)).isEmpty() and got.count() == Q.postings(mails).count()
+    assert rows.filter("token = '' and field = ''").count() == mails.count()
+
+
+def test_writes_leave_no_shuffle_behind(spark, tmp_path):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    known = lambda: {f.name for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before = known()
+    write(spark.range(1000).withColumn("k", F.col("id") % 5).hint("rebalance", F.col("k")), str(tmp_path / "t"), ("k",))
+    time.sleep(1)
+    assert not known() - before and spark.conf.get(CLEANUP) == "false"
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000 and all("zstd" in f for f in spark.read.parquet(str(tmp_path / "t")).inputFiles())
+
+
 def test_the_outputs_of_a_sync_label_its_mails_once(spark):
     mail = view(spark, SF, "raw_mail")
     none = spark.createDataFrame([], "account string, folder string, message_id string")
